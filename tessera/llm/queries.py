@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .common import work_dir
 
 
@@ -34,8 +35,55 @@ def op10_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
+#: Shares of all tokens that the mix gives to the domains of the label table.
+MIX_TARGETS = {"quality=1,toxic=0": 0.95, "quality=0,toxic=0": 0.04, "quality=1,toxic=1": 0.01}
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), MIX_TARGETS)
+
+
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_trie_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_matches
+
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pii_boosting": op2_pii_boosting,
+    "op4_toxicity_chain": op4_toxicity_chain,
+    "op6_trie_lm_scoring": op6_trie_lm_scoring,
+    "op7_perplexity_rules": op7_perplexity_rules,
+    "op8_license_digest": op8_license_digest,
+    "op9_soft_mixing": op9_soft_mixing,
     "op10_bit_plane_output": op10_bit_plane_output,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_license_digest": licenses.oracle_sql()}
