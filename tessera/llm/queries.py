@@ -58,6 +58,18 @@ def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_trie_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import lm_scores
 
@@ -79,7 +91,9 @@ def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_boosting": op2_pii_boosting,
+    "op3_cross_polytope_dedup": op3_cross_polytope_dedup,
     "op4_toxicity_chain": op4_toxicity_chain,
+    "op5_token_group_join": op5_token_group_join,
     "op6_trie_lm_scoring": op6_trie_lm_scoring,
     "op7_perplexity_rules": op7_perplexity_rules,
     "op8_license_digest": op8_license_digest,
