@@ -202,17 +202,30 @@ def labelled_sample(
     keep = np.array([r[0] for r in kept.select("f").collect()], dtype=np.int64).view(np.uint64)
     model_features = Features(np.sort(keep))
 
-    chosen = F.broadcast(spark.createDataFrame([(int(x),) for x in keep.view(np.int64)], "f long"))
-    cells = found.select("doc_id", F.explode("features").alias("f")).join(chosen, "f").toPandas()
-    people = found.select("doc_id", "class", "dense").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    place = {d: i for i, d in enumerate(people["doc_id"])}
-    row = cells["doc_id"].map(place).to_numpy(dtype=np.int64)
-    col = np.searchsorted(model_features.kept, cells["f"].to_numpy(dtype=np.int64).view(np.uint64))
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("features")
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(model_features.kept, flat), max(len(model_features.kept) - 1, 0))
+            hit = model_features.kept[at] == flat if len(model_features.kept) else np.zeros(len(flat), bool)
+            ends = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+            columns = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("class"), batch.column("dense"), columns], names=["doc_id", "class", "dense", "cols"]
+            )
+
+    known = found.select("doc_id", "class", "dense", "features")
+    known = known.mapInArrow(cells, "doc_id long, class string, dense array<double>, cols array<int>")
+    people = known.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().combine_chunks()
+    lists = people.column("cols").combine_chunks()
+    cols = lists.flatten().to_numpy()
+    rows = np.repeat(np.arange(people.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    of_class = people.column("class").to_pylist()
+    dense = people.column("dense").combine_chunks().flatten().to_numpy().reshape(people.num_rows, -1)
     population = {",".join(map(str, v)): n for v, n in kinds}
-    weight = people["class"].map(lambda c: population[c] / sizes[c]).to_numpy(dtype=float)
-    values = np.array([[int(x) for x in c.split(",")] for c in people["class"]], dtype=np.int64)
-    order = np.lexsort((col, row))
-    return Sample(model_features, row[order], col[order], np.array(people["dense"].tolist()), values, weight, np.arange(len(people)) % folds)
+    weight = np.array([population[c] / sizes[c] for c in of_class])
+    values = np.array([[int(x) for x in c.split(",")] for c in of_class], dtype=np.int64)
+    return Sample(model_features, rows, cols, dense, values, weight, np.arange(people.num_rows) % folds)
 
 
 def fit_on(sample: Sample, use: np.ndarray, target: np.ndarray, extra: np.ndarray | None = None, **options) -> Softmax:
