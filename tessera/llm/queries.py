@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -24,14 +24,14 @@ def _tokenizer() -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_tokens, write_tokens
 
     path = f"{work_dir(spark)}/tessera/tokens-{uuid.uuid4().hex}"
-    write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer())
+    write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read_tokens(spark, path)
 
 
