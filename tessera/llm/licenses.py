@@ -7,6 +7,8 @@ known texts is a fixed list, so its side of the join is small by construction.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,10 @@ MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 def normal_lines(text: Column) -> Column:
     """Normalised text that still has its lines: lower case A-Z, no copyright lines, one blank between words."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(out, COPYRIGHT_LINES, "$1")
+    signs = ("copyright", "(c)", "\u00a9")
+    marked = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in signs])
+    # The lambda binds the lower-cased text, so it is made once.
+    out = F.get(F.transform(F.array(out), lambda t: F.when(marked(t), F.regexp_replace(t, COPYRIGHT_LINES, "$1")).otherwise(t)), 0)
     out = F.regexp_replace(out, MARKS, " ")
     for other, usual in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(usual))
@@ -61,13 +66,16 @@ def license_matches(docs: DataFrame) -> DataFrame:
     """
     known = F.broadcast(known_digests(docs.sparkSession))
     longest = max(len(text) for _, text in KNOWN) * 2
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), normal_lines(docs["text"].cast("string")).alias("lines")).where(
-        "lines is not null"
-    )
-    whole = rows.select("doc_id", F.lit("document").alias("scope"), F.lit(0).cast("long").alias("line_no"), one_line(F.col("lines")).alias("unit"))
-    lines = rows.select("doc_id", F.posexplode(F.split("lines", "\n")).alias("line_no", "unit"))
-    lines = lines.select("doc_id", F.lit("line").alias("scope"), (F.col("line_no") + 1).cast("long").alias("line_no"), one_line(F.col("unit")).alias("unit"))
-    units = whole.unionByName(lines).where((F.col("unit") != "") & (F.length("unit") <= longest))
+    text = docs["text"].cast("string")
+    rows = docs.where(text.isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), normal_lines(text).alias("lines"))
+    # One pass a text: its trimmed lines, and before them the whole text as one line. Blanks between words are single
+    # by now. The generator keeps empty arrays, as else a filter would normalise every text once more.
+    trimmed = rows.select("doc_id", F.transform(F.split("lines", "\n"), lambda u: F.trim(u)).alias("units"))
+    whole = F.array_join(F.filter("units", lambda u: u != ""), " ")
+    each = trimmed.select("doc_id", F.posexplode_outer(F.concat(F.array(whole), F.col("units"))).alias("line_no", "unit"))
+    units = each.where((F.col("unit") != "") & (F.length("unit") <= longest))
+    scope = F.when(F.col("line_no") == 0, "document").otherwise("line").alias("scope")
+    units = units.select("doc_id", scope, F.col("line_no").cast("long").alias("line_no"), "unit")
     digests = units.select("doc_id", "scope", "line_no", F.sha2("unit", 256).alias("digest"))
     return digests.join(known, "digest").select("doc_id", "scope", "line_no", "license_id", "digest")
 
