@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import documents, recordings, relations, streams  # noqa: F401
+from .inputs import REGISTRY, SQL
+
+QUERIES: dict = REGISTRY
+ORACLES: dict[str, str] = SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines by return flag; replaced once the document store is in place."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Documents by class, and how they depend on each other."""
+    return documents.dependency_summary(spark, sf_dir)
