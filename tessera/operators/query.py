@@ -179,7 +179,7 @@ def path_value(path: str, kind: str) -> Column:
 
 
 def predicate(t: Term) -> Column:
-    """One term as a column that is never null."""
+    """One term as a column. Null stands for false, so that the engine can push a plain comparison to the scan."""
     name = t.operation.removeprefix("~")
     text = lambda: path_value(t.path, "string")
     if name == "exact_string":
@@ -210,8 +210,7 @@ def predicate(t: Term) -> Column:
         out = sides[0] | sides[1]
     else:
         raise ValueError(f"unknown operation: {t.operation}")
-    out = F.coalesce(out, F.lit(False))
-    return ~out if t.operation.startswith("~") else out
+    return ~F.coalesce(out, F.lit(False)) if t.operation.startswith("~") else out
 
 
 def search(documents: DataFrame, query: Query | None = None, session_id: str | None = None) -> DataFrame:

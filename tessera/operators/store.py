@@ -124,7 +124,7 @@ def update(store: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove(store: DataFrame, query: Query | None = None, ids: DataFrame | None = None) -> DataFrame:
     """The store without what the query selects and without the listed ids."""
-    out = store if query is None else store.where(~query.column())
+    out = store if query is None else store.where(~F.coalesce(query.column(), F.lit(False)))
     return out if ids is None else out.join(ids.select("id"), "id", "left_anti").select(*store.columns)
 
 
