@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def roots_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches by the given links."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        before = label.copy()
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label

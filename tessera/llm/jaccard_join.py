@@ -4,12 +4,12 @@
 2. Shards count in how many sets each shingle occurs. A set can only link if enough of its shingles occur elsewhere;
    all others leave here. Shingles are ordered rarest first, and two sets that link share one of the first
    ``n - ceil(threshold * n) + 1`` (the prefix) of either.
-3. Similar sets are put into groups by the smallest hash of their shared shingles, bounded in shingles and sets; a hot
-   hash value is split over several groups. Each group links its own sets exactly, and one set of each cluster goes
-   to the next round, so that the parts of a hot value meet.
-4. The token-group matrix holds, for each group of a cluster, the union of its prefixes. Only groups of different
-   clusters with a shingle and compatible sizes in common qualify. An opened pair first bounds each set's overlap by
-   the other group's union of shingles, then compares what is left exactly.
+3. Similar sets are put into groups by their most frequent shingle, bounded in shingles and sets; a hot shingle is split
+   over several groups. Each group links its own sets exactly, and one set of each cluster goes to the next round, so
+   that the parts of a hot value meet; later rounds group by the smallest hashes of the shared shingles.
+4. The token-group matrix holds the union of the prefixes of each of the first round's groups. Only pairs of groups with
+   a shingle and compatible sizes in common qualify, unless both lie in one cluster. An opened pair first bounds each
+   set's overlap by the other group's union of shingles, then compares what is left exactly.
 
 So a family of near copies costs what its groups cost, and no pairs within a cluster are listed. What meets in one
 task is a chunk, a shard or two groups, all of bounded size.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .chunks import chunk_blocks, chunk_table, open_chunk, pack_keys, pack_small, unpack_keys, unpack_small
 from .common import parts_for, stage_table
-from .components import components
+from .components import components, roots_of
 from .words import distinct_per_row, lower_ascii, mix, row_shingles, word_hashes, word_spans
 
 WIDTH, PERCENT = 5, 80
@@ -34,6 +34,7 @@ SHARD_BYTES = 8 << 20
 #: Bounds of a group.
 GROUP_SETS, GROUP_SHINGLES = 512, 1 << 20
 _ONE, _TWO = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
+_SALTS = (_ONE, _TWO)
 
 
 def need_of(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -126,7 +127,9 @@ def rarities(chunks: DataFrame, chosen: DataFrame, shards: int, width: int) -> D
     return asked.groupBy("shard").applyInArrow(answer, "chunk long, shard int, codes binary")
 
 
-SETS = "node long, n long, k1 long, k2 long, tokens binary, prefix array<long>"
+#: What sets are grouped by: their most frequent shingle, and two smallest hashes.
+KEYS = ("common", "k1", "k2")
+SETS = "node long, n long, " + ", ".join(f"{k} long" for k in KEYS) + ", tokens binary, prefix array<long>"
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -134,11 +137,11 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def shared_sets(chunks: DataFrame, answers: DataFrame, chosen: DataFrame, shards: int, width: int, percent: int) -> DataFrame:
-    """Sets of which enough shingles occur in other sets: all shingles, the prefix, and two smallest hashes."""
+    """Sets of which enough shingles occur in other sets: all shingles, the prefix, and what to group by."""
 
     def run(chunk, others):
         names = [x.split(" ")[0] for x in SETS.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64()] * (2 + len(KEYS)) + [pa.binary(), pa.list_(pa.int64())]
         nothing = pa.table([pa.array([], t) for t in kinds], names=names)
         if not chunk.num_rows or not others.num_rows:
             return nothing
@@ -160,11 +163,12 @@ def shared_sets(chunks: DataFrame, answers: DataFrame, chosen: DataFrame, shards
         order = np.lexsort((values, code, row))
         place = np.arange(len(values)) - bounds[row]
         first = (place < (n - need_of(n, percent) + 1)[row]) & (code[order] > 0)
-        least = [np.minimum.reduceat(np.where(code > 0, mix(values ^ c), np.uint64(2**64 - 1)), bounds[:-1]).view(np.int64) for c in (_ONE, _TWO)]
+        least = [np.minimum.reduceat(np.where(code > 0, mix(values ^ c), np.uint64(2**64 - 1)), bounds[:-1]).view(np.int64) for c in _SALTS]
+        common = values[order][bounds[1:] - 1].view(np.int64)
         raw = values.astype("<u8").tobytes()
         packed = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
         prefix = _lists(values[order][first], np.bincount(row[first], minlength=len(n)))
-        return pa.table([pa.array(nodes), pa.array(n), *map(pa.array, least), packed, prefix], names=names)
+        return pa.table([pa.array(nodes), pa.array(n), pa.array(common), *map(pa.array, least), packed, prefix], names=names)
 
     said = answers.select("chunk", "shard", "codes", F.lit(None).cast("array<int>").alias("pos"), F.lit(None).cast("array<long>").alias("nodes"))
     known = chosen.select("chunk", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("codes"), "pos", "nodes")
@@ -216,10 +220,9 @@ def _sets_of(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype="<u8") for x in table.column("tokens")]
 
 
-def salted(sets: DataFrame, key: str, single: bool) -> DataFrame:
-    """``sets`` with ``salt``, so that ``(key, salt)`` bounds a group; keys with one set are left out unless ``single``."""
-    size = sets.groupBy(key).agg(F.count("*").alias("__sets"), F.sum("n").alias("__shingles"))
-    size = size if single else size.where("__sets > 1")
+def salted(sets: DataFrame, key: str) -> DataFrame:
+    """``sets`` with ``salt``, so that ``(key, salt)`` bounds a group; keys with one set are left out."""
+    size = sets.groupBy(key).agg(F.count("*").alias("__sets"), F.sum("n").alias("__shingles")).where("__sets > 1")
     salts = F.ceil(F.greatest(F.col("__sets") / GROUP_SETS, F.col("__shingles") / GROUP_SHINGLES))
     size = size.select(key, salts.alias("__salts"))
     return sets.join(size, key).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(11)), F.col("__salts")).cast("int")).drop("__salts")
@@ -235,70 +238,78 @@ def link_round(sets: DataFrame, key: str, percent: int) -> DataFrame:
         moved = root != node
         return pa.table({"node": pa.array(node[moved]), "root": pa.array(root[moved])})
 
-    return salted(sets.select("node", "n", "tokens", key), key, False).groupBy(key, "salt").applyInArrow(run, "node long, root long")
+    return salted(sets.select("node", "n", "tokens", key), key).repartition(key, "salt").groupBy(key, "salt").applyInArrow(run, "node long, root long")
 
 
-GROUPS = "cluster long, salt int, low long, high long, prefix array<long>, sizes array<long>, tokens binary"
+GROUPS = "low long, high long, only long, clusters array<long>, prefix array<long>, sizes array<long>, tokens binary"
 
 
-def group_table(sets: DataFrame) -> DataFrame:
-    """The groups of each cluster: range of set sizes, union of prefixes (the matrix), and all their sets."""
+def group_table(sets: DataFrame, key: str) -> DataFrame:
+    """The groups: range of set sizes, union of prefixes (a row of the matrix), the one cluster if all sets are in one,
+    and all sets with their clusters."""
 
-    def run(key, table):
-        n = table.column("n").to_numpy()
+    def run(table):
+        n, cluster = table.column("n").to_numpy(), table.column("cluster").to_numpy()
         union = np.unique(table.column("prefix").combine_chunks().flatten().to_numpy())
-        return pa.table(
-            {
-                "cluster": pa.array([key[0].as_py()], pa.int64()), "salt": pa.array([key[1].as_py()], pa.int32()),
-                "low": pa.array([n.min()], pa.int64()), "high": pa.array([n.max()], pa.int64()),
-                "prefix": pa.array([union], pa.list_(pa.int64())), "sizes": pa.array([n], pa.list_(pa.int64())),
-                "tokens": pa.array([b"".join(table.column("tokens").to_pylist())], pa.binary()),
-            }
-        )
-
-    one = F.col("__sets") == 1
-    sized = sets.join(sets.groupBy("cluster").agg(F.count("*").alias("__sets")), "cluster")
-    alone = sized.where(one).select(
-        "cluster", F.lit(0).alias("salt"), F.col("n").alias("low"), F.col("n").alias("high"), "prefix", F.array("n").alias("sizes"), "tokens"
+        only = int(cluster[0]) if (cluster == cluster[0]).all() else None
+        row = {
+            "low": int(n.min()), "high": int(n.max()), "only": only, "clusters": cluster, "prefix": union, "sizes": n,
+            "tokens": b"".join(table.column("tokens").to_pylist()),
+        }
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+        return pa.table([pa.array([v], t) for v, t in zip(row.values(), kinds)], names=list(row))
+
+    sized = sets.join(sets.groupBy(key).agg(F.count("*").alias("__sets")), key)
+    alone = sized.where("__sets = 1").select(
+        F.col("n").alias("low"), F.col("n").alias("high"), F.col("cluster").alias("only"), F.array("cluster").alias("clusters"), "prefix", F.array("n").alias("sizes"), "tokens"
     )
-    several = salted(sized.where(~one).drop("__sets"), "cluster", True)
-    return several.groupBy("cluster", "salt").applyInArrow(run, GROUPS).unionByName(alone)
+    several = salted(sized.where("__sets > 1").drop("__sets"), key)
+    return several.repartition(key, "salt").groupBy(key, "salt").applyInArrow(run, GROUPS).unionByName(alone)
 
 
 def open_groups(groups: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of clusters that hold a link, found by opening the qualifying pairs of groups."""
-    matrix = groups.select("cluster", "salt", "low", "high", F.explode("prefix").alias("token"))
+    """``a, b``: clusters that a link joins, found by opening the qualifying pairs of groups; ``groups`` has a number each."""
+    matrix = groups.select("number", "only", "low", "high", F.explode("prefix").alias("token"))
     x, y = matrix.alias("x"), matrix.alias("y")
     fits = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cluster") < F.col("y.cluster")) & fits)
-    pairs = met.select(
-        F.col("x.cluster").alias("a"), F.col("x.salt").alias("a_salt"), F.col("y.cluster").alias("b"), F.col("y.salt").alias("b_salt")
-    ).distinct()
-    side = lambda s: groups.select(F.col("cluster").alias(s), F.col("salt").alias(f"{s}_salt"), F.col("sizes").alias(f"{s}_sizes"), F.col("tokens").alias(f"{s}_tokens"))
-    opened = pairs.join(side("a"), ["a", "a_salt"]).join(side("b"), ["b", "b_salt"])
-
-    def bounded(mine: list[np.ndarray], union: np.ndarray) -> list[np.ndarray]:
-        """Sets whose overlap with the other group's union reaches what a link needs."""
+    other = F.coalesce(F.col("x.only") != F.col("y.only"), F.lit(True))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.number") < F.col("y.number")) & other & fits)
+    pairs = met.select(F.col("x.number").alias("a"), F.col("y.number").alias("b")).distinct()
+    side = lambda s: groups.select(F.col("number").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("clusters", "sizes", "tokens")])
+    opened = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+
+    def bounded(mine: list[np.ndarray], union: np.ndarray) -> np.ndarray:
+        """Places of the sets whose overlap with the other group's union reaches what a link needs."""
         n = np.array([len(x) for x in mine], dtype=np.int64)
         hit = np.isin(np.concatenate(mine), union)
         upper = _per_row(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n)]))
-        return [x for x, ok in zip(mine, upper >= need_of(n, percent)) if ok]
+        return np.flatnonzero(upper >= need_of(n, percent))
 
     def run(batches):
         for batch in batches:
-            found = []
+            found_a, found_b = [], []
             for i in range(batch.num_rows):
-                sides = []
+                sets, clusters = [], []
                 for s in ("a", "b"):
                     values = np.frombuffer(batch.column(f"{s}_tokens")[i].as_buffer(), dtype="<u8")
-                    sides.append(np.split(values, np.cumsum(batch.column(f"{s}_sizes")[i].values.to_numpy())[:-1]))
-                a = bounded(sides[0], np.concatenate(sides[1]))
-                b = bounded(sides[1], np.concatenate(a)) if a else []
-                if a and b and links(a, b, percent).any():
-                    found.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
-
-    return opened.select("a", "b", "a_sizes", "a_tokens", "b_sizes", "b_tokens").mapInArrow(run, "a long, b long").distinct()
+                    sets.append(np.split(values, np.cumsum(batch.column(f"{s}_sizes")[i].values.to_numpy())[:-1]))
+                    clusters.append(batch.column(f"{s}_clusters")[i].values.to_numpy())
+                a = bounded(sets[0], np.concatenate(sets[1]))
+                b = bounded(sets[1], np.concatenate([sets[0][k] for k in a])) if len(a) else a
+                if not len(b):
+                    continue
+                linked = links([sets[0][k] for k in a], [sets[1][k] for k in b], percent)
+                ca, cb = clusters[0][a], clusters[1][b]
+                u, v = np.nonzero(linked & (ca[:, None] != cb[None, :]))
+                names, place = np.unique(np.concatenate([ca[u], cb[v]]), return_inverse=True)
+                root = roots_of(len(names), place[: len(u)], place[len(u) :])
+                moved = root != np.arange(len(names))
+                found_a.append(names[moved])
+                found_b.append(names[root[moved]])
+            joined = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (found_a, found_b)]
+            yield pa.RecordBatch.from_arrays(joined, names=["a", "b"])
+
+    return opened.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -327,13 +338,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     twice = usable.groupBy("doc_id").agg(F.countDistinct("h1", "h2", "n").alias("k")).where("k > 1").select(F.col("doc_id").alias("node"))
     edges = edges.join(twice, "node", "left_semi")
     left = sets
-    for key in ("k1", "k1", "k2"):
+    for key in (KEYS[0], *KEYS):
         moved = stage_table(link_round(left, key, percent), "round")
         edges = edges.unionByName(moved)
         left = left.join(moved.select("node"), "node", "left_anti")
     first = stage_table(components(edges, "node", "root"), "clusters")
     clustered = sets.join(first, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root")
-    groups = stage_table(group_table(clustered.select("node", "cluster", "n", "tokens", "prefix")), "groups")
+    groups = group_table(clustered.select("node", "cluster", "n", KEYS[0], "tokens", "prefix"), KEYS[0])
+    groups = stage_table(groups.withColumn("number", F.monotonically_increasing_id()), "groups")
     second = components(open_groups(groups, percent)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     whole = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     lone = second.join(first.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, stage_table
-from .components import components
+from .components import components, roots_of
 
 BLOCK = 1024
 ROUNDS = 3
@@ -119,20 +119,6 @@ def first_meeting(ax: np.ndarray, u: np.ndarray, v: np.ndarray, dim: np.ndarray,
     return first & meet[each, table] & ((iu & (bu == here) & ~(iv & (bv < bu))) | (iv & (bv == here) & ~(iu & (bu < bv))))
 
 
-def roots_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest place that each of ``n`` places reaches by the given links."""
-    label = np.arange(n)
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        before = label.copy()
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
 FOUND = "vid long, links long, other long"
 
 
