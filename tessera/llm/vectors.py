@@ -62,17 +62,16 @@ def axes(x: np.ndarray, tables: int, hashes: int, seed: int = 17) -> np.ndarray:
     return out
 
 
-def codes_of(picked: np.ndarray, dim: int) -> np.ndarray:
+def codes_of(picked: np.ndarray) -> np.ndarray:
     """Bucket numbers from the chosen axes ``(..., tables, hashes)``."""
     tables, hashes = picked.shape[-2:]
-    code = np.full(picked.shape[:-1], dim.bit_length(), dtype=np.int64)
-    code = (code << 6) | np.arange(tables)
+    code = np.zeros(picked.shape[:-1], dtype=np.int64) + np.arange(tables)
     for k in range(hashes):
         code = (code << AXIS_BITS) | picked[..., k].astype(np.int64)
     return code
 
 
-HASHED = "vid long, copies long, vector binary, axes binary, codes array<long>"
+HASHED = "vid long, copies long, dim int, vector binary, axes binary, codes array<long>"
 
 
 def hash_vectors(distinct: DataFrame, tables: int, hashes: int) -> DataFrame:
@@ -91,20 +90,20 @@ def hash_vectors(distinct: DataFrame, tables: int, hashes: int) -> DataFrame:
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
                 found = axes(x, tables, hashes)
-                codes = np.stack([codes_of(np.stack([found[:, :, k, j] for k, j in enumerate(c)], axis=-1), d) for c in combos], axis=1)
+                codes = np.stack([codes_of(np.stack([found[:, :, k, j] for k, j in enumerate(c)], axis=-1)) for c in combos], axis=1)
                 codes = codes.reshape(len(mine), -1)
                 bounds = pa.array(np.arange(len(mine) + 1, dtype=np.int32) * codes.shape[1])
                 raw = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
                 at = pa.array(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vid").take(at), batch.column("copies").take(at), raw(x), raw(found), pa.ListArray.from_arrays(bounds, pa.array(codes.ravel()))],
-                    names=["vid", "copies", "vector", "axes", "codes"],
+                    [batch.column("vid").take(at), batch.column("copies").take(at), pa.array([d] * len(mine), pa.int32()), raw(x), raw(found), pa.ListArray.from_arrays(bounds, pa.array(codes.ravel()))],
+                    names=["vid", "copies", "dim", "vector", "axes", "codes"],
                 )
 
     return distinct.mapInArrow(run, HASHED)
 
 
-def first_meeting(ax: np.ndarray, u: np.ndarray, v: np.ndarray, dim: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+def first_meeting(ax: np.ndarray, u: np.ndarray, v: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Whether ``bucket`` is the first in which ``u`` and ``v`` meet; ``ax``: ``(vectors, tables, hashes, 2)``."""
     a, b = ax[u], ax[v]
     in_v = ((a[..., 0] == b[..., 0]) | (a[..., 0] == b[..., 1])).all(axis=2)  # the own bucket of u is visited by v
@@ -113,7 +112,7 @@ def first_meeting(ax: np.ndarray, u: np.ndarray, v: np.ndarray, dim: np.ndarray,
     table = ((bucket >> (AXIS_BITS * ax.shape[2])) & 63).astype(np.int64)
     each = np.arange(len(u))
     first = meet.argmax(axis=1) == table
-    own = lambda x: codes_of(x[..., 0], 0)[each, table] & ((1 << (AXIS_BITS * ax.shape[2])) - 1)
+    own = lambda x: codes_of(x[..., 0])[each, table] & ((1 << (AXIS_BITS * ax.shape[2])) - 1)
     bu, bv, here = own(a), own(b), bucket & ((1 << (AXIS_BITS * ax.shape[2])) - 1)
     iu, iv = in_v[each, table], in_u[each, table]
     return first & meet[each, table] & ((iu & (bu == here) & ~(iv & (bv < bu))) | (iv & (bv == here) & ~(iu & (bu < bv))))
@@ -123,18 +122,19 @@ FOUND = "vid long, links long, other long"
 
 
 def verify(cells: DataFrame, tables: int, hashes: int, threshold: float) -> DataFrame:
-    """``vid, links, other`` from rows sorted by ``bucket, i, j``: links counted here, and a vector that ``vid`` reaches."""
+    """``vid, links, other`` from rows sorted by ``bucket, i, j, dim``: links counted here, and a vector that ``vid`` reaches."""
 
     def settle(part: pa.Table) -> pa.RecordBatch:
         vid = part.column("vid").to_numpy()
         copies = part.column("copies").to_numpy()
         bucket = part.column("bucket").to_numpy()
-        side = part.column("side").to_numpy()
+        side, dim = part.column("side").to_numpy(), part.column("dim").to_numpy()
         cross = part.column("i").to_numpy() != part.column("j").to_numpy()
         fresh = np.ones(len(vid), dtype=bool)
-        for c in ("bucket", "i", "j"):
+        fresh[1:] = False
+        for c in ("bucket", "i", "j", "dim"):  # vectors of different lengths may share a bucket, but not a cell
             x = part.column(c).to_numpy()
-            fresh[1:] = (x[1:] != x[:-1]) if c == "bucket" else fresh[1:] | (x[1:] != x[:-1])
+            fresh[1:] |= x[1:] != x[:-1]
         start = np.flatnonzero(fresh)
         size = np.diff(np.append(start, len(vid)))
         ax = np.frombuffer(b"".join(part.column("axes").to_pylist()), dtype=np.uint16).reshape(-1, tables, hashes, 2)
@@ -143,7 +143,7 @@ def verify(cells: DataFrame, tables: int, hashes: int, threshold: float) -> Data
 
         def keep(u: np.ndarray, v: np.ndarray) -> None:
             if len(u):
-                ok = first_meeting(ax, u, v, None, bucket[u])
+                ok = first_meeting(ax, u, v, bucket[u])
                 us.append(u[ok])
                 vs.append(v[ok])
 
@@ -158,12 +158,12 @@ def verify(cells: DataFrame, tables: int, hashes: int, threshold: float) -> Data
             upper = np.triu(np.ones((m, m), dtype=bool), 1)
             step = max(1, (1 << 20) // (m * m))
             for s in range(0, len(begin), step):
-                rows = begin[s : s + step, None] + np.arange(m)
-                for d in {len(raw[r]) for r in rows[:, 0].tolist()}:
-                    alike = rows[[len(raw[r]) == d for r in rows[:, 0].tolist()]]
-                    x = of(alike)
+                some = begin[s : s + step]
+                for d in np.unique(dim[some]).tolist():
+                    rows = some[dim[some] == d][:, None] + np.arange(m)
+                    x = of(rows)
                     c, i, j = np.nonzero((x @ x.transpose(0, 2, 1) >= threshold) & upper)
-                    keep(alike[c, i], alike[c, j])
+                    keep(rows[c, i], rows[c, j])
         for s, m in zip(start[~small].tolist(), size[~small].tolist()):
             rows = np.arange(s, s + m)
             if cross[s]:
@@ -238,9 +238,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tables: int | None
     block = F.pmod(F.xxhash64("vid", F.lit(5)), F.col("blocks")).cast("int")
     met = met.withColumn("block", block).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("vid", "bucket", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"))
-    cells = met.join(hashed.select("vid", "copies", "vector", "axes"), "vid")
+    cells = met.join(hashed.select("vid", "copies", "dim", "vector", "axes"), "vid")
     parts = parts_for(spark, size * tables * 2**hashes, 100_000)
-    cells = cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    cells = cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "dim")
     found = stage_table(verify(cells, tables, hashes, threshold), "vector-links")
     links = found.groupBy("vid").agg(F.sum("links").alias("links"))
     edges = found.where("other is not null").select(F.col("vid").alias("a"), F.col("other").alias("b"))
