@@ -58,10 +58,10 @@ def test_filter_and_downsampling(spark):
     y = signals.zero_phase(*signals.chebyshev(4, 0.8, 0.2), low + high)[500:-500]
     gain = y @ low[500:-500] / (low[500:-500] @ low[500:-500])
     assert 0.8 < gain < 1.01 and np.abs(y - gain * low[500:-500]).max() < 0.02
-    rows = spark.createDataFrame([("e", float(x), float(v)) for x, v in zip(t[:400], low[:400])], "e string, t double, value double")
-    assert signals.downsample(rows, 100.0, ["e"]).count() == 80
+    rows = spark.createDataFrame([("e", i / 1024, float(low[i])) for i in range(400)], "e string, t double, value double")
+    assert signals.downsample(rows, 128.0, ["e"]).count() == 100
     assert signals.downsample(rows, 600.0, ["e"]).count() == 400
-    assert signals.downsample(rows, 100.0, ["e"], resample=True).count() == 80
+    assert signals.downsample(rows, 128.0, ["e"], resample=True).count() == 100
 
 
 def test_mappings(spark):
