@@ -9,8 +9,8 @@ from tessera.llm.toxicity import best_threshold, clean_only, fit_chain, score, t
 
 
 def test_toxicity_on_held_out_labels(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     chain = fit_chain(docs, labels.where(~held), ["quality", "toxic"])
     got = score(docs, chain).select("doc_id", F.col("toxic").alias("said")).join(labels.where(held), "doc_id").toPandas()
@@ -31,7 +31,8 @@ def test_threshold():
     assert 0.3 < best_threshold(p, y, np.ones(4)) < 0.8
 
 
-def test_mixing_meets_its_targets(docs, labels):
+def test_mixing_meets_its_targets(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = mix(docs, labels, MIX_TARGETS).toPandas()
     names, p, n = out.domains[0], np.stack(out.posterior), out.n_tokens.to_numpy()
     share = (p * (n * out.rate.to_numpy())[:, None]).sum(0) / n.sum()
