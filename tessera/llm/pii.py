@@ -2,8 +2,10 @@
 
 High-recall patterns propose spans that may overlap. Spans of the base rules (see :data:`BASE`) always count. The
 other candidates are scored by gradient boosted trees over format and context features. The trees are fitted by
-Spark on candidates of a bounded sample of documents, with the base rules' verdicts as weak labels; the features
-leave out what decides those verdicts (the plus sign, the check digit, the range of an address part). Held-out
+Spark on candidates of a bounded sample of documents. Weak labels are the base rules' verdicts on base matches, and on
+wider ones what they become when normalised (see :func:`becomes`); wider ones inside a base span train nothing, as
+they are never scored. The features leave out what decides the base verdicts (the plus sign and its country's code, the check digit, the
+range of an address part). Held-out
 candidates calibrate the scores, and each kind's threshold is the lowest score whose calibrated precision
 reaches ``precision``. The fitted trees are turned into SQL expressions, so scoring stays in one narrow stage.
 """
@@ -39,6 +41,17 @@ CONTEXT = 24
 LEAST_DIGITS = {"card": 8, "phone": 7}
 KEYWORDS = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|card|visa|pay|account|ip|host|server|address|write|reach)\b"
 
+#: What marks a number as one to call, and what marks it as something else.
+CALLS = r"(?i)\b(?:contact|call|phone|tel|telephone|mobile|cell|fax|reach|dial|ring)\b"
+OTHERS = r"(?i)\b(?:id|ids|no|nr|order|invoice|ref|reference|isbn|issn|sku|serial|ticket|case|version|account|item)\b[^A-Za-z0-9]*$"
+DATES = r"(?:(?<![0-9])(?:19|20)[0-9]{2}[\x20./-][01]?[0-9][\x20./-][0-3]?[0-9](?![0-9])|(?<![0-9])[0-3]?[0-9][\x20./-][0-3]?[0-9][\x20./-](?:19|20)[0-9]{2}(?![0-9]))"
+QUADS = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
+#: A country's code or none, an area part and two to four further groups; dotted quads and a card's groups of four are none.
+GROUPED = (
+    r"^(?![0-9]{4}(?:[\x20-][0-9]{4}){2})(?![0-9]+(?:\.[0-9]+){3}$)(?:[0-9]{1,3}[\x20.-])?"
+    r"(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]{1,2}\(?[0-9]{2,4}\)?){2,4}$"
+)
+
 
 def found_spans(text: Column, pattern: str, least_digits: int = 0) -> Column:
     """All matches of a pattern as ``array<struct<start, end, hit, before, after>>``, in code points, end exclusive.
@@ -88,6 +101,24 @@ def passes(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def becomes(kind: int, hit: Column, before: Column, after: Column) -> Column:
+    """Whether a wider match, normalised, is what its kind names: the weak label of a wider candidate.
+
+    An e-mail has both marks spelt out or as signs, and no end of a sentence for a dot. A phone number has 10 to 15
+    digits, and groups as such or a word before that names it; dates, ids, dotted quads and parts of longer numbers
+    are none.
+    """
+    if KINDS[kind] == "email":
+        plain = F.regexp_replace(hit, r"(?i)\x20?(?:\[at\]|\(at\)|\x20at\x20|@)\x20?", "@")
+        plain = F.regexp_replace(plain, r"(?i)\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?", ".")
+        marked = hit.rlike(r"(?i)[\[(]at[\])]|@|\x20at\x20.*(?:[\[(]dot[\])]|\x20dot\x20)")
+        return marked & plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}$")
+    whole = ~before.rlike(r"[A-Za-z0-9_]$|\+[\x20().0-9-]*$") & ~after.rlike(r"^(?:[A-Za-z_]|[\x20.-]?[0-9])")
+    called = before.rlike(CALLS) | hit.rlike(GROUPED)
+    other = before.rlike(OTHERS) | hit.rlike(DATES) | hit.rlike(QUADS)
+    return passes("phone", hit) & whole & called & ~other
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """``rows`` with ``__base`` and ``__wide``: arrays of ``struct<start, kind, end, hit, before, after, base>``.
 
@@ -122,11 +153,19 @@ def candidates(rows: DataFrame) -> DataFrame:
     return out.drop(*[f"__{k}" for k in KINDS], *[f"__wide{i}" for i in range(len(WIDER))])
 
 
+def _wide_label(c: Column) -> Column:
+    label = F.lit(False)
+    for kind in {KINDS.index(k) for k, _, _ in WIDER}:
+        label = F.when(c["kind"] == kind, becomes(kind, c["hit"], c["before"], c["after"])).otherwise(label)
+    return label
+
+
 def features(c: Column) -> list[Column]:
     """Format and context of a candidate."""
     hit, before, after = c["hit"], c["before"], c["after"]
-    bare = F.regexp_replace(hit, r"^\+", "")
-    digits = F.length(digits_of(hit))
+    # The plus sign goes with its country's code, so that a number has the same features with and without them.
+    bare = F.regexp_replace(hit, r"^\+(?:[0-9]{1,3}[\x20.-])?", "")
+    digits = F.length(digits_of(bare))
     groups = F.split(F.regexp_replace(bare, "[^0-9]+", " "), " ")
     return [
         c["kind"].cast("double"),
@@ -146,6 +185,11 @@ def features(c: Column) -> list[Column]:
         before.rlike(r"[A-Za-z0-9_]$").cast("double"),
         before.rlike(r"[0-9][^A-Za-z]{0,3}$").cast("double"),
         after.rlike(r"^[^A-Za-z]{0,3}[0-9]").cast("double"),
+        F.regexp_count(bare, F.lit(r"@|(?i:[\[(](?:at|dot)[\])]|\x20dot\x20)")).cast("double"),
+        F.regexp_count(bare, F.lit(r"\x20\.|\.\x20")).cast("double"),
+        bare.rlike(DATES).cast("double"),
+        bare.rlike(GROUPED).cast("double"),
+        before.rlike(OTHERS).cast("double"),
     ]
 
 
@@ -198,7 +242,9 @@ def fit_detector(docs: DataFrame, sample_docs: int = 6000, precision: float = 0.
     ids = docs.select(docs["doc_id"].alias("__pick")).where("__pick is not null").distinct()
     ids = ids.orderBy(F.xxhash64("__pick"), "__pick").limit(sample_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), docs["doc_id"] == F.col("__pick"), "left_semi")
-    each = candidates(rows).select("doc_id", F.explode(F.concat("__base", "__wide")).alias("c"))
+    clear = F.filter("__wide", lambda c: ~F.exists("__base", lambda b: b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    wide = F.transform(clear, lambda c: c.withField("base", _wide_label(c)))
+    each = candidates(rows).select("doc_id", F.explode(F.concat(F.col("__base"), wide)).alias("c"))
     data = each.select(
         F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("fold"),
         F.col("c.kind").alias("kind"),
@@ -215,12 +261,13 @@ def fit_detector(docs: DataFrame, sample_docs: int = 6000, precision: float = 0.
     model = gbt.fit(train)
     parts = [f"{float(w)!r}D * {tree_sql(t.toDebugString)}" for w, t in zip(model.treeWeights, model.trees)]
     margin = " + ".join(parts)
-    held = data.where("fold = 0").select("kind", "label", F.round(F.expr(margin), 2).alias("score"))
+    held = data.where("fold = 0").select("kind", "label", (F.floor(F.expr(margin) * 100) / 100).alias("score"))  # down, so that what is calibrated reaches its own threshold
     rows = held.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("true")).orderBy("kind", "score").collect()
     thresholds = {}
     for k in range(len(KINDS)):
-        got = calibrate([(r["score"], r["n"], int(r["true"])) for r in rows if r["kind"] == k], precision)
-        if got is not None:
+        mine = [(r["score"], r["n"], int(r["true"])) for r in rows if r["kind"] == k]
+        got = calibrate(mine, precision)
+        if got is not None and any(n > true for _, n, true in mine):  # without a false one, no score is tested
             thresholds[k] = got
     return Detector(margin, thresholds)
 

@@ -13,7 +13,7 @@ from tessera.llm.elias_fano import Sequence, build_trie, dequantise, open_trie,
 from tessera.llm.licenses import license_matches, oracle_sql
 from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.perplexity import kneser_ney, quality_rules
-from tessera.llm.pii import BASE, KINDS, calibrate, pii_report, redact, tree_sql
+from tessera.llm.pii import BASE, KINDS, calibrate, fit_detector, pii_report, redact, tree_sql, with_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = {
@@ -76,6 +76,34 @@ def test_redaction_keeps_columns(odd_docs, no_docs):
     assert out.where("doc_id = 1").first().text is None and out.count() == odd_docs.count()
 
 
+def test_wider_spans_are_selected(spark):
+    """A phone number without a plus and a spelt-out e-mail are added; dates, ids, quads and prose are not."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(900):
+        d = rng.integers(2, 10, 12)
+        n = "".join(map(str, d))
+        rows.append([
+            f"Call +1 ({n[:3]}) {n[3:6]}-{n[6:10]} now", f"please call ({n[:3]}) {n[3:6]}-{n[6:10]} now", f"write to bob{n[0]} [at] mail{n[1]} [dot] org today",
+            f"on 20{n[0]}{n[1]}-0{n[2]}-1{n[3]} 10 it was", f"order id {n[:3]} {n[3:6]} {n[6:10]} came", f"host 9{n[:2]}.{n[2:4]}.{n[4:6]}.{n[6:8]} fell", f"They met at noon{n[0]}. Then rain",
+        ][i % 7])
+    asked = {
+        "please call (555) 123-4567 now": "phone:12:26", "write to ann [at] example [dot] org today": "email:9:35", "on 2024-03-14 10 it was": "",
+        "order id 555 123 4567 came": "", "host 955.23.45.67 fell": "", "They met at noon. Then rain": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(rows + list(asked))), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii_report(docs).collect()}
+    assert [got[len(rows) + i] for i in range(len(asked))] == list(asked.values())
+
+
+def test_wide_matches_inside_a_base_span_train_nothing(spark):
+    """In the tables every grouped number stands behind a plus; one that stands alone is found all the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    mine = spark.createDataFrame([(-1, "please call (555) 123-4567 now"), (-2, "host 955.23.45.67 fell")], "doc_id long, text string")
+    out = with_spans(mine, fit_detector(docs))
+    assert {r.doc_id: [s["kind"] for s in r["__spans"]] for r in out.collect()} == {-1: [KINDS.index("phone")], -2: []}
+
+
 def test_trees_and_calibration():
     text = "DecisionTreeRegressionModel: uid\n  If (feature 1 <= 2.5)\n   Predict: -1.0\n  Else (feature 1 > 2.5)\n   If (feature 0 <= 1.0)\n    Predict: 0.5\n   Else (feature 0 > 1.0)\n    Predict: 2.0\n"
     assert tree_sql(text) == "(CASE WHEN x[1] <= 2.5D THEN (-1.0D) ELSE (CASE WHEN x[0] <= 1.0D THEN (0.5D) ELSE (2.0D) END) END)"
