@@ -137,13 +137,16 @@ def labelled_sample(
     """A bounded sample of labelled documents: at most ``per_class`` of each combination of label values.
 
     Rows are taken in the order of a hash of the id, so a rerun takes the same. Labels that are null or whose
-    document is missing are left out; repeated ids count once. Feature counts are taken by Spark; what reaches
+    document is missing are left out before classes are counted, so sample and weights describe ``docs`` itself;
+    repeated ids count once. Feature counts are taken by Spark; what reaches
     the driver is bounded by ``per_class``, the number of classes and ``max_features``.
     """
     spark = docs.sparkSession
     named = labels.select(labels["doc_id"].cast("long").alias("doc_id"), *[labels[c].cast("int").alias(f"y{i}") for i, c in enumerate(columns)])
     ys = [f"y{i}" for i in range(len(columns))]
     named = named.na.drop().groupBy("doc_id").agg(*[F.min(y).alias(y) for y in ys])
+    present = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    named = stage_table(named.join(present, "doc_id", "left_semi"), "present-labels")
     kinds = sorted((tuple(r[y] for y in ys), r["count"]) for r in named.groupBy(*ys).count().limit(256).collect())
     picked = None
     for values, _ in kinds:

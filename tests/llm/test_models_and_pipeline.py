@@ -1,8 +1,11 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.llm.linear import labelled_sample
 from tessera.llm.mixing import apply_rates, fit_rates, mix, rates_after
 from tessera.llm.queries import MIX_TARGETS, ORACLES, QUERIES
 from tessera.llm.toxicity import best_threshold, clean_only, fit_chain, score, toxicity
@@ -39,6 +42,21 @@ def test_mixing_meets_its_targets(spark):
     assert (out.rate >= 0).all() and all(abs(s - MIX_TARGETS.get(d, 0)) < 0.02 for s, d in zip(share, names))
 
 
+def test_mixing_counts_its_own_input(spark):
+    """Without the toxic documents, their labels are neither counted nor picked."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    toxic = labels.where("toxic = 1").orderBy("doc_id")
+    left = docs.join(toxic.offset(5), "doc_id", "left_anti")
+    sample = labelled_sample(left, labels, ["quality", "toxic"], per_class=100)
+    want = {(r.quality, r.toxic): r["count"] for r in labels.join(left, "doc_id", "left_semi").groupBy("quality", "toxic").count().collect()}
+    got = {}
+    for values, weight in zip(sample.labels.tolist(), sample.weight):
+        got[tuple(values)] = got.get(tuple(values), 0) + weight
+    assert want.keys() == got.keys() and all(abs(got[k] - n) < 1e-6 for k, n in want.items())
+    sizes = Counter(map(tuple, sample.labels.tolist()))
+    assert all(sizes[k] == min(n, 100) for k, n in want.items())
+
+
 def test_rates_equal_a_direct_solution(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet(np.ones(3), 50)
