@@ -94,9 +94,3 @@ def pack_small(values: np.ndarray, kind: str) -> bytes:
 
 def unpack_small(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
-
-
-def by_shard(keys: np.ndarray, shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of ascending distinct ``keys`` that puts shards together, and each shard's bounds in it."""
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))

@@ -2,16 +2,18 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.elias_fano import Sequence, build_trie, dequantise, open_trie, pack_sequence
+from tessera.llm import lm_scoring
+from tessera.llm.elias_fano import Sequence, build_trie, dequantise, dequantise_weight, mapped_trie, pack_sequence, quantise
 from tessera.llm.licenses import license_matches, oracle_sql
-from tessera.llm.lm_scoring import lm_scores
+from tessera.llm.lm_scoring import lm_scores, smoothed
 from tessera.llm.perplexity import kneser_ney, quality_rules
 from tessera.llm.pii import BASE, KINDS, calibrate, fit_detector, pii_report, redact, tree_sql, with_spans
 
@@ -124,11 +126,62 @@ def test_language_model(request, which):
     mine = sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got), key=str)
     assert [x[:5] for x in mine] == [x[:5] for x in want]
     assert np.allclose([x[5] for x in mine], [x[5] for x in want], rtol=1e-9)
+    want = brute_scores(tokens, held, counts, n, v)
+    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-6)
     if which == "docs":
         out = [r for r in got if r.held_out]
         assert sum(r.score for r in out) > sum(r.base_score for r in out)  # held-out text is likelier with contexts
 
 
+def brute_scores(tokens, held, counts, n, v):
+    """Interpolated trigrams from plain dictionaries, with the same quantisation."""
+    grams = {2: defaultdict(Counter), 3: defaultdict(Counter)}
+    around = []
+    for x, h in zip(tokens, held):
+        padded = [None, None, *x]
+        around.append([(padded[i + 1 : i + 2], padded[i : i + 2], t) for i, t in enumerate(x)])
+        for one, two, t in [] if h else around[-1]:
+            grams[2][tuple(one)][t] += 1
+            grams[3][tuple(two)][t] += 1
+    model = {}
+    for order, table in grams.items():
+        for context, successors in table.items():
+            c = np.array(list(successors.values()))
+            values, weight, _ = smoothed(c, np.zeros(1, np.int64), np.zeros(len(c), np.int64))
+            d, b = dequantise(values), dequantise_weight(weight)[0]
+            assert 1 - 0.0006 * b <= d.sum() + b <= 1 + 1e-12
+            model[order, context] = (dict(zip(successors, d)), b)
+    scores = []
+    for doc in around:
+        total = 0.0
+        for one, two, t in doc:
+            p = (counts[t] + 0.1) / (n + 0.1 * (v + 1))
+            for key in ((2, tuple(one)), (3, tuple(two))):
+                d, b = model.get(key, ({}, 1.0))
+                p = d.get(t, 0.0) + b * p
+            total += math.log10(p)
+        scores.append(total)
+    return scores
+
+
+def test_split_contexts_score_alike(spark, docs, monkeypatch):
+    """Shards of a few thousand bytes split every frequent context; scores move by no more than the quantisation."""
+    one = {r.doc_id: r.score for r in lm_scores(docs).collect()}
+    many = {(r.doc_id, r.n_tokens): r.score for r in lm_scores(docs, shard_bytes=1 << 14).collect()}
+    assert all(abs(s - one[i]) < 0.035 * n for (i, n), s in many.items())
+    assert abs(sum(many.values()) / sum(one.values()) - 1) < 0.01
+    chunks = lm_scoring.chunk_table(docs)
+    heavy = lm_scoring.heavy_contexts(chunks, 50)
+    assert len(heavy.contexts) and heavy.parts.sum() <= 4 * 2 * 50
+
+
+def test_counts_are_64_bits_wide():
+    keys = [np.array([1 << 21], np.uint64)] * 2
+    row = lambda n: {"shard": 0, "chunk": n, **{k: lm_scoring.pack_keys(keys[n]) for k in ("words", "keys2", "keys3")}, **{k: lm_scoring.pack_small(np.array([5_000_000_000]), "<u8") for k in ("word_counts", "counts2", "counts3")}}
+    out = lm_scoring.shard_answers(pa.Table.from_pylist([row(0), row(1)]), lm_scoring.NO_HEAVY)
+    assert lm_scoring.unpack_small(out.column("counts")[1].as_py(), "<u8").tolist() == [10_000_000_000] and out.column("tokens")[0].as_py() == 10_000_000_000
+
+
 def test_elias_fano():
     rng = np.random.default_rng(6)
     for n, top in ((0, 10), (1, 5), (1000, 900), (5000, 2**40)):
@@ -136,13 +189,20 @@ def test_elias_fano():
         s = Sequence({k: v for k, v in pack_sequence(values, top).items()})
         if n:
             assert (s.get(np.arange(n)) == values).all()
-    pairs = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) & np.uint64(0x0000000F_FFFFFFFF | 0xF_00000000))
-    counts = rng.integers(1, 1000, len(pairs))
-    trie = open_trie(build_trie(pairs, counts))
-    assert (np.abs(np.log10(dequantise(trie.codes(pairs))) - np.log10(counts)) <= 0.5 / 20 + 1e-9).all()
-    missing = pairs ^ np.uint64(1)
-    missing = missing[~np.isin(missing, pairs)]
-    assert (trie.codes(missing) == 0).all()
+    for context_bits, word_bits in ((31, 32), (42, 21)):
+        context, word = (rng.integers(0, 2**b, 200).astype(np.uint64) for b in (context_bits, word_bits))
+        keys = np.unique((context[rng.integers(0, 200, 3000)] << np.uint64(word_bits)) | word[rng.integers(0, 200, 3000)])
+        first, of = lm_scoring.contexts_of(keys, 2 if word_bits == 32 else 3)
+        p = rng.uniform(1e-6, 1, len(keys))
+        trie = mapped_trie(build_trie(keys, quantise(p), np.arange(1, len(first) + 1), context_bits, word_bits))
+        value, weight = trie.look_up(keys)
+        kept = dequantise(value)
+        assert ((kept <= p) & (kept > p * 10 ** (-1.01 / 32))).all() and (weight == of + 1).all()
+        missing = keys ^ np.uint64(1)
+        missing = missing[~np.isin(missing, keys)]
+        value, weight = trie.look_up(missing)
+        assert (value == 0).all() and (weight > 0).all()
+    assert mapped_trie(build_trie(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 31, 32)).look_up(keys[:3])[0].tolist() == [0, 0, 0]
 
 
 @pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs"])
