@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for work tables: ``spark.checkpoint.dir``, or a fresh one where it is unset."""
+    """The shared folder for work tables: ``spark.checkpoint.dir``, or in local mode a fresh one where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="tessera-work-")
         spark.conf.set("spark.checkpoint.dir", shared)
         spark.sparkContext.setCheckpointDir(shared)
@@ -52,3 +55,20 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def parts_for(spark: SparkSession, amount: int, per_part: int) -> int:
     """Partitions so that each holds about ``per_part`` of ``amount``; at least the session's parallelism."""
     return max(spark.sparkContext.defaultParallelism, -(-int(amount) // per_part))
+
+
+#: A key with more than one in so many of all rows is joined by broadcast; there are fewer such keys than this.
+HOT_SHARE = 128
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``table`` (one row a key) without a task that takes all rows of a frequent key.
+
+    ``n`` is the column of ``table`` with the key's number of rows, of ``total`` altogether. Keys with more than
+    ``total / HOT_SHARE`` rows, fewer than ``HOT_SHARE`` of them, are broadcast; all others meet by a shuffle.
+    """
+    hot = F.broadcast(table.where(F.col(n) * HOT_SHARE > F.lit(int(total))))
+    others = table.where(F.col(n) * HOT_SHARE <= F.lit(int(total)))
+    rest = rows.join(hot.select(key), key, "left_anti").join(others, key)
+    columns = [*rows.columns, *[c for c in table.columns if c != key]]
+    return rows.join(hot, key).select(*columns).unionByName(rest.select(*columns))

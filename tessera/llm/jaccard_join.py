@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunk_blocks, chunk_table, open_chunk, pack_keys, pack_small, unpack_keys, unpack_small
-from .common import parts_for, stage_table
+from .common import join_keyed, parts_for, stage_table
 from .components import components, roots_of
 from .words import distinct_per_row, lower_ascii, mix, row_shingles, word_hashes, word_spans
 
@@ -224,8 +224,9 @@ def salted(sets: DataFrame, key: str) -> DataFrame:
     """``sets`` with ``salt``, so that ``(key, salt)`` bounds a group; keys with one set are left out."""
     size = sets.groupBy(key).agg(F.count("*").alias("__sets"), F.sum("n").alias("__shingles")).where("__sets > 1")
     salts = F.ceil(F.greatest(F.col("__sets") / GROUP_SETS, F.col("__shingles") / GROUP_SHINGLES))
-    size = size.select(key, salts.alias("__salts"))
-    return sets.join(size, key).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(11)), F.col("__salts")).cast("int")).drop("__salts")
+    size = size.select(key, "__sets", salts.alias("__salts"))
+    named = join_keyed(sets, size, key, "__sets", sets.count())
+    return named.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(11)), F.col("__salts")).cast("int")).drop("__salts", "__sets")
 
 
 def link_round(sets: DataFrame, key: str, percent: int) -> DataFrame:
@@ -259,17 +260,20 @@ def group_table(sets: DataFrame, key: str) -> DataFrame:
         kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
         return pa.table([pa.array([v], t) for v, t in zip(row.values(), kinds)], names=list(row))
 
-    sized = sets.join(sets.groupBy(key).agg(F.count("*").alias("__sets")), key)
-    alone = sized.where("__sets = 1").select(
+    alone = sets.join(sets.groupBy(key).agg(F.count("*").alias("__sets")).where("__sets = 1"), key).select(
         F.col("n").alias("low"), F.col("n").alias("high"), F.col("cluster").alias("only"), F.array("cluster").alias("clusters"), "prefix", F.array("n").alias("sizes"), "tokens"
     )
-    several = salted(sized.where("__sets > 1").drop("__sets"), key)
+    several = salted(sets, key)
     return several.repartition(key, "salt").groupBy(key, "salt").applyInArrow(run, GROUPS).unionByName(alone)
 
 
 def open_groups(groups: DataFrame, percent: int) -> DataFrame:
     """``a, b``: clusters that a link joins, found by opening the qualifying pairs of groups; ``groups`` has a number each."""
     matrix = groups.select("number", "only", "low", "high", F.explode("prefix").alias("token"))
+    # A shingle that only groups of one cluster hold can join nothing; a family's own shingles leave here.
+    apart = matrix.groupBy("token").agg(F.min("only").alias("a"), F.max("only").alias("b"), F.count("only").alias("k"), F.count("*").alias("n"))
+    apart = apart.where("n > 1 and (a <> b or k < n)").select("token")
+    matrix = matrix.join(apart, "token", "left_semi")
     x, y = matrix.alias("x"), matrix.alias("y")
     fits = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
     other = F.coalesce(F.col("x.only") != F.col("y.only"), F.lit(True))
@@ -358,9 +362,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest id, with the columns of ``docs``.
 
-    Repeated rows of that id come once; rows with a null id are kept as they are.
+    Rows of that id are one document: each of its distinct texts stays once, in the row whose other columns
+    as JSON come first. Rows with a null id are kept as they are; an empty table gives no rows.
     """
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    named = docs.join(stay, docs["doc_id"].cast("long") == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(stay, docs["doc_id"].cast("long") == F.col("__stay"), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(F.lit(0).alias("__"), *[named[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)])
+    one = named.groupBy(named["doc_id"].alias("__id"), named["text"].alias("__text")).agg(F.min_by(rest, F.to_json(rest)).alias("__row"))
+    back = {"doc_id": F.col("__id"), "text": F.col("__text"), **{c: F.col(f"__row.c{i}") for i, c in enumerate(others)}}
+    named = one.select(*[back[c].alias(c) for c in docs.columns])
     return named.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -20,6 +20,8 @@ from .words import distinct_per_row, lower_ascii, mix, text_blocks, word_hashes,
 
 #: Lengths, in bytes, of the word beginnings that are features of longer words.
 BEGINNINGS = (4, 5, 6)
+#: Combinations of label values that a sample may have.
+MAX_CLASSES = 256
 DENSE = ("log_words", "distinct_share", "word_bytes", "symbol_share")
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>{}[]=_\\^~/@")] = True
@@ -137,8 +139,10 @@ def labelled_sample(
     """A bounded sample of labelled documents: at most ``per_class`` of each combination of label values.
 
     Rows are taken in the order of a hash of the id, so a rerun takes the same. Labels that are null or whose
-    document is missing are left out before classes are counted, so sample and weights describe ``docs`` itself;
-    repeated ids count once. Feature counts are taken by Spark; what reaches
+    document is missing are left out before classes are counted, so sample and weights describe ``docs`` itself.
+    More than ``MAX_CLASSES`` combinations raise ``ValueError``. Repeated ids count once: of several labels the
+    smallest of each column, of several texts the one whose features have the smallest hash. Empty tables give an
+    empty sample. Feature counts are taken by Spark; what reaches
     the driver is bounded by ``per_class``, the number of classes and ``max_features``.
     """
     spark = docs.sparkSession
@@ -147,7 +151,9 @@ def labelled_sample(
     named = named.na.drop().groupBy("doc_id").agg(*[F.min(y).alias(y) for y in ys])
     present = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     named = stage_table(named.join(present, "doc_id", "left_semi"), "present-labels")
-    kinds = sorted((tuple(r[y] for y in ys), r["count"]) for r in named.groupBy(*ys).count().limit(256).collect())
+    kinds = sorted((tuple(r[y] for y in ys), r["count"]) for r in named.groupBy(*ys).count().limit(MAX_CLASSES + 1).collect())
+    if len(kinds) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} combinations of label values in {columns}")
     picked = None
     for values, _ in kinds:
         of_class = named
@@ -186,7 +192,9 @@ def labelled_sample(
 
     found = stage_table(
         texts.mapInArrow(features, "doc_id long, class string, features array<long>, dense array<double>"), "labelled"
-    ).dropDuplicates(["doc_id"])
+    )
+    row = F.min_by(F.struct("features", "dense"), F.struct(F.xxhash64("features", "dense"), F.size("features"))).alias("r")
+    found = found.groupBy("doc_id", "class").agg(row).select("doc_id", "class", "r.features", "r.dense")
     classes = [",".join(map(str, v)) for v, _ in kinds]
     sizes = {c: n for c, n in found.groupBy("class").count().collect()}
     total = sum(sizes.values())

@@ -81,6 +81,20 @@ def test_stage_keeps_one_of_each(spark, odd_docs, no_docs):
     assert ids == sorted([1, 2, 3, 4, 5, 8, 10, 11, 12, None, None], key=str)
 
 
+def test_stage_keeps_unlike_rows_of_one_id(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(30)), "x"), (1, " ".join(f"b{i}" for i in range(30)), "y"), (2, " ".join(f"c{i}" for i in range(30)), "z"), (2, " ".join(f"c{i}" for i in range(30)), "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text[0], r.source) for r in one_of_each(docs).collect())
+    assert got == [(1, "a", "x"), (1, "b", "y"), (2, "c", "w")]
+
+
+def test_hub_meets_its_edges(spark):
+    """A hub with most of all edges, and one hub hanging on another."""
+    edges = spark.createDataFrame([(1000, i) for i in range(1001, 1400)] + [(1399, i) for i in range(1400, 1600)] + [(5, 6)], "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {5: 5, 6: 5, **{i: 1000 for i in range(1000, 1600)}}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (102, 100), (100, 101)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
@@ -128,6 +142,37 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     assert all(r.n_links == 89 and r.component_id == 0 for r in got)
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_recall_with_more_hashes(spark, hashes):
+    """Pairs just over the threshold, far from all others; every one that is missed counts."""
+    rng = np.random.default_rng(hashes)
+    rows = []
+    for _ in range(400):
+        x = rng.normal(size=64)
+        y = rng.normal(size=64)
+        x, y = x / np.linalg.norm(x), y - x * (x @ y) / (x @ x)
+        y = 0.91 * x + np.sqrt(1 - 0.91**2) * y / np.linalg.norm(y)
+        rows += [x, y]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    want = brute_vectors(df.collect())
+    got = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, hashes=hashes).collect()}
+    assert len(got & want) >= 0.98 * len(want) and all(n <= 1 for _, n, _ in got)
+
+
+def test_long_vectors(spark):
+    """Vectors of 8,192 components under two hashes, where a signed axis needs 14 bits: all 180 links are found."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(90):
+        x = rng.normal(size=8192)
+        rows += [x, x + rng.normal(size=8192) * 0.3]
+    df = spark.createDataFrame([(i, v.astype("f4").tolist(), "x") for i, v in enumerate(rows)], "vec_id long, embedding array<float>, bucket string")
+    got = near_vectors(df, hashes=2).collect()
+    assert sum(r.n_links for r in got) == 180 and all(r.component_id == r.vec_id // 2 * 2 for r in got)
+    with pytest.raises(ValueError, match="tables"):
+        near_vectors(df, hashes=20)
+
+
 def test_hadamard_keeps_length():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose((hadamard(x) ** 2).sum(1), 32 * (x**2).sum(1)) and np.allclose(hadamard(hadamard(x)), 32 * x)

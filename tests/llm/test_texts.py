@@ -10,11 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import lm_scoring
+from tessera.llm import lm_scoring, perplexity
 from tessera.llm.elias_fano import Sequence, build_trie, dequantise, dequantise_weight, mapped_trie, pack_sequence, quantise
 from tessera.llm.licenses import license_matches, oracle_sql
 from tessera.llm.lm_scoring import lm_scores, smoothed
-from tessera.llm.perplexity import kneser_ney, quality_rules
+from tessera.llm.perplexity import fit_models, kneser_ney, opened, quality_rules
 from tessera.llm.pii import BASE, KINDS, calibrate, fit_detector, pii_report, redact, tree_sql, with_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -227,6 +227,63 @@ def test_quality_rules(request, which):
         assert sum(r.kept for r in good) > 0.8 * len(good)
 
 
+def test_every_language_has_a_model(spark, monkeypatch):
+    """Ten languages of equal size: each has its own model and band, also where they take several waves."""
+    rng = np.random.default_rng(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(10):
+        mine = [letters[(k + j * (k + 1)) % 26] for j in range(9)]
+        for i in range(12):
+            rows.append((len(rows), f"l{k}", " ".join("".join(rng.choice(mine, 5)) for _ in range(400))))
+    rows += [(len(rows), "l3", " ".join("".join(rng.choice(list("qzxjv#|$"), 5)) for _ in range(400))), (len(rows) + 1, "tiny", " ".join("".join(rng.choice(list(letters), 5)) for _ in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    one = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert {r.model for r in one.values()} == {*[f"l{k}" for k in range(10)], "*"} and one[121].model == "*"
+    assert not one[120].kept and sum(r.kept for r in one.values() if r.doc_id < 120) > 110
+    assert len({(r.model, r.band_low) for r in one.values()}) == 11
+    monkeypatch.setattr(perplexity, "WAVE", 3)
+    assert {r.doc_id: r for r in quality_rules(docs).collect()} == one
+
+
+def test_bands_are_percentiles(spark):
+    rng = np.random.default_rng(10)
+    values = rng.normal(1.0, 0.1, 500)
+    df = spark.createDataFrame([("m", float(v)) for v in values] + [("m", None)], "model string, log10_perplexity double")
+    r = perplexity.bands(df, 5.0, 0.05).first()
+    low, mid, high = np.sort(np.floor(values * 1e4) / 1e4)[[49, 249, 449]]
+    assert np.allclose([r.band_low, r.band_high], [mid - 5 * (mid - low), mid + 5 * (high - mid)])
+
+
+def test_perplexity_equals_brute_force(spark, docs):
+    """The score of a text is the mean of its symbols' log probabilities, each backed off symbol by symbol."""
+    some = docs.where("lang is not null and doc_id < 12")
+    rows = some.select("doc_id", "text", "lang")
+    texts = {d.doc_id: d.text for d in rows.collect()}
+    models = opened(fit_models(rows.select("lang", "text")))
+    table = perplexity._symbols()
+    for r in perplexity.measure(rows, fit_models(rows.select("lang", "text"))).collect():
+        text, m = texts[r.doc_id], models[r.model]
+        symbols = [int(table[ord(c)]) for c in text]
+        symbols = [s for i, s in enumerate(symbols) if i == 0 or s or symbols[i - 1]]
+        known = {int(k): (float(p), float(b)) for k, p, b in zip(m.keys, m.logp, m.backoff)}
+
+        def at(gram):
+            code = sum(s << (5 * (len(gram) - 1 - i)) for i, s in enumerate(gram))
+            return known.get(int(perplexity.ngram_hash(len(gram), np.array([code], np.uint64))[0]))
+
+        total, padded = 0.0, [0, 0, 0, *symbols]
+        for i in range(3, len(padded)):
+            for n in range(4, 0, -1):
+                hit = at(padded[i - n + 1 : i + 1])
+                if hit:
+                    total += hit[0]
+                    break
+                back = at(padded[i - n + 1 : i]) if n > 1 else None
+                total += back[1] if back else 0.0
+        assert math.isclose(r.log10_perplexity, -total / len(symbols), rel_tol=1e-5) and r.n_chars == len(symbols)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(8)
     codes = np.unique(rng.integers(0, 32**4, 4000))
