@@ -1,4 +1,9 @@
-"""Known licence texts and notices. Published texts, without their copyright lines."""
+"""Known licence texts and notices. Published texts, without their copyright lines.
+
+Long texts are the files of ``license_files``, as their publishers word them.
+"""
+
+from importlib.resources import files
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -36,15 +41,43 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
-KNOWN = (
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n\n" + _ISC),
-    ("0BSD", _0BSD),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
-    ("Zlib", _ZLIB),
+# The licences whose full texts are files, by file name.
+FULL_TEXTS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+
+# Short texts, and the title lines that may stand above each.
+SHORT_TEXTS = (
+    ("MIT", _MIT, ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)")),
+    ("ISC", _ISC, ("ISC License", "The ISC License", "ISC License (ISC)")),
+    ("0BSD", _0BSD, ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)")),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL, ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL, ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("Zlib", _ZLIB, ("zlib License", "The zlib/libpng License", "zlib/libpng license")),
+    ("BSL-1.0", _BSL, ("Boost Software License - Version 1.0 - August 17th, 2003",)),
+    ("Unlicense", _UNLICENSE, ("The Unlicense",)),
+)
+
+# One-line notices.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -52,8 +85,21 @@ KNOWN = (
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
 )
+
+#: Licences that an SPDX tag may name alone.
+TAGS = (
+    "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense", "Apache-2.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "EPL-2.0",
+    *(f"{name}-{version}" for name, versions in (("GPL", ("2.0", "3.0")), ("LGPL", ("2.1", "3.0")), ("AGPL", ("3.0",))) for v in versions for version in (f"{v}-only", f"{v}-or-later")),
+)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """``(license id, text)`` of every known text: full texts, short ones with and without a title, notices and tags."""
+    folder = files(__package__) / "license_files"
+    out = [(name, (folder / f"{stem}.txt").read_text(encoding="utf-8")) for stem, name in FULL_TEXTS.items()]
+    out += [(name, head + text) for name, text, titles in SHORT_TEXTS for head in ("", *(f"{t}\n\n" for t in titles))]
+    return out + list(NOTICES) + [(t, f"SPDX-License-Identifier: {t}") for t in TAGS]
+
+
+KNOWN = tuple(known_texts())

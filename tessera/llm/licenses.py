@@ -28,7 +28,8 @@ SPELLINGS = (
     ("merchantibility", "merchantability"),
     ("per cent", "percent"),
 )
-COPYRIGHT_LINES = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A line that gives a notice, not one of prose that begins with the word.
+COPYRIGHT_LINES = r"(^|\n)[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|\[|<|by )|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4}|\[|<))[^\n]*"
 #: ASCII characters other than letters, digits and the newline.
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -51,21 +52,27 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """``license_id, digest`` of the known texts, under the same normalisation."""
-    known = spark.createDataFrame(list(KNOWN), "license_id string, known string")
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """``license_id, digest`` of the known texts, or of a table ``license_id, known``, under the same normalisation."""
+    if known is None:
+        known = spark.createDataFrame(list(KNOWN), "license_id string, known string")
     return known.select("license_id", F.sha2(one_line(normal_lines(F.col("known"))), 256).alias("digest")).distinct()
 
 
-def license_matches(docs: DataFrame) -> DataFrame:
-    """``doc_id, scope, line_no, license_id, digest``, one row per match.
+def license_matches(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``doc_id, scope, line_no, license_id, digest``, one row per match; an empty table gives no rows.
 
     ``scope`` is ``document`` where the whole text equals a known text (``line_no`` 0), or ``line`` where a whole
     line does (``line_no`` counts from 1 in the text without copyright lines' content). Null and empty texts
-    match nothing; null ids are kept; repeated rows match each for itself; other columns are not read.
+    match nothing; null ids are kept; repeated rows match each for itself; other columns are not read. A text that two
+    known licences share matches both. ``known`` (``license_id, known``) takes the place of the fixed list.
     """
-    known = F.broadcast(known_digests(docs.sparkSession))
-    longest = max(len(text) for _, text in KNOWN) * 2
+    digests_of = known_digests(docs.sparkSession, known)
+    if known is None:  # a fixed list; a caller's table may have any size
+        longest = F.lit(2 * max(len(text) for _, text in KNOWN))
+        digests_of = F.broadcast(digests_of)
+    else:
+        longest = F.lit(2**31 - 1)
     text = docs["text"].cast("string")
     rows = docs.where(text.isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), normal_lines(text).alias("lines"))
     # One pass a text: its trimmed lines, and before them the whole text as one line. Blanks between words are single
@@ -77,7 +84,7 @@ def license_matches(docs: DataFrame) -> DataFrame:
     scope = F.when(F.col("line_no") == 0, "document").otherwise("line").alias("scope")
     units = units.select("doc_id", scope, F.col("line_no").cast("long").alias("line_no"), "unit")
     digests = units.select("doc_id", "scope", "line_no", F.sha2("unit", 256).alias("digest"))
-    return digests.join(known, "digest").select("doc_id", "scope", "line_no", "license_id", "digest")
+    return digests.join(digests_of, "digest").select("doc_id", "scope", "line_no", "license_id", "digest")
 
 
 def oracle_sql() -> str:

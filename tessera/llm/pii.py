@@ -2,12 +2,15 @@
 
 High-recall patterns propose spans that may overlap. Spans of the base rules (see :data:`BASE`) always count. The
 other candidates are scored by gradient boosted trees over format and context features. The trees are fitted by
-Spark on candidates of a bounded sample of documents. Weak labels are the base rules' verdicts on base matches, and on
-wider ones what they become when normalised (see :func:`becomes`); wider ones inside a base span train nothing, as
-they are never scored. The features leave out what decides the base verdicts (the plus sign and its country's code, the check digit, the
-range of an address part). Held-out
-candidates calibrate the scores, and each kind's threshold is the lowest score whose calibrated precision
-reaches ``precision``. The fitted trees are turned into SQL expressions, so scoring stays in one narrow stage.
+Spark on candidates of a bounded sample of documents, into each of which one made-up string is written at a place
+between words: personal data in a form that the base rules miss (:data:`PLANTED`), or a string that only looks like
+it (:data:`DECOYS`). A candidate that is the string is true or false by what was written there, not by its pattern.
+Of the others, base matches are labelled by the base check, and wide ones are false where normalising them gives
+nothing of their kind (:func:`becomes`); wide ones of which that is unclear, and those inside a base span, train
+nothing. The features leave out what decides the base verdicts (the plus sign and its country's code, the check digit,
+the range of an address part). Held-out documents calibrate the scores, and each kind's threshold is the lowest score
+whose calibrated precision reaches ``precision``. The fitted trees are turned into SQL expressions, so scoring stays in
+one narrow stage.
 """
 
 from __future__ import annotations
@@ -36,6 +39,25 @@ WIDER = (
     ),
     ("phone", r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9(][\x20().0-9-]{4,20}[0-9]", r"[0-9][)\x20.-]"),
 )
+# What is written into sampled documents. `D` stands for a digit, `N` for a name, `H` for a host's name; the span is what
+# stands between the brackets ⟦ and ⟧.
+PLANTED = {
+    "email": (
+        "write to ⟦N [at] H [dot] org⟧", "mail ⟦N(at)H(dot)net⟧", "contact ⟦N at H dot com⟧", "⟦N [at] H.com⟧", "reach ⟦N.N (at) H.co [dot] uk⟧", "address: ⟦N @ H . org⟧",
+    ),
+    "phone": (
+        "call ⟦(DDD) DDD-DDDD⟧", "phone: ⟦DDD-DDD-DDDD⟧", "tel ⟦DDD.DDD.DDDD⟧", "⟦(DDD) DDD-DDDD⟧", "mobile ⟦0DDD DDD DDDD⟧", "reach me at ⟦DDD DDD DDDD⟧", "fax ⟦(0DD) DDDD DDDD⟧",
+    ),
+}
+DECOYS = {
+    "email": ("they look at home dot dot and rest", "back [at] noon.then out", "(at) dawn . dusk came", "at H dot matrix prints"),
+    "phone": (
+        "on 20DD-0D-1D DD it was", "order id DDD DDD DDDD", "ref DDDD-DDDD-DDDD", "isbn 978-D-DD-DDDDDD-D", "host 9DD.DD.DD.DD fell", "lines DDD-DDD of DDDD",
+        "version DD.DDDD.DDDD.D", "in 19DD-19DD and 20DD-20DD", "item no DDD-DDD-DDDD", "0.DDDDDD 0.DDDDDD",
+    ),
+}
+NAMES = ("ann", "bob", "j.doe", "maria", "kim77", "info", "sales", "lee_r")
+HOSTS = ("example", "mail", "corp-site", "uni", "postbox", "web9")
 CONTEXT = 24
 #: Digits below which a run of digits is no candidate; the base rules ask for more.
 LEAST_DIGITS = {"card": 8, "phone": 7}
@@ -234,22 +256,71 @@ def calibrate(counts: list[tuple[float, int, int]], precision: float, least: int
     return None
 
 
-def fit_detector(docs: DataFrame, sample_docs: int = 6000, precision: float = 0.98, trees: int = 12, depth: int = 3) -> Detector:
-    """Fit and calibrate on the candidates of at most ``sample_docs`` documents, taken by a hash of their ids."""
+def with_planted(rows: DataFrame) -> DataFrame:
+    """``rows`` (``doc_id, text``) with one string of :data:`PLANTED` or :data:`DECOYS` written into each text.
+
+    ``__kind`` is the string's kind, ``__true`` whether it is personal data, ``__from`` and ``__to`` its place (of a
+    decoy: all of it). What is written, and after which blank, follow from a hash of the document.
+    """
+    templates = [(KINDS.index(k), True, t) for k, ts in PLANTED.items() for t in ts] + [(KINDS.index(k), False, t) for k, ts in DECOYS.items() for t in ts]
+    seed = lambda n: F.xxhash64("doc_id", "text", F.lit(n))
+    pick = lambda items, n: F.get(F.array(*[F.lit(x) for x in items]), F.pmod(seed(n), F.lit(len(items))).cast("int"))
+    table = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(true).alias("true"), F.lit(t).alias("form")) for k, true, t in templates])
+    made = rows.withColumn("__t", F.get(table, F.pmod(seed(1), F.lit(len(templates))).cast("int")))
+    # Digits in the order of a hash's own digits, 2 to 9, as many as a form can have.
+    digits = F.translate(F.concat(*[F.lpad(F.pmod(seed(10 + i), F.lit(10**9)).cast("string"), 9, "7") for i in range(3)]), "01", "58")
+    form = F.replace(F.replace(F.col("__t.form"), F.lit("N"), pick(NAMES, 2)), F.lit("H"), pick(HOSTS, 3))
+    parts = F.split(form, "D", -1)
+    filled = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.struct(F.lit(1).alias("i"), F.get(parts, 0).alias("s")),
+        lambda a, p: F.struct((a["i"] + 1).alias("i"), F.concat(a["s"], F.substring(F.col("__digits"), a["i"], 1), p).alias("s")),
+        lambda a: a["s"],
+    )
+    made = made.withColumn("__digits", digits).withColumn("__made", filled)
+    blank = F.locate(" ", F.col("text"), 1)
+    at = F.expr("locate(' ', text, 1 + CAST(pmod(xxhash64(doc_id, text, 4), greatest(length(text), 1)) AS INT))")
+    made = made.withColumn("__at", F.when(at > 0, at).when(blank > 0, blank).otherwise(F.length("text")))
+    lead = F.concat(F.expr("left(text, __at)"), F.lit(" "))
+    head = F.when(F.contains("__made", F.lit("⟦")), F.substring_index("__made", "⟦", 1)).otherwise(F.lit(""))
+    plain = F.translate("__made", "⟦⟧", "")
+    body = F.when(F.contains("__made", F.lit("⟦")), F.regexp_extract("__made", "⟦(.*)⟧", 1)).otherwise(plain)
+    start = F.length(lead) + F.length(head)
+    return made.select(
+        "doc_id", F.concat(lead, plain, F.lit(" , "), F.expr("substring(text, __at + 1)")).alias("text"),
+        F.col("__t.kind").alias("__kind"), F.col("__t.true").alias("__true"), start.alias("__from"), (start + F.length(body)).alias("__to"),
+    )
+
+
+def labelled_candidates(rows: DataFrame) -> DataFrame:
+    """``doc_id, c, label``: the candidates of documents with planted strings that are known to be true or false."""
+    clear = F.filter("__wide", lambda c: ~F.exists("__base", lambda b: b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    sided = [
+        F.transform("__base", lambda c: F.struct(c.alias("c"), F.lit(False).alias("wide"))),
+        F.transform(clear, lambda c: F.struct(c.alias("c"), F.lit(True).alias("wide"))),
+    ]
+    each = candidates(with_planted(rows)).select("doc_id", "__kind", "__true", "__from", "__to", F.explode(F.concat(*sided)).alias("v")).select("*", "v.c", "v.wide")
+    touches = (F.col("c.start") < F.col("__to")) & (F.col("__from") < F.col("c.end"))
+    # The span itself, give or take a sign at its ends; a candidate that takes in more, or only a part, is false.
+    equal = (F.abs(F.col("c.start") - F.col("__from")) <= 2) & (F.abs(F.col("c.end") - F.col("__to")) <= 2) & (F.col("c.kind") == F.col("__kind"))
+    other = F.when(~_wide_label(F.col("c")), F.lit(0.0))
+    label = F.when(~F.col("wide"), F.col("c.base").cast("double")).when(touches, (equal & F.col("__true")).cast("double")).otherwise(other)
+    return each.select("doc_id", "c", label.alias("label")).where("label is not null")
+
+
+def fit_detector(docs: DataFrame, sample_docs: int = 6000, precision: float = 0.98, trees: int = 12, depth: int = 4) -> Detector:
+    """Fit and calibrate on the candidates of at most ``sample_docs`` documents, taken by a hash of their ids.
+
+    Rows with a null id are not in the sample. Without true and false candidates, as of an empty table, no span is added.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     ids = docs.select(docs["doc_id"].alias("__pick")).where("__pick is not null").distinct()
     ids = ids.orderBy(F.xxhash64("__pick"), "__pick").limit(sample_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), docs["doc_id"] == F.col("__pick"), "left_semi")
-    clear = F.filter("__wide", lambda c: ~F.exists("__base", lambda b: b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    wide = F.transform(clear, lambda c: c.withField("base", _wide_label(c)))
-    each = candidates(rows).select("doc_id", F.explode(F.concat(F.col("__base"), wide)).alias("c"))
-    data = each.select(
-        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("fold"),
-        F.col("c.kind").alias("kind"),
-        F.col("c.base").cast("double").alias("label"),
-        F.array(*features(F.col("c"))).alias("x"),
+    data = labelled_candidates(rows).select(
+        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("fold"), F.col("c.kind").alias("kind"), "label", F.array(*features(F.col("c"))).alias("x")
     )
     from .common import stage_table
 
@@ -264,7 +335,7 @@ def fit_detector(docs: DataFrame, sample_docs: int = 6000, precision: float = 0.
     held = data.where("fold = 0").select("kind", "label", (F.floor(F.expr(margin) * 100) / 100).alias("score"))  # down, so that what is calibrated reaches its own threshold
     rows = held.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("true")).orderBy("kind", "score").collect()
     thresholds = {}
-    for k in range(len(KINDS)):
+    for k in sorted(KINDS.index(name) for name in PLANTED):  # of the other kinds, the check digit or the range decides
         mine = [(r["score"], r["n"], int(r["true"])) for r in rows if r["kind"] == k]
         got = calibrate(mine, precision)
         if got is not None and any(n > true for _, n, true in mine):  # without a false one, no score is tested
@@ -311,7 +382,7 @@ def _count_of(kind: int) -> Column:
 
 
 def pii_report(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id``, the base counts, ``base_sha256`` and ``spans`` of each document.
+    """``doc_id``, the base counts, ``base_sha256``, ``spans`` and ``n_spans`` of each document.
 
     Null texts are empty and have no spans; null ids are kept, but train nothing; repeated rows are rows of
     their own; an empty table gives no rows. Of the columns, only ``doc_id`` and ``text`` are read.
@@ -320,7 +391,7 @@ def pii_report(docs: DataFrame, **options) -> DataFrame:
     out = with_spans(rows, fit_detector(rows, **options))
     out = out.select("doc_id", "__spans", F.filter("__spans", lambda s: s["base"]).alias("__b"))
     counts = [_count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("__b")), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("__b")), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"), F.size("__spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:

@@ -15,7 +15,7 @@ from tessera.llm.elias_fano import Sequence, build_trie, dequantise, dequantise_
 from tessera.llm.licenses import license_matches, oracle_sql
 from tessera.llm.lm_scoring import lm_scores, smoothed
 from tessera.llm.perplexity import fit_models, kneser_ney, opened, quality_rules
-from tessera.llm.pii import BASE, KINDS, calibrate, fit_detector, pii_report, redact, tree_sql, with_spans
+from tessera.llm.pii import BASE, KINDS, calibrate, fit_detector, pii_report, redact, tree_sql, with_planted, with_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = {
@@ -98,6 +98,24 @@ def test_wider_spans_are_selected(spark):
     assert [got[len(rows) + i] for i in range(len(asked))] == list(asked.values())
 
 
+def test_planted_strings_are_told_from_decoys(spark, small):
+    """Fitted on one table and asked about strings written into another: what is found beyond the base spans."""
+    fitted_on = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{small}/documents.parquet").select((F.col("doc_id") + 10**6).alias("doc_id"), "text")
+    asked = asked.unionByName(asked.withColumn("doc_id", F.col("doc_id") + 5000)).unionByName(asked.withColumn("doc_id", F.col("doc_id") + 9000))
+    detector = fit_detector(fitted_on)
+    assert sorted(detector.thresholds) == [KINDS.index("email"), KINDS.index("phone")]
+    rows = with_spans(with_planted(asked), detector).collect()
+    found = wrong = planted = 0
+    for r in rows:
+        more = [s for s in r["__spans"] if not s.base]
+        hit = [s for s in more if abs(s.start - r["__from"]) <= 2 and abs(s.end - r["__to"]) <= 2 and s.kind == r["__kind"]]
+        planted += r["__true"]
+        found += r["__true"] and bool(hit)
+        wrong += len(more) - (len(hit) if r["__true"] else 0)
+    assert planted > 100 and found >= 0.85 * planted and wrong <= 0.05 * found
+
+
 def test_wide_matches_inside_a_base_span_train_nothing(spark):
     """In the tables every grouped number stands behind a plus; one that stands alone is found all the same."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
@@ -306,6 +324,30 @@ def test_licences_equal_their_sql(request, which):
     assert sorted(str(list(r)) for r in license_matches(docs).collect()) == want
 
 
+def test_full_texts(spark):
+    """Every known text is found when its paragraphs are wrapped anew, in other case and marks, and not when a word is changed."""
+    import textwrap
+
+    from tessera.llm.license_texts import FULL_TEXTS, KNOWN, SHORT_TEXTS
+
+    names = {*FULL_TEXTS.values(), *[n for n, _, _ in SHORT_TEXTS]}
+    wholes = [(n, t) for n, t in KNOWN if n in names and not t.startswith("SPDX") and len(t) > 300]
+    rows = []
+    for i, (_, text) in enumerate(wholes):
+        wrapped = []
+        for line in re.split(r"\n[ \t]*\n", text):
+            notice = "copyright" in line.lower()
+            wrapped.append(line if notice else textwrap.fill(" ".join(line.split()), 60 + i))
+        words = text.split(" ")
+        middle = next(j for j in range(len(words) // 2, len(words)) if words[j].isalpha())
+        rows += [(3 * i, "Copyright (c) 2001 Someone\n\n" + "\n\n".join(wrapped)), (3 * i + 1, text.upper().replace(",", ";")), (3 * i + 2, " ".join([*words[:middle], "zebra", *words[middle + 1 :]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license_id) for r in license_matches(docs).where("scope = 'document'").collect()}
+    assert got == {(3 * i + k, n) for i, (n, _) in enumerate(wholes) for k in (0, 1)}
+    mine = spark.createDataFrame([("X", "My own words.")], "license_id string, known string")
+    assert license_matches(spark.createDataFrame([(1, "my OWN words")], "doc_id long, text string"), mine).where("scope = 'document'").count() == 1
+
+
 def test_licence_spellings(spark):
     text = "Copyright (c) 2020 Someone\nRELEASED under the  MIT Licence!"
     rows = license_matches(spark.createDataFrame([(1, text), (2, "Released under the MIT License, mostly.")], "doc_id long, text string")).collect()
