@@ -22,6 +22,12 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder that exists deleted when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stage_table(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost no rerun.
 
@@ -30,8 +36,7 @@ def stage_table(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -111,7 +111,9 @@ def mix(
     """``doc_id, n_tokens, posterior, domains, rate`` of every document.
 
     ``targets`` gives domains' shares of ``budget`` times all tokens; domains without one share nothing, and
-    shares are scaled to sum to 1 over the domains at hand. Documents without words keep rate 1.
+    shares are scaled to sum to 1 over the domains at hand. Documents without words, null texts among them, keep rate
+    1; null ids are rated as others are; repeated rows are rated alike, each for itself; an empty table gives no rows.
+    Only ``doc_id`` and ``text`` are read.
     """
     table, names = domain_posteriors(docs, labels, columns, **options)
     table = stage_table(table, "posteriors")

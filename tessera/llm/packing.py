@@ -130,10 +130,12 @@ def pack(
 ) -> DataFrame:
     """``sequence_id`` and ``offset`` of each piece; sequences are gapless and hold every capacity.
 
-    Pieces are dealt by hash into shares of about ``SHARE``, each packed by one task, longest piece first, in
-    an order that a rerun repeats. No sequence spans two shares, so at most one sequence a share is left
-    part-empty for that reason. ``max_cost`` is ``max_tokens ** 2`` unless given. A piece that exceeds a
-    capacity by itself raises ``ValueError``. An empty table gives no rows.
+    Pieces are dealt by hash, of equal rows by their place in the table, into shares of about ``SHARE``, each packed by
+    one task, longest piece first, in an order that a rerun repeats; give a table that is read from files. No sequence
+    spans two shares, so at most one sequence a share is left part-empty for that reason. ``max_cost`` is
+    ``max_tokens ** 2`` unless given; then, and with as many documents as tokens, tokens alone bind, as a sequence's
+    sum of squares is at most the square of its sum. A piece that exceeds a capacity by itself fits no sequence and
+    raises ``ValueError``. Null ids are documents of their own. An empty table gives no rows.
     """
     cost = max_tokens * max_tokens if max_cost is None else max_cost
     spark = pieces.sparkSession
@@ -158,12 +160,16 @@ def pack(
         table = table.drop_columns(["share"])
         return table.append_column("sequence_id", pa.array(sequence + share)).append_column("offset", pa.array(offset))
 
-    share = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)).cast("int")
-    spread = pieces.withColumn("share", share).repartition(parts_for(spark, shares, 1), "share")
+    share = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "__row"), F.lit(shares)).cast("int")
+    spread = pieces.withColumn("__row", F.monotonically_increasing_id()).withColumn("share", share).drop("__row")
+    spread = spread.repartition(parts_for(spark, shares, 1), "share")
     return spread.groupBy("share").applyInArrow(fill, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, max_tokens: int = 1024, **options) -> DataFrame:
-    """Tokenize, cut and pack whole documents; see :func:`token_pieces` and :func:`pack`."""
-    pieces = stage_table(token_pieces(docs, tokenizer, end_id, max_tokens), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, max_tokens: int = 1024, piece_tokens: int | None = None, **options) -> DataFrame:
+    """Tokenize, cut and pack whole documents; see :func:`token_pieces` and :func:`pack`.
+
+    Pieces have at most ``piece_tokens`` (``max_tokens`` unless given); ``docs`` may have any other columns.
+    """
+    pieces = stage_table(token_pieces(docs, tokenizer, end_id, piece_tokens or max_tokens), "pieces")
     return pack(pieces, max_tokens, **options)

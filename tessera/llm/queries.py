@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses
-from .common import work_dir
+from .common import delete_at_end, work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,7 @@ def op10_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{work_dir(spark)}/tessera/tokens-{uuid.uuid4().hex}"
     write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    delete_at_end(spark, path)
     return read_tokens(spark, path)
 
 

@@ -27,8 +27,9 @@ from .common import texts_of
 
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
-#: UTF-8 bytes of text that one file takes.
+#: UTF-8 bytes of text that one file takes, and files whose sizes are added up together.
 FILE_BYTES = 24 << 20
+FILE_GROUP = 1 << 12
 CHUNKS = (
     "file int, chunk int, first_id long, n_ids long, block_planes array<int>, plane_bytes array<int>, "
     "doc_ids array<long>, doc_tokens array<long>, planes array<binary>"
@@ -73,8 +74,9 @@ def from_planes(planes: list[bytes], n: int, unit: str = "bit") -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, unit: str = "bit", level: int = 3) -> None:
     """Tokenize every whole text, append ``end_id``, and write all ids to ``path`` in ascending ``doc_id`` order.
 
-    Null and empty texts have the end id alone; null ids come first; rows with equal ids follow each other.
-    An empty table writes empty tables. Long documents span as many chunks as they need.
+    Null and empty texts have the end id alone; null ids come first; rows with equal ids follow each other, over several
+    files where they are many, in the order of their texts' first characters. An empty table writes empty tables. A
+    chunk holds whole documents, so a very long one makes a long chunk.
     """
     rows = texts_of(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -114,8 +116,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, un
         if held:
             yield chunk_row()
 
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered = ordered.withColumn("file", F.spark_partition_id())
+    # Beside the id, files are divided by the text's beginning, and equal rows by their place.
+    keyed = rows.withColumn("__head", F.substring("text", 1, 32)).withColumn("__row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(files, "doc_id", "__head", "__row").sortWithinPartitions("doc_id", "__head", "__row")
+    ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("file"))
     ordered.mapInArrow(encode, CHUNKS).write.option("compression", "none").parquet(path)
 
 
@@ -128,7 +132,7 @@ def read_tokens(spark: SparkSession, path: str, unit: str = "bit", with_ids: boo
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files, and its ``ids`` if asked for.
 
     ``start`` counts the ids of all documents before it. Chunks are decoded independently; only one number a
-    file meets in the window over files.
+    file, and one a group of ``FILE_GROUP`` files, meet in windows.
     """
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
     columns = ["doc_id", "file", "begin", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
@@ -154,10 +158,13 @@ def read_tokens(spark: SparkSession, path: str, unit: str = "bit", with_ids: boo
 
     chunks = spark.read.schema(CHUNKS).parquet(path)
     read = chunks.mapInArrow(decode, "doc_id long, file int, begin long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
-    earlier = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    before = (
-        chunks.groupBy("file").agg(F.sum("n_ids").alias("of_file"))
-        .select("file", F.coalesce(F.sum("of_file").over(earlier), F.lit(0)).alias("before"))
-    )
+    # Sums before each file within its group of files, and before each group: a window of FILE_GROUP rows at most, and
+    # one of a row for each group.
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    before_in = F.coalesce(F.sum("of_file").over(earlier(W.partitionBy("group").orderBy("file"))), F.lit(0))
+    files = chunks.groupBy("file").agg(F.sum("n_ids").alias("of_file")).withColumn("group", F.floor(F.col("file") / FILE_GROUP))
+    groups = files.groupBy("group").agg(F.sum("of_file").alias("of_group"))
+    groups = groups.select("group", F.coalesce(F.sum("of_group").over(earlier(W.orderBy("group"))), F.lit(0)).alias("before_group"))
+    before = files.withColumn("before_in", before_in).join(groups, "group").select("file", (F.col("before_in") + F.col("before_group")).alias("before"))
     start = (F.col("before") + F.col("begin")).alias("start")
     return read.join(before, "file").select("doc_id", start, *columns[3:])

@@ -94,8 +94,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], per_cla
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` with ``p_<category>`` columns and ``toxic``: the last category's verdict.
 
-    Whole texts are scored; null and empty texts have no words and get the models' scores of such. All other
-    columns are kept as they are, and a column of ``docs`` that has a new column's name gives way to it.
+    Whole texts are scored; null and empty texts have no words and get the models' scores of such. Null ids and repeated
+    rows are scored as others are, equal texts alike; a probability equal to the threshold is toxic; an empty table
+    gives no rows. All other columns are kept as they are, and a column of ``docs`` that has a new column's name gives way to it.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm.linear import labelled_sample
+from tessera.llm.linear import block_features, labelled_sample
 from tessera.llm.mixing import apply_rates, fit_rates, mix, rates_after
 from tessera.llm.queries import MIX_TARGETS, ORACLES, QUERIES
 from tessera.llm.toxicity import best_threshold, clean_only, fit_chain, score, toxicity
@@ -42,6 +43,15 @@ def test_mixing_meets_its_targets(spark):
     assert (out.rate >= 0).all() and all(abs(s - MIX_TARGETS.get(d, 0)) < 0.02 for s, d in zip(share, names))
 
 
+def test_sample_of_repeated_and_many_labels(spark):
+    rows = [(i, f"word{i} other") for i in range(300)] + [(5, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = labelled_sample(docs, spark.createDataFrame([(5, 1)], "doc_id long, kind int"), ["kind"])
+    assert len(one.weight) == 1
+    with pytest.raises(ValueError, match="combinations"):
+        labelled_sample(docs, spark.createDataFrame([(i, i) for i in range(300)], "doc_id long, kind int"), ["kind"])
+
+
 def test_mixing_counts_its_own_input(spark):
     """Without the toxic documents, their labels are neither counted nor picked."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
@@ -100,6 +110,39 @@ def test_stages(spark, small, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "packing"]
 
 
+def test_packing_stage_binds_every_capacity(spark, small):
+    docs = spark.createDataFrame([(i, "a b") for i in range(200)] + [(1000 + i, "word " * 1100) for i in range(20)] + [(2000 + i, "word " * 500) for i in range(40)], "doc_id long, text string")
+    bins = {}
+    for r in corpus_pipeline.pack_sequences(spark, docs, small).collect():
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    used = [(sum(b), len(b), sum(n * n for n in b)) for b in bins.values()]
+    assert all(t <= 2048 and d <= 12 and c <= 3 * 1024**2 for t, d, c in used)
+    assert any(d == 12 for _, d, _ in used) and any(t > 2000 for t, _, _ in used)
+
+
+def test_packing_stage_takes_odd_and_empty_tables(spark, small, odd_docs, no_docs):
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    assert stage(spark, odd_docs, small).where("piece = 0").count() == odd_docs.count() and stage(spark, no_docs, small).count() == 0
+
+
+def test_chain_equals_brute_force(spark, docs, labels):
+    """Each probability from plain sums over a text's features, category by category."""
+    chain = fit_chain(docs, labels, ["quality", "toxic"])
+    rows = {r.doc_id: r for r in score(docs, chain).collect()}
+    place = {int(h): i for i, h in enumerate(chain.features.kept)}
+    for doc_id in sorted(rows)[:25]:
+        r = rows[doc_id]
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        hashes, _, dense, _ = block_features(raw, np.array([0, len(raw)]))
+        held, earlier = {place[int(h)] for h in hashes if int(h) in place}, []
+        for name, m in zip(chain.categories, chain.models):
+            x = [*dense[0], *[math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4))) for p in earlier]]
+            z = [m.bias[c] + sum(v * m.dense[k][c] for k, v in enumerate(x)) + sum(m.sparse[f][c] for f in held) for c in range(2)]
+            earlier.append(1 / (1 + math.exp(z[0] - z[1])))
+            assert math.isclose(r[f"p_{name}"], earlier[-1], rel_tol=1e-6, abs_tol=1e-9)
+        assert r.toxic == (r.p_toxic >= chain.thresholds[-1])
+
+
 @pytest.mark.parametrize("number", range(4))
 def test_stages_take_odd_and_empty_tables(spark, small, odd_docs, no_docs, number):
     _, stage = corpus_pipeline.STAGES[number]

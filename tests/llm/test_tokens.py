@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tessera.llm import packing, token_output
 from tessera.llm.packing import BestFit, pack, pack_documents, token_pieces
 from tessera.llm.token_output import from_planes, read_tokens, to_planes, write_tokens
 
@@ -50,22 +51,63 @@ def test_packing_is_gapless(request, tokenizer, which):
     assert len(sequences) <= -(-total // 1024) * 1.02 + 2
 
 
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 @pytest.mark.parametrize("rule", ["dot", "norm"])
-def test_packing_holds_every_capacity(spark, rule):
+def test_packing_equals_brute_force_under_every_capacity(spark, rule):
+    """Tokens, documents and cost each bind for some bins, and every bin is the one that plain best-fit opens."""
     rng = np.random.default_rng(1)
-    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 100, 400))], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    rows = pack(pieces, 128, 3, 9000, rule=rule).collect()
-    bins = defaultdict(list)
-    for r in rows:
-        bins[r.sequence_id].append(r.length)
-    assert len(rows) == 400
-    assert all(len(b) <= 3 and sum(b) <= 128 and sum(n * n for n in b) <= 9000 or len(b) == 1 for b in bins.values())
+    lengths = [int(n) for n in np.concatenate([rng.integers(1, 12, 300), rng.integers(40, 95, 200)])]
+    limits, weights = (128, 5, 9000), (1.0, 0.3, 0.5)
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], PIECES)
+
+    def filled(*limits):
+        bins = defaultdict(list)
+        for r in pack(pieces, *limits, weights, rule).collect():
+            bins[r.sequence_id].append(r.length)
+        assert sum(map(len, bins.values())) == 500
+        return sorted((sum(b), len(b), sum(n * n for n in b)) for b in bins.values())
+
+    used = filled(*limits)
+    assert all(t <= 128 and d <= 5 and c <= 9000 for t, d, c in used)
+    # Each capacity binds: without it some bin goes beyond.
+    assert any(t > 128 for t, _, _ in filled(1000, 5, 9000)) and any(d > 5 for _, d, _ in filled(128, 500, 9000)) and any(c > 9000 for _, _, c in filled(128, 5, 128**2))
+
+    cap, w, plain = np.array(limits, float), np.array(weights), []
+    for n in sorted(lengths, reverse=True):
+        need = np.array([n, 1, n * n], float)
+        best = None
+        for i, left in enumerate(plain):
+            if (left >= need).all():
+                gap = (left - need) / cap
+                score = (gap * gap * w).sum() if rule == "norm" else -(left / cap * (need / cap) * w).sum()
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, i)
+        if best is None:
+            plain.append(cap - need)
+        else:
+            plain[best[1]] = plain[best[1]] - need
+    assert sorted(tuple((cap - x).astype(int).tolist()) for x in plain) == used
+
+
+def test_a_piece_over_a_capacity_is_refused(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 50, 0), (2, 0, 0, 96, 0)], PIECES)
     with pytest.raises(Exception, match="longer than a sequence"):
         pack(pieces, 50).collect()
+    with pytest.raises(Exception, match="longer than a sequence"):
+        pack(pieces, 128, 3, 9000).collect()
+    assert pack(pieces, 128, 3, 9216).count() == 2
     with pytest.raises(ValueError):
         BestFit((1, 1, 1), (1, 1, 1), "worst")
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 100)
+    rows = pack(spark.createDataFrame([(None, 0, 0, 7, 3)] * 1000, PIECES), 70).collect()
+    assert len({r.sequence_id >> 40 for r in rows}) == 10 and len({r.sequence_id for r in rows}) <= 110
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=200), st.sampled_from(["bit", "byte"]))
 def test_planes_round_trip(values, unit):
@@ -73,11 +115,24 @@ def test_planes_round_trip(values, unit):
     assert (from_planes(to_planes(ids, unit), len(ids), unit) == ids).all()
 
 
+def test_one_id_fills_several_files(spark, tokenizer, tmp_path, monkeypatch):
+    """Rows that share an id are spread over files, and starts still count all ids before."""
+    monkeypatch.setattr(token_output, "FILE_BYTES", 400)
+    monkeypatch.setattr(token_output, "FILE_GROUP", 2)
+    docs = spark.createDataFrame([(7, f"word {i} of many words") for i in range(200)] + [(9, "last"), (1, "first")], "doc_id long, text string")
+    write_tokens(docs, str(tmp_path / "t"), tokenizer)
+    got = sorted(read_tokens(spark, str(tmp_path / "t"), with_ids=True).collect(), key=lambda r: r.start)
+    assert len({r.file for r in token_output.chunk_index(spark, str(tmp_path / "t")).collect()}) > 5
+    assert [r.doc_id for r in got] == [1, *[7] * 200, 9] and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(202)]
+    assert sorted(r.ids for r in got) == sorted(ids.tolist() for _, ids in ids_of(tokenizer, docs.collect(), 0))
+
+
 @pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs"])
 def test_output_round_trip(spark, request, tokenizer, tmp_path, which):
     docs = request.getfixturevalue(which)
     write_tokens(docs, str(tmp_path / "t"), tokenizer, unit="byte" if which == "docs" else "bit")
     got = read_tokens(spark, str(tmp_path / "t"), "byte" if which == "docs" else "bit", with_ids=True).collect()
+    # Rows with one id may follow each other in any order that their ids confirm.
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
     at, want = 0, []
     for doc, ids in ids_of(tokenizer, rows, 0):
