@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .diffs import agrees
+from .graph import ancestors, edges_of
+from .query import Query, search
+
 ACTIONS = ("ERROR", "NO_ACTION", "REPLACE", "REPLACE_IF_DIFFERENT")
 
 
@@ -114,12 +118,46 @@ def stimulus_train(spark, stimuli: int, repeats: int, on: float = 10.0, gap: flo
     return rows.select("presentation", (F.col("presentation") % stimuli + 1).alias("stimulus"), t.alias("t_on"), (t + on).alias("t_off"))
 
 
-def response_type(edges: DataFrame, scalars: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
-    """``root, response_type``: edges named for response scalars or tuning curves are followed until a scalar is met."""
+def response_type(edges: DataFrame, scalars: DataFrame, start: DataFrame, depth: int = 1000) -> DataFrame:
+    """``root, response_type``: edges named for response scalars or tuning curves are followed until a scalar is met; the
+    nearest counts, of several the one with the smallest id."""
     steps = edges.where(F.contains("name", F.lit("stimulus_response_scalar")) | F.contains("name", F.lit("stimulus_tuningcurve")))
-    at = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    found = at
-    for d in range(1, depth + 1):
-        at = at.join(steps.select(F.col("src").alias("id"), "dst"), "id").select("root", F.col("dst").alias("id"), F.lit(d).alias("depth")).distinct()
-        found = found.unionByName(at)
+    found = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).unionByName(ancestors(steps, start, depth))
     return found.join(scalars, "id").groupBy("root").agg(F.min_by("response_type", F.struct("depth", "id")).alias("response_type"))
+
+
+def default_parameters_query() -> Query:
+    """What a tuning curve is made of unless told otherwise: response scalars of a mean or F1 response."""
+    kind = Query("stimulus_response_scalar.response_type")
+    return Query().isa("stimulus_response_scalar") & (kind.contains("mean") | kind.contains("F1"))
+
+
+def simple_answer(documents: DataFrame, answer: float) -> DataFrame:
+    """``id, depends_on_id, answer``: one result for each base document, whose id follows from the document's."""
+    return search(documents, Query().isa("base")).select(F.md5(F.concat(F.lit("simple/"), "id")).alias("id"), F.col("id").alias("depends_on_id"), F.lit(answer).alias("answer"))
+
+
+def tuning_curves_of(documents: DataFrame, element_id: str) -> DataFrame:
+    """Tuning curves and response scalars that depend on an element."""
+    return search(documents, (Query().isa("stimulus_tuningcurve") | Query().isa("stimulus_response_scalar")) & Query().depends_on("element_id", element_id))
+
+
+def tuning_curve_log(documents: DataFrame, curves: DataFrame, edge: str = "stimulus_response_scalar_id", field: str = "log") -> DataFrame:
+    """``id, log``: each curve's independent variable log, read from the response document that it depends on; none: null."""
+    e = edges_of(curves).where(F.col("name") == edge).select(F.col("src").alias("id"), F.col("dst").alias("__r"))
+    said = documents.select(F.col("id").alias("__r"), F.try_variant_get("body", f"$.stimulus_response_scalar.{field}", "string").alias("log"))
+    return curves.select("id").join(e, "id", "left").join(said, "__r", "left").select("id", "log")
+
+
+def app_documents(store: DataFrame, new: DataFrame, keys: list[str], action: str = "ERROR", parameters: str = "parameters") -> DataFrame:
+    """The store after an app adds its documents under a policy for those that exist; see :func:`run_policy`."""
+    todo = run_policy(new, store, keys, action, parameters)
+    kept = store.join(todo.where("todo = 'replace'").select(*keys), keys, "left_anti").select(*store.columns)
+    return kept.unionByName(todo.where("todo in ('compute', 'replace')").select(*store.columns))
+
+
+def compare_results(made: DataFrame, expected: DataFrame, key: str, tolerances: dict[str, float]) -> DataFrame:
+    """``key, column, ok``: a mock test's rows against what is expected, each column within its tolerance."""
+    both = made.select(key, *[F.col(c).cast("double").alias(f"__a_{c}") for c in tolerances]).join(expected.select(key, *[F.col(c).cast("double").alias(f"__b_{c}") for c in tolerances]), key, "full")
+    each = [F.struct(F.lit(c).alias("column"), agrees(F.col(f"__a_{c}"), F.col(f"__b_{c}"), "abs_difference", tol).alias("ok")) for c, tol in tolerances.items()]
+    return both.select(key, F.explode(F.array(*each)).alias("s")).select(key, "s.column", "s.ok")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or a fresh one where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, or in local mode a fresh one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-work-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -40,11 +43,12 @@ def edges_of(documents: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame, towards: str, max_depth: int = 1000) -> DataFrame:
     """``root, id, depth``: what each start document reaches, and the least number of steps.
 
-    A frontier of pairs is joined to the edges level by level; pairs that are known are left out, so a cycle ends. Every
-    level is written, so lineage stays short and a lost executor costs one level.
+    A frontier of pairs is joined to the edges level by level; pairs that are known are left out, so a cycle ends. The
+    distinct edges and every level are written, so lineage stays short and a lost executor costs one level. Paths of
+    more than ``max_depth`` steps raise ``RuntimeError``.
     """
     near, far = ("dst", "src") if towards == "src" else ("src", "dst")
-    steps = edges.select(F.col(near).alias("__at"), F.col(far).alias("id")).distinct()
+    steps = written(edges.select(F.col(near).alias("__at"), F.col(far).alias("id")).distinct())
     frontier = start.select(F.col("id").alias("root"), "id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     out = None
@@ -56,6 +60,8 @@ def closure(edges: DataFrame, start: DataFrame, towards: str, max_depth: int = 1
         level = frontier.withColumn("depth", F.lit(depth))
         seen = seen.unionByName(level)
         out = level if out is None else out.unionByName(level)
+    else:
+        raise RuntimeError(f"paths of more than {max_depth} steps")
     return out if out is not None else seen.where("depth > 0")
 
 

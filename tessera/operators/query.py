@@ -98,6 +98,21 @@ class Query:
 
     equals, less_than, less_than_or_equal, greater_than, greater_than_or_equal = __eq__, __lt__, __le__, __gt__, __ge__
 
+    def equals(self, value) -> Query:
+        return self == value
+
+    def less_than(self, value) -> Query:
+        return self < value
+
+    def less_than_or_equal(self, value) -> Query:
+        return self <= value
+
+    def greater_than(self, value) -> Query:
+        return self > value
+
+    def greater_than_or_equal(self, value) -> Query:
+        return self >= value
+
     def contains(self, value: str) -> Query:
         return self._with("contains_string", value)
 

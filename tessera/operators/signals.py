@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,13 +21,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 KEYS = ["epoch_id", "channel"]
 # Abbreviations of channel types and their full names.
 CHANNEL_TYPES = {
-    "ai": "analog_in", "ao": "analog_out", "ax": "auxiliary", "di": "digital_in", "do": "digital_out",
-    "e": "event", "mk": "marker", "tx": "text", "t": "time", "dep": "digital_event_pos", "den": "digital_event_neg",
-    "dimp": "digital_mark_pos", "dimn": "digital_mark_neg", "aep": "analog_event_pos", "aen": "analog_event_neg",
-    "aimp": "analog_mark_pos", "aimn": "analog_mark_neg",
+    "ai": "analog_in", "ao": "analog_out", "di": "digital_in", "do": "digital_out", "ax": "auxiliary_in", "aux": "auxiliary_in",
+    "t": "time", "e": "event", "mk": "marker", "tx": "text",
+}
+# Storage type and bits of each kind of channel.
+STORAGE = {
+    "analog_in": ("float64", 64), "analog_out": ("float64", 64), "auxiliary_in": ("float64", 64), "time": ("float64", 64), "digital_in": ("uint8", 8),
+    "digital_out": ("uint8", 8), "event": ("float64", 64), "marker": ("float64", 64), "text": ("float64", 64), "eventmarktext": ("float64", 64),
 }
-# Storage type, slope, offset and bits of each kind of channel.
-STORAGE = {"analog_in": ("float64", 64), "analog_out": ("float64", 64), "auxiliary": ("float64", 64), "time": ("float64", 64), "digital_in": ("bool", 8), "digital_out": ("bool", 8), "event": ("float64", 64), "marker": ("float64", 64), "text": ("char", 8)}
 
 
 def sample_time(sample: Column, rate: Column, t0: Column | None = None) -> Column:
@@ -137,8 +140,11 @@ def intervals(events: DataFrame, keys: list[str], order: list[str], t: str = "t"
     return events.withColumn("interval", F.col(t) - F.lag(t).over(W.partitionBy(*keys).orderBy(*order)))
 
 
-def decimate(samples: DataFrame, step: int, keys: list[str] = KEYS, order: str = "sample_idx") -> DataFrame:
-    """Every ``step``-th sample from the first."""
+def decimate(samples: DataFrame, step: int, keys: list[str] = KEYS, order: str = "sample_idx", gapless: bool = False) -> DataFrame:
+    """Every ``step``-th sample from the first; ``gapless`` says that ``order`` counts 0, 1, 2 and so on, which saves the
+    shuffle."""
+    if gapless:
+        return samples.where(F.col(order) % step == 0)
     n = F.row_number().over(W.partitionBy(*keys).orderBy(order))
     return samples.withColumn("__n", n - 1).where(F.col("__n") % step == 0).drop("__n")
 
@@ -149,6 +155,37 @@ def standard_type(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(kind)), kind)
 
 
+def storage_type(kind: Column) -> Column:
+    """``struct<kind, bits>`` in which a channel of a standard type is stored, null for other types."""
+    table = F.create_map(*[v for k, (t, n) in STORAGE.items() for v in (F.lit(k), F.struct(F.lit(t).alias("kind"), F.lit(n).alias("bits")))])
+    return F.try_element_at(table, standard_type(kind))
+
+
+def type_prefix(kind: Column) -> Column:
+    """The usual abbreviation of a channel type; one without stays as it is."""
+    short = {full: k for k, full in CHANNEL_TYPES.items() if k not in ("aux", "tx")}
+    table = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, standard_type(kind)), kind)
+
+
+def read_events(kind: str, samples: DataFrame | None = None, native: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """``keys, sample_idx, event`` of an event channel, by its type: derived from a digital or analog channel's samples,
+    or as recorded. An analog type carries its threshold, as in ``aep_t2.5``; without one it is 0."""
+    base, _, number = kind.partition("_t")
+    threshold = float(number or 0)
+    derived = {
+        "dep": lambda: digital_edges(samples, True, keys=keys), "den": lambda: digital_edges(samples, False, keys=keys),
+        "dimp": lambda: digital_pulses(samples, True, keys), "dimn": lambda: digital_pulses(samples, False, keys),
+        "aep": lambda: crossings(samples, threshold, "up", keys), "aen": lambda: crossings(samples, threshold, "down", keys).withColumn("event", F.lit(1)),
+        "aimp": lambda: analog_pulses(samples, threshold, True, keys), "aimn": lambda: analog_pulses(samples, threshold, False, keys),
+    }
+    if base in derived:
+        return derived[base]()
+    if native is None:
+        raise ValueError(f"no recorded events for {kind}")
+    return native.select(*keys, "sample_idx", "event")
+
+
 def event_threshold(kind: Column) -> Column:
     """The number after ``_t`` in a channel type such as ``aep_t2.5``, or null."""
     return F.regexp_extract(kind, r"_t(-?[0-9.]+)$", 1).try_cast("double")
@@ -166,7 +203,10 @@ def channel_groups(channels: DataFrame, keys: list[str], order: str = "pos") ->
     return out.withColumn("group_place", F.dense_rank().over(W.partitionBy(*keys).orderBy("__first", "grp")) - 1).drop("__first")
 
 
-# --- Numeric filters: one epoch's channel at a time, in Arrow batches ---
+# --- Numeric filters: blocks of one epoch's channel, in Arrow batches ---
+
+#: Samples of a block, without the overlap on either side.
+BLOCK = 1 << 14
 
 
 def chebyshev(order: int, ripple_db: float, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,20 +222,23 @@ def chebyshev(order: int, ripple_db: float, cutoff: float) -> tuple[np.ndarray,
     return b.real, np.poly((4 + poles) / (4 - poles)).real
 
 
-def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    n = len(b) - 1
-    shift = np.eye(n) - np.vstack([-a[1:], np.eye(n)[:-1]]).T
-    return np.linalg.solve(shift, b[1:] - a[1:] * b[0])
+@lru_cache(maxsize=64)
+def _impulse(b: tuple, a: tuple) -> np.ndarray:
+    """The filter's answer to a single 1, until it has died away."""
+    radius = float(np.abs(np.roots(a)).max(initial=0.0))
+    n = len(b) + (math.ceil(math.log(1e-13) / math.log(radius)) if 0 < radius < 1 else 0)
+    out = np.zeros(n)
+    for i in range(n):
+        past = sum(a[k] * out[i - k] for k in range(1, min(i, len(a) - 1) + 1))
+        out[i] = (b[i] if i < len(b) else 0.0) - past
+    return out
 
 
-def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out, z = np.empty_like(x), state.copy()
-    for i, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-        out[i] = y
-    return out
+def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The filter over ``x``, as if its first value had stood for ever before it."""
+    h = _impulse(tuple(b), tuple(a))
+    before = len(h) - 1
+    return np.convolve(np.concatenate([np.full(before, x[0]), x]), h)[before : before + len(x)]
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -204,43 +247,56 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     if pad < 1:
         return x.copy()
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    rest = _steady(b, a)
-    y = _filter(b, a, ext, rest * ext[0])
-    y = _filter(b, a, y[::-1], rest * y[-1])[::-1]
+    y = _filter(b, a, _filter(b, a, ext)[::-1])[::-1]
     return y[pad : len(y) - pad]
 
 
-def low_pass_step(t: np.ndarray, limit: float) -> int:
-    """How many samples one kept sample stands for, from the median sampling distance; 1 or less: nothing to do."""
-    if len(t) < 2:
-        return 1
-    rate = 1.0 / np.median(np.diff(t))
-    return int(rate / (2 * limit)) if rate > 2 * limit else 1
-
-
 def downsample(samples: DataFrame, limit: float, keys: list[str], t: str = "t", value: str = "value", resample: bool = False) -> DataFrame:
     """``keys, t, value``: low-pass filtered without phase shift and decimated (or interpolated on an even grid).
 
-    A channel whose rate is at most twice ``limit`` stays as it is. One epoch's channel is handled at a time.
+    A channel's rate follows from its first and last time and its number of samples; one whose rate is at most twice
+    ``limit``, or whose times are all equal, stays as it is. Rows without a time or a value are left out. A channel is
+    filtered in blocks of ``BLOCK`` samples that overlap by what the filter takes to settle, so no channel gathers in
+    one task, and blocks agree with the whole to rounding.
     """
+    if limit <= 0:
+        raise ValueError("the limit must be above 0")
+    rows = samples.select(*keys, F.col(t).cast("double").alias("__t"), F.col(value).cast("double").alias("__v")).where("__t is not null and __v is not null")
+    span = rows.groupBy(*keys).agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"), F.count("*").alias("__n"))
+    rate = F.try_divide(F.col("__n") - 1, F.col("__last") - F.col("__first"))
+    rated = rows.join(span.select(*keys, "__first", F.when(rate > 2 * limit, rate).alias("__rate")), keys)
+    plain = rated.where("__rate is null").select(*keys, F.col("__t").alias(t), F.col("__v").alias(value))
+    fast = rated.where("__rate is not null").withColumn("__i", F.rint((F.col("__t") - F.col("__first")) * F.col("__rate")).cast("long"))
+    # The filter settles within a number of samples that grows with the rate over the limit; 400 of these are ample.
+    reach = (F.lit(400) * F.ceil(F.col("__rate") / (2 * limit))).cast("long")
+    size = F.greatest(F.lit(BLOCK).cast("long"), 4 * reach)
+    lo, hi = F.floor((F.col("__i") - reach) / size), F.floor((F.col("__i") + reach) / size)
+    fast = fast.withColumn("__size", size).withColumn("__block", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)))
     schema = StructType([*[samples.schema[k] for k in keys], StructField(t, DoubleType()), StructField(value, DoubleType())])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(t)
-        x, y = part[t].to_numpy(float), part[value].to_numpy(float)
-        rate = 1.0 / np.median(np.diff(x)) if len(x) > 1 else 0.0
-        if rate > 2 * limit:
-            y = zero_phase(*chebyshev(4, 0.8, limit / (rate / 2)), y)
-            if resample:
-                grid = np.arange(x[0], x[-1] + 1e-12, 1 / (2 * limit))
-                x, y = grid, np.interp(grid, x, y)
-            else:
-                step = low_pass_step(x, limit)
-                x, y = x[::step], y[::step]
-        first = part.iloc[0]
-        return pd.DataFrame({**{k: [first[k]] * len(x) for k in keys}, t: x, value: y})
-
-    return samples.select(*keys, F.col(t).cast("double").alias(t), F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(run, schema)
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("__t", "ascending"), ("__i", "ascending")])
+        x, y, i = (part.column(c).to_numpy() for c in ("__t", "__v", "__i"))
+        head = part.slice(0, 1).to_pylist()[0]
+        begin = head["__block"] * head["__size"]
+        end = begin + head["__size"]
+        y = zero_phase(*chebyshev(4, 0.8, 2 * limit / head["__rate"]), y)
+        if resample:
+            # Grid points between this block's first time and the next block's.
+            step, first = 1 / (2 * limit), head["__first"]
+            a, b = first + begin / head["__rate"], min(first + end / head["__rate"], x[-1] + step * 1e-9)
+            k = np.arange(math.ceil((a - first) / step - 1e-9), math.ceil((b - first) / step - 1e-9) + 1)
+            grid = first + k * step
+            grid = grid[(grid >= a - step * 1e-9) & ((grid < b - step * 1e-9) | (end > i[-1]) & (grid <= x[-1] + step * 1e-9))]
+            x, y = grid, np.interp(grid, x, y)
+        else:
+            step = max(1, int(head["__rate"] / (2 * limit)))
+            mine = (i >= begin) & (i < end) & (i % step == 0)
+            x, y = x[mine], y[mine]
+        named = {k: part.column(k).take(pa.array(np.zeros(len(x), np.int64))) for k in keys}
+        return pa.table({**named, t: pa.array(x), value: pa.array(y)}).combine_chunks()
+
+    return plain.unionByName(fast.groupBy(*keys, "__block").applyInArrow(run, schema))
 
 
 def interpolate_to(samples: DataFrame, factor: int, keys: list[str], order: str = "sample_idx", value: str = "value") -> DataFrame:

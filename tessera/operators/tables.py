@@ -129,7 +129,8 @@ def section_keys(documents: DataFrame, section: str, limit: int = 2000) -> list[
 def document_table(documents: DataFrame, section: str) -> DataFrame:
     """``id`` and one text column for each key that any document has in the section."""
     keys = section_keys(documents, section)
-    return documents.select("id", *[F.try_variant_get("body", f"$.{section}['{k}']", "string").alias(f"{section}_{k}") for k in keys])
+    held = F.try_variant_get("body", f"$.{section}", "map<string,variant>")
+    return documents.select("id", *[F.try_variant_get(F.try_element_at(held, F.lit(k)), "$", "string").alias(f"{section}_{k}") for k in keys])
 
 
 def dependency_columns(documents: DataFrame, names: list[str]) -> DataFrame:
@@ -179,11 +180,12 @@ def text_filter(df: DataFrame, column: str, value: str, how: str = "contains") -
 
 
 def search_ids(df: DataFrame, needles: DataFrame, column: str = "id") -> DataFrame:
-    """``needle, <column>``: a row for each id that contains a needle, in any case; needles are a short list."""
+    """``needle, <column>``: a row for each id that contains a needle, in any case; needles are a short list, which
+    Spark broadcasts if its size allows."""
     hit = F.contains(F.lower(df[column]), F.lower(needles["needle"]))
-    return df.join(F.broadcast(needles), hit).select("needle", column)
+    return df.join(needles, hit).select("needle", column)
 
 
 def combinations(inputs: list[DataFrame]) -> DataFrame:
     """All combinations of the rows of short input lists; an empty one gives none."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), inputs)
+    return reduce(lambda a, b: a.crossJoin(b), inputs)

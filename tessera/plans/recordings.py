@@ -32,9 +32,9 @@ def segment_read(spark, sf_dir):
     return signals.read_samples(s, 10, 25, ["ai1"], 16).select("epoch_id", "sample_idx", "value")
 
 
-@query(f"WITH {SAMPLES} SELECT epoch_id, sample_idx, max(value) AS ai1 FROM samples WHERE sample_idx < 5 GROUP BY ALL")
+@query(f"WITH {SAMPLES} SELECT epoch_id, sample_idx, max(value) AS ai1 FROM samples GROUP BY ALL")
 def wide_read(spark, sf_dir):
-    return signals.wide_samples(signals.read_samples(samples(spark, sf_dir), 0, 4), ["ai1"])
+    return signals.wide_samples(samples(spark, sf_dir), ["ai1"])
 
 
 @query("SELECT event_id FROM events WHERE epoch_us(ts) / 1e6 BETWEEN 1704500000 AND 1706000000")
@@ -96,7 +96,7 @@ def ipi_diff(spark, sf_dir):
 
 @query(f"WITH {SAMPLES} SELECT epoch_id, sample_idx, value FROM samples WHERE sample_idx % 4 = 0")
 def decimate(spark, sf_dir):
-    return signals.decimate(samples(spark, sf_dir), 4).select("epoch_id", "sample_idx", "value")
+    return signals.decimate(samples(spark, sf_dir), 4, gapless=True).select("epoch_id", "sample_idx", "value")
 
 
 @query("SELECT DISTINCT event_type, CASE event_type WHEN 'click' THEN 'analog_in' WHEN 'view' THEN 'marker' ELSE event_type END AS full_name FROM events")
@@ -112,11 +112,10 @@ def channel_group_decoding(spark, sf_dir):
     return signals.channel_groups(li, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "in_group", "group_place")
 
 
-@query(f"""WITH {SAMPLES}, n AS (SELECT *, coalesce(lead(value) OVER (PARTITION BY epoch_id ORDER BY sample_idx), value) AS nxt FROM samples WHERE sample_idx < 20)
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, coalesce(lead(value) OVER (PARTITION BY epoch_id ORDER BY sample_idx), value) AS nxt FROM samples)
 SELECT epoch_id, (sample_idx * 4 + j)::BIGINT AS sample_idx, round(value + (nxt - value) * j / 4, 5) AS value FROM n, range(4) r(j)""")
 def aux_interpolate(spark, sf_dir):
-    s = samples(spark, sf_dir).where("sample_idx < 20")
-    return signals.interpolate_to(s, 4, _C).select("epoch_id", "sample_idx", F.round("value", 5).alias("value"))
+    return signals.interpolate_to(samples(spark, sf_dir), 4, _C).select("epoch_id", "sample_idx", F.round("value", 5).alias("value"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, event_type FROM events), m AS (SELECT user_id, ts, max(event_id) AS mark FROM e WHERE event_type = 'signup' GROUP BY ALL)

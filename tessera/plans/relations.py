@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import calc, tables
+from tessera.operators.epochs import matches_given
 
 from .inputs import query, table
 
@@ -29,10 +30,7 @@ def rows_valid(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE event_type = 'purchase' AND value BETWEEN 10 AND 90")
 def findepochnode_wildcard(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    wanted = {"event_type": "purchase", "user_id": None}
-    for c, v in wanted.items():
-        e = e.where(F.lit(v).isNull() | (F.col(c) == F.lit(v)))
+    e = table(spark, sf_dir, "events").where(matches_given({"event_type": "purchase", "user_id": None}))
     return e.where(F.col("value").between(10, 90)).select("event_id")
 
 
@@ -68,9 +66,9 @@ def vstack_dissimilar(spark, sf_dir):
     return tables.move_left(tables.stack([c, s]), ["balance", "none"])
 
 
-@query("SELECT r_regionkey, n_nationkey FROM region, nation WHERE n_nationkey < 10")
+@query("SELECT r_regionkey, n_nationkey FROM region, nation")
 def cartesian_inputs(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 10").select("n_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey")
     return tables.combinations([table(spark, sf_dir, "region").select("r_regionkey"), n])
 
 

@@ -18,6 +18,16 @@ def pairs(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
+def test_events_by_type(wave, spark):
+    read = lambda kind: pairs(signals.read_events(kind, wave), "sample_idx", "event")
+    assert read("dep") == [(2, 1), (5, 1)] and read("den") == [(4, 1), (6, 1)] and read("aen_t0.5") == [(4, 1), (6, 1)] and read("aep_t0.5") == [(2, 1), (5, 1)]
+    assert read("dimp") == read("aimp_t0.5") == [(2, 1), (4, -1), (5, 1), (6, -1)] and read("aimn_t0.5") == [(2, -1), (4, 1), (5, -1), (6, 1)]
+    native = spark.createDataFrame([("e", "c", 3, 7)], "epoch_id string, channel string, sample_idx int, event int")
+    assert pairs(signals.read_events("marker", None, native), "sample_idx", "event") == [(3, 7)]
+    with pytest.raises(ValueError):
+        signals.read_events("marker")
+
+
 def test_conversions(spark):
     r = spark.createDataFrame([(0, 0.0), (1000, 0.1), (2000, 0.2)], "s long, t double")
     got = r.select(signals.sample_time(F.col("s"), F.lit(30000.0)), signals.time_sample(F.col("t"), F.lit(30000.0))).collect()
@@ -45,6 +55,9 @@ def test_markers(spark):
 
 def test_types(spark):
     r = spark.createDataFrame([("ai",), ("aep_t2.5",), ("odd",)], "k string")
+    every = spark.createDataFrame([(k,) for k in signals.CHANNEL_TYPES], "k string").select("k", signals.standard_type(F.upper("k")).alias("full"), signals.storage_type(F.col("k"))["kind"].alias("kind"), signals.type_prefix(F.col("k")).alias("short"))
+    assert {x.k: x.full for x in every.collect()} == signals.CHANNEL_TYPES and {x.kind for x in every.collect()} == {"float64", "uint8"}
+    assert {x.k: x.short for x in every.collect()} == {k: {"aux": "ax", "tx": "tx"}.get(k, k) for k in signals.CHANNEL_TYPES}
     got = r.select(signals.standard_type(F.col("k")), signals.is_analog_event(F.col("k")), signals.event_threshold(F.col("k"))).collect()
     assert [tuple(x) for x in got] == [("analog_in", False, None), ("aep_t2.5", True, 2.5), ("odd", False, None)]
 
@@ -62,6 +75,29 @@ def test_filter_and_downsampling(spark):
     assert signals.downsample(rows, 128.0, ["e"]).count() == 100
     assert signals.downsample(rows, 600.0, ["e"]).count() == 400
     assert signals.downsample(rows, 128.0, ["e"], resample=True).count() == 100
+    odd = spark.createDataFrame([("same", 1.0, 2.0)] * 3 + [("null", None, 1.0), ("null", 1.0, None)], "e string, t double, value double")
+    assert signals.downsample(odd, 128.0, ["e"]).count() == 3
+
+
+def test_filter_in_blocks_equals_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.normal(size=9000))
+    b, a = signals.chebyshev(4, 0.8, 0.25)
+    state, plain = np.zeros(4), []  # sample by sample, from rest
+    for v in x[:500]:
+        y = b[0] * v + state[0]
+        state = np.array([*(state[1:] + b[1:4] * v - a[1:4] * y), b[4] * v - a[4] * y])
+        plain.append(y)
+    assert np.allclose(signals._filter(b, a, np.concatenate([[0.0], x[:500]]))[1:], plain)
+    rows = spark.createDataFrame([("e", i / 1024, float(v)) for i, v in enumerate(x)], "e string, t double, value double")
+    whole = {r.t: r.value for r in signals.downsample(rows, 128.0, ["e"]).collect()}
+    monkeypatch.setattr(signals, "BLOCK", 2000)
+    cut = {r.t: r.value for r in signals.downsample(rows, 128.0, ["e"]).collect()}
+    assert len(whole) == 2250 and whole.keys() == cut.keys() and max(abs(whole[t] - cut[t]) for t in whole) < 1e-6
+    want = signals.zero_phase(*signals.chebyshev(4, 0.8, 0.25), x)[::4]
+    assert np.allclose([whole[t] for t in sorted(whole)], want, atol=1e-6)
+    grid = signals.downsample(rows, 100.0, ["e"], resample=True).collect()
+    assert sorted(r.t for r in grid) == pytest.approx([k / 200 for k in range(len(grid))]) and len(grid) == int(8999 / 1024 * 200) + 1
 
 
 def test_mappings(spark):
@@ -94,6 +130,10 @@ def test_fits(spark):
     assert clocks.trigger_fit(a, b, ["k"]).count() == 0
     fit = clocks.pulse_fit(a, b, ["k"]).first()
     assert fit.lag == -4 and math.isclose(fit.mapping[0], 2, rel_tol=1e-6) and math.isclose(fit.mapping[1], 1, abs_tol=1e-6)
+    odd = {"k": "k", "i": "i", "j": "j", "x": "x", "y": "y", "n": "n", "lag": "lag"}
+    wide = lambda df: df.select(*[F.lit(v).alias(c) for c, v in odd.items()], "t")
+    again = clocks.pulse_fit(wide(a), wide(b), ["k", "i", "j", "x", "y"]).first()
+    assert again.lag == -4 and clocks.trigger_fit(wide(a), wide(a), ["k", "i", "x", "y"]).first().n == 30
     exact = clocks.trigger_fit(a, a.withColumn("t", F.col("t") * 3), ["k"]).first()
     assert exact.n == 30 and math.isclose(exact.mapping[0], 3, rel_tol=1e-9)
 
