@@ -157,3 +157,38 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df
+
+
+def shape_of(data: Column) -> Column:
+    """``struct<dim, coordinates>`` of a vector: its length, and the coordinates 0, 1 and so on."""
+    n = F.size(data)
+    return F.struct(F.array(n).alias("dim"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("coordinates"))
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """``path, md5, modified, length`` of binary files as Spark reads them."""
+    return files.select("path", F.md5("content").alias("md5"), F.col("modificationTime").alias("modified"), "length")
+
+
+def dotted_class(name: Column) -> Column:
+    """A class name with underscores as one with dots."""
+    return F.replace(name, F.lit("_"), F.lit("."))
+
+
+def underscored_class(name: Column) -> Column:
+    return F.replace(name, F.lit("."), F.lit("_"))
+
+
+def fully_matches(text: Column, pattern: str) -> Column:
+    """Whether the whole text fits a pattern; null does not."""
+    return F.coalesce(text.rlike(rf"\A(?:{pattern})\z"), F.lit(False))
+
+
+def require_types(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``df``, or an error that names the columns whose type is not the one asked for; ``numeric`` is any number."""
+    numeric = ("byte", "short", "integer", "long", "float", "double", "decimal")
+    fits = lambda c, k: df.schema[c].dataType.typeName() in numeric if k == "numeric" else df.schema[c].dataType.simpleString() == k
+    wrong = [c for c, k in kinds.items() if not fits(c, k)]
+    if wrong:
+        raise ValueError(f"columns of another type: {wrong}")
+    return df

@@ -93,3 +93,11 @@ def validate_sync(local: DataFrame, remote: DataFrame) -> DataFrame:
 def compare_lists(a: Column, b: Column) -> Column:
     """What only one of two lists holds, in any order."""
     return F.struct(F.array_sort(F.array_except(a, b)).alias("only_a"), F.array_sort(F.array_except(b, a)).alias("only_b"))
+
+
+def dataset_diff(left: DataFrame, right: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """``session_id, id, status``: the differences of two datasets session by session; documents are told apart by both ids."""
+    pair = lambda df: df.withColumn("id", F.to_json(F.struct("session_id", "id")))
+    out = session_diff(pair(left), pair(right), ignore)
+    ids = F.from_json("id", "session_id string, id string")
+    return out.select(ids["session_id"].alias("session_id"), ids["id"].alias("id"), "status")

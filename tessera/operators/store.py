@@ -187,3 +187,62 @@ def document_merge(left: DataFrame, right: DataFrame) -> DataFrame:
         .withColumn("depends_on", F.concat(kept, theirs))
         .select(*left.columns)
     )
+
+
+def id_list(documents: DataFrame, session_id: str | None = None) -> DataFrame:
+    """Ids of all documents, or of a session's."""
+    out = documents if session_id is None else documents.where(F.col("session_id") == session_id)
+    return out.select("id")
+
+
+def id_counts(documents: DataFrame) -> DataFrame:
+    """``session_id, n``: documents of each session."""
+    return documents.groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+def add_named(store: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows to append, as :func:`add`; a name that the store holds is an error as well."""
+    names = store.select(F.col("name").alias("__name")).distinct()
+    marked = add(store, new).join(names, F.col("name") == F.col("__name"), "left")
+    bad = F.raise_error(F.concat(F.lit("name exists: "), F.col("name")))
+    return marked.withColumn("name", F.when(F.col("__name").isNotNull(), bad).otherwise(F.col("name"))).select(*new.columns)
+
+
+def clear(store: DataFrame, sure: str) -> DataFrame:
+    """An empty store, if ``sure`` is ``yes``; every session's documents go."""
+    return store.where("false") if sure == "yes" else store
+
+
+def foreign_documents(documents: DataFrame, session_id: str) -> DataFrame:
+    """Documents that belong to another session; those without one belong to any."""
+    return documents.where(~F.coalesce("session_id", F.lit("")).isin("", session_id))
+
+
+def routed(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """New documents of a dataset; a session that it lacks is an error when the plan runs."""
+    known = sessions.select("session_id", F.lit(True).alias("__known")).distinct()
+    bad = F.raise_error(F.concat(F.lit("no such session: "), F.col("session_id")))
+    met = new.join(known, "session_id", "left")
+    return met.withColumn("session_id", F.when(F.col("__known").isNull(), bad).otherwise(F.col("session_id"))).select(*new.columns)
+
+
+def session_entries(entries: DataFrame, documents: DataFrame) -> DataFrame:
+    """A dataset's session entries (``session_id, is_linked``) repaired: one for each session that is listed or has
+    documents; one that is not listed is not linked."""
+    seen = documents.where("session_id <> ''").select("session_id", F.lit(None).cast("boolean").alias("is_linked"))
+    both = entries.select("session_id", "is_linked").unionByName(seen)
+    return both.groupBy("session_id").agg(F.coalesce(F.max("is_linked"), F.lit(False)).alias("is_linked"))
+
+
+def evictions(items: DataFrame, needed: int, capacity: int, order: str = "fifo", keys: list[str] = []) -> DataFrame:
+    """The cached items that leave so that ``needed`` bytes fit: lowest priority first, of equal ones the oldest (``fifo``)
+    or the newest (``lifo``); ``error`` raises when the plan runs if any has to leave. ``items``: ``key, priority, t, bytes``."""
+    if order not in ("fifo", "lifo", "error"):
+        raise ValueError(f"unknown order: {order}")
+    own = [F.col(k) for k in keys] or [F.lit(1)]
+    held = F.sum("bytes").over(W.partitionBy(*own))
+    t = F.desc("t") if order == "lifo" else F.asc("t")
+    before = F.coalesce(F.sum("bytes").over(W.partitionBy(*own).orderBy("priority", t, "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    short = held + needed - capacity
+    out = items.withColumn("__short", short).withColumn("__before", before).where((F.col("__short") > 0) & (F.col("__before") < F.col("__short"))).drop("__short", "__before")
+    return out.withColumn("key", F.raise_error(F.lit("the cache is full")).cast(items.schema["key"].dataType)) if order == "error" else out

@@ -79,3 +79,41 @@ def location_uids(documents: DataFrame) -> DataFrame:
     """Distinct uids of all file locations."""
     info = F.explode(F.try_variant_get("body", "$.files.file_info", "array<struct<name:string,locations:array<struct<uid:string>>>>"))
     return documents.select(info.alias("i")).select(F.explode("i.locations").alias("l")).select(F.col("l.uid").alias("uid")).where("uid <> ''").distinct()
+
+
+def session_summary(documents: DataFrame) -> DataFrame:
+    """``session_id, n_documents, classes, daqs, probes, files`` of each session: sorted names of its recorders and
+    probes, its classes, and its number of files."""
+    names = lambda kind: F.array_sort(F.collect_set(F.when(F.col("class_name") == kind, F.col("name"))))
+    files = F.coalesce(F.size(F.try_variant_get("body", "$.files.file_info", "array<variant>")), F.lit(0))
+    return documents.groupBy("session_id").agg(
+        F.count("*").alias("n_documents"), F.array_sort(F.collect_set("class_name")).alias("classes"), names("daqsystem").alias("daqs"),
+        names("probe").alias("probes"), F.sum(F.greatest(files, F.lit(0))).alias("files"),
+    )
+
+
+def dataset_summary(sessions: DataFrame) -> DataFrame:
+    """One row: how many sessions and documents a dataset has, and all its classes."""
+    return sessions.agg(F.count("*").alias("n_sessions"), F.sum("n_documents").alias("n_documents"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"))
+
+
+def compare_summaries(left: DataFrame, right: DataFrame, fields: list[str], exclude: list[str] = [], key: str = "session_id") -> DataFrame:
+    """``key, field, status``: a row for each field that differs; lists are compared in any order, a list of one as its
+    value. A summary that one side lacks is ``only_left`` or ``only_right``, with a null field."""
+
+    def plain(df: DataFrame, side: str) -> DataFrame:
+        def text(c: str) -> Column:
+            v = F.col(c)
+            if df.schema[c].dataType.typeName() == "array":
+                listed = F.array_sort(v.cast("array<string>"))
+                return F.when(F.size(v) == 1, F.get(listed, 0)).otherwise(F.to_json(listed))
+            return v.cast("string")
+
+        return df.select(key, F.lit(True).alias(f"__{side}"), *[text(c).alias(f"__{side}_{c}") for c in fields if c not in exclude])
+
+    both = plain(left, "l").join(plain(right, "r"), key, "full")
+    each = [F.struct(F.lit(c).alias("field"), F.when(~F.col(f"__l_{c}").eqNullSafe(F.col(f"__r_{c}")), "different").alias("status")) for c in fields if c not in exclude]
+    lone = F.when(F.col("__r").isNull(), "only_left").when(F.col("__l").isNull(), "only_right")
+    one = F.array(F.struct(F.lit(None).cast("string").alias("field"), lone.alias("status")))
+    found = F.when(lone.isNotNull(), one).otherwise(F.filter(F.array(*each), lambda s: s["status"].isNotNull()))
+    return both.select(key, F.explode(found).alias("s")).select(key, "s.field", "s.status")
