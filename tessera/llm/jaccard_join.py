@@ -32,7 +32,7 @@ WIDTH, PERCENT = 5, 80
 KEY_BITS = 48
 SHARD_BYTES = 8 << 20
 #: Bounds of a group.
-GROUP_SETS, GROUP_SHINGLES = 512, 1 << 20
+GROUP_SETS, GROUP_SHINGLES = 128, 1 << 20
 _ONE, _TWO = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 _SALTS = (_ONE, _TWO)
 
