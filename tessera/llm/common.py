@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes and rows of an Arrow batch that goes to or comes from a Python worker, so that long texts make small batches.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in the session, where its own bounds are wider."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        now = int(re.sub(r"[bB]$", "", now)) if now and re.fullmatch(r"-?[0-9]+[bB]?", now) else 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for work tables: ``spark.checkpoint.dir``, or in local mode a fresh one where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +33,7 @@ def work_dir(spark: SparkSession) -> str:
         shared = "file://" + tempfile.mkdtemp(prefix="tessera-work-")
         spark.conf.set("spark.checkpoint.dir", shared)
         spark.sparkContext.setCheckpointDir(shared)
+    bound_batches(spark)
     return shared.rstrip("/")
 
 
