@@ -20,9 +20,11 @@ import pyarrow as pa
 from .words import text_blocks, word_hashes
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Lines of a page, and pages that the library encodes at once; its own form of the ids is many times their size.
+PAGE_LINES, PAGES = 200, 8
 #: A Python worker remembers pre-tokens in so many slots (a later one may take a slot), and so many ids, before it starts afresh.
-SLOTS, POOL = 1 << 22, 1 << 24
+SLOTS, POOL = 1 << 21, 1 << 23
 # Fixed values of the byte-level pre-tokenizer: suffixes that an apostrophe splits off.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 # Code points below 0x20 that str.isspace() accepts and the regex class \s does not.
@@ -142,9 +144,12 @@ class Encoder:
         lines = list(texts)
         for i in several:
             lines[i] = ""
-        pages = ["\n".join(lines[i : i + 200]) + "\n" for i in range(0, len(lines), 200)]
-        done = self.part.encode_batch_fast(pages, add_special_tokens=False)
-        flat = np.array([i for page in done for i in page.ids], dtype=np.uint32)
+        pages = ["\n".join(lines[i : i + PAGE_LINES]) + "\n" for i in range(0, len(lines), PAGE_LINES)]
+        parts = [np.zeros(0, np.uint32)]
+        for i in range(0, len(pages), PAGES):
+            done = self.part.encode_batch_fast(pages[i : i + PAGES], add_special_tokens=False)
+            parts += [np.array(page.ids, dtype=np.uint32) for page in done]
+        flat = np.concatenate(parts)
         stop = np.flatnonzero(flat == self.line)
         size = np.diff(stop, prepend=-1) - 1
         flat = flat[flat != self.line]
