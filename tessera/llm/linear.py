@@ -22,6 +22,8 @@ from .words import distinct_per_row, lower_ascii, mix, text_blocks, word_hashes,
 BEGINNINGS = (4, 5, 6)
 #: Combinations of label values that a sample may have.
 MAX_CLASSES = 256
+#: Bytes of the blocks that texts are read in, so that a block's words stay small beside the model.
+TEXT_BYTES = 1 << 20
 DENSE = ("log_words", "distinct_share", "word_bytes", "symbol_share")
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>{}[]=_\\^~/@")] = True
@@ -172,7 +174,7 @@ def labelled_sample(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end, data, offsets in text_blocks(batch.column("text")):
+            for start, end, data, offsets in text_blocks(batch.column("text"), TEXT_BYTES):
                 hashes, rows, dense, counts = block_features(data, offsets)
                 order = np.lexsort((hashes, rows))
                 hashes, rows = hashes[order], rows[order]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
-from .linear import fit_on, labelled_sample
+from .linear import TEXT_BYTES, fit_on, labelled_sample
 from .words import text_blocks
 
 POSTERIORS = "doc_id long, n_tokens long, posterior array<double>"
@@ -43,7 +43,7 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, columns: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, fitted = model.value
         for batch in batches:
-            for start, end, data, offsets in text_blocks(batch.column("text")):
+            for start, end, data, offsets in text_blocks(batch.column("text"), TEXT_BYTES):
                 row, col, dense, counts = features.present(data, offsets)
                 p = fitted.probabilities(row, col, dense) if fitted else np.ones((len(dense), 1))
                 bounds = np.arange(len(counts) + 1, dtype=np.int32) * size

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .linear import Features, Softmax, fit_on, labelled_sample
+from .linear import TEXT_BYTES, Features, Softmax, fit_on, labelled_sample
 from .words import text_blocks
 
 
@@ -108,7 +108,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = model.value
         for batch in batches:
-            p = [chain.probabilities(data, offsets) for _, _, data, offsets in text_blocks(batch.column("text"))]
+            p = [chain.probabilities(data, offsets) for _, _, data, offsets in text_blocks(batch.column("text"), TEXT_BYTES)]
             p = np.concatenate(p) if p else np.zeros((0, len(names)))
             columns = [pa.array(p[:, k]) for k in range(len(names))]
             toxic = pa.array(p[:, -1] >= chain.thresholds[-1])
