@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses
+from . import exact_dedup, fim, licenses, vector_codes
 from .common import delete_at_end, work_dir
 
 
@@ -89,6 +89,18 @@ def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_boosting": op2_pii_boosting,
@@ -100,5 +112,13 @@ QUERIES = {
     "op8_license_digest": op8_license_digest,
     "op9_soft_mixing": op9_soft_mixing,
     "op10_bit_plane_output": op10_bit_plane_output,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_chunk_recipes": op13_chunk_recipes,
+}
+ORACLES: dict[str, str] = {
+    "op8_license_digest": licenses.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_fill_in_middle": fim.oracle_sql(),
+    "op13_chunk_recipes": exact_dedup.oracle_sql(),
 }
-ORACLES: dict[str, str] = {"op8_license_digest": licenses.oracle_sql()}
