@@ -3,7 +3,7 @@
 A text is cut where a rolling hash of its own bytes says so, so equal passages give equal chunks wherever they stand. A
 chunk's identifier is its digest and length. A first pass over the texts writes a recipe a document: the ordered
 identifiers, a few dozen bytes. A second pass sends the bytes of chunks to be verified: only chunks of recipes that occur
-more than once, and each distinct one once a block of texts, however often it occurs there. If all bytes under an identifier are
+more than once (by a bit table of bounded size, which lets few others through), and each distinct one once a task. If all bytes under an identifier are
 equal, it names its chunk exactly, and documents are equal if and only if their recipes are; otherwise the corpus is read
 again under another digest. So texts are compared byte by byte, yet no long document is moved or gathered as a whole.
 """
@@ -32,6 +32,8 @@ WINDOW, SEGMENT = 32, 1 << 20
 BLOCK_BYTES = 2 << 20
 GEAR = np.random.default_rng(20_240).integers(0, 1 << 32, 256, dtype=np.uint32)
 DIGEST_BYTES = 16
+#: Bits of the table of wanted identifiers: for each of them, at least and at most. Its pieces have ``TABLE_PIECE`` bits.
+BITS_EACH, LEAST_BITS, MOST_BITS, TABLE_PIECE = 64, 17, 27, 17
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -109,25 +111,54 @@ def recipes_of(rows: DataFrame, seed: int, sizes: tuple[int, int, int]) -> DataF
     return stage_table(rows.mapInArrow(run, RECIPES), "recipes")
 
 
+def bit_table(ids: DataFrame) -> np.ndarray:
+    """A bit for each value that the first bytes of an identifier may have, of which those of ``ids`` are set.
+
+    The table has 2 to the power of ``MOST_BITS`` bits at most, whatever the number of identifiers: beyond about as many it
+    fills up and tells less. It comes to the driver in pieces that tasks have made.
+    """
+    bits = min(max((ids.count() * BITS_EACH).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.conv(F.hex(F.substring("id", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
+    places = ids.select(place.alias("place")).distinct()
+    split = places.select(F.shiftright("place", TABLE_PIECE).cast("int").alias("piece"), F.col("place").bitwiseAND((1 << TABLE_PIECE) - 1).cast("int").alias("bit"))
+
+    def one(table: pa.Table) -> pa.Table:
+        bit = np.zeros(1 << TABLE_PIECE, bool)
+        bit[table.column("bit").to_numpy()] = True
+        return pa.table({"piece": table.column("piece").slice(0, 1), "packed": pa.array([np.packbits(bit).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << (bits - TABLE_PIECE), (1 << TABLE_PIECE) // 8), np.uint8)
+    for r in split.groupBy("piece").applyInArrow(one, "piece int, packed binary").collect():
+        out[r.piece] = np.frombuffer(r.packed, np.uint8)
+    return out.reshape(-1)
+
+
 def clashes(rows: DataFrame, recipes: DataFrame, seed: int, sizes: tuple[int, int, int]) -> int:
-    """How many identifiers of recipes that occur more than once stand for different bytes."""
+    """How many identifiers stand for different bytes, among those of recipes that occur more than once and some others."""
     width = DIGEST_BYTES + 4
     again = recipes.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1 AND octet_length(recipe) > 0")
     each = F.transform(F.sequence(F.lit(0), (F.octet_length("recipe") / width).cast("int") - 1), lambda k: F.substring(F.col("recipe"), k * width + 1, F.lit(width)))
     wanted = stage_table(again.select(F.explode(each).alias("id")).distinct(), "chunk-ids")
+    shared = rows.sparkSession.sparkContext.broadcast(bit_table(wanted))
+    drop_table(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        mask = 8 * len(table) - 1
+
+        def asked(digest: bytes) -> bool:
+            place = int.from_bytes(digest[:4], "big") & mask
+            return bool(table[place >> 3] >> (7 - (place & 7)) & 1)
+
         for batch in batches:
             for raw, spans in chunks_of(batch.column("text"), sizes):
-                met = {(digest_of(raw[a:b], seed), raw[a:b]) for each in spans for a, b in each}
+                every = ((digest_of(raw[a:b], seed), a, b) for each in spans for a, b in each)
+                met = {(digest, raw[a:b]) for digest, a, b in every if asked(digest)}
                 columns = zip(*met) if met else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["id", "content"])
 
-    sent = rows.select("text").mapInArrow(run, "id binary, content binary").join(wanted, "id", "left_semi")
-    contents = sent.groupBy("id", "content").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("n"))
-    found = contents.where("n > 1").count()
-    drop_table(wanted)
-    return found
+    contents = rows.select("text").mapInArrow(run, "id binary, content binary").groupBy("id", "content").agg(F.lit(1).alias("one"))
+    return contents.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").count()
 
 
 def exact_groups(docs: DataFrame, least: int = LEAST, mean_bits: int = MEAN_BITS, most: int = MOST) -> DataFrame:

@@ -185,6 +185,16 @@ def test_clashing_digests_are_found_and_another_digest_taken(docs, monkeypatch):
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute_groups([(r.doc_id, r.text) for r in rows.collect()])[0]
 
 
+def test_bit_table_holds_every_identifier(spark, monkeypatch):
+    ids = spark.range(20_000).select(fim.F.unhex(fim.F.md5(fim.F.col("id").cast("string"))).alias("id"))
+    for most in (27, 18):
+        monkeypatch.setattr(exact_dedup, "MOST_BITS", most)
+        bits = np.unpackbits(exact_dedup.bit_table(ids))
+        want = {int.from_bytes(bytes(r.id[:4]), "big") % len(bits) for r in ids.collect()}
+        assert set(np.flatnonzero(bits).tolist()) == want and len(bits) <= 1 << most
+    assert not exact_dedup.bit_table(ids.limit(0)).any()
+
+
 def test_cuts_move_with_the_text():
     data = np.random.default_rng(1).integers(0, 256, 400_000).astype(np.uint8)
     moved = np.concatenate([np.arange(777).astype(np.uint8), data])
