@@ -7,11 +7,9 @@ arguments name those columns.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -308,23 +306,6 @@ def interpolate_to(samples: DataFrame, factor: int, keys: list[str], order: str
     return each.select(*keys, (F.col(order) * factor + F.col("__j")).alias(order), made.alias(value))
 
 
-def export_chunks(samples: DataFrame, multiplier: float, rate: float, seconds: float = 100.0, keys: list[str] = ["epoch_id"]) -> DataFrame:
-    """``keys, chunk, data``: samples scaled, cast to 16 bits and interleaved by channel, a fixed time a chunk."""
-    chunk = F.floor(F.col("sample_idx") / F.lit(int(seconds * rate))).alias("chunk")
-    short = F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.rint(F.col("value") * multiplier))).cast("int")
-    rows = samples.select(*keys, chunk, "sample_idx", "channel", short.alias("v"))
-    ordered = rows.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "channel", "v"))).alias("l"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["data"] = [np.array(v, dtype="<i2").tobytes() for v in b["v"]]
-            yield b.drop(columns=["v"])
-
-    flat = ordered.select(*keys, "chunk", F.col("l.v").alias("v"))
-    schema = StructType([*[flat.schema[k] for k in [*keys, "chunk"]]]).add("data", "binary")
-    return flat.mapInPandas(run, schema)
-
-
 def as_of(events: DataFrame, marks: DataFrame, keys: list[str], t: str = "t", carry: str = "mark") -> DataFrame:
     """Each event with the last mark at or before it: a union and one window, no join of inequalities."""
     a = events.select(*keys, F.col(t), F.struct(*events.columns).alias("__e"), F.lit(None).cast(marks.schema[carry].dataType).alias(carry), F.lit(1).alias("__side"))

@@ -139,12 +139,6 @@ def downsample_cheby(spark, sf_dir):
     return signals.downsample(s, 100.0, _C)
 
 
-@query(f"WITH {SAMPLES} SELECT epoch_id, floor(sample_idx / 64)::BIGINT AS chunk, count(*)::INTEGER * 2 AS bytes FROM samples GROUP BY ALL")
-def export_binary_chunks(spark, sf_dir):
-    out = signals.export_chunks(samples(spark, sf_dir), 10.0, 64.0, 1.0)
-    return out.select("epoch_id", "chunk", F.octet_length("data").alias("bytes"))
-
-
 @query("SELECT event_id, round((0.5 * value + 2) * value - 1, 6) AS mapped FROM events")
 def poly_map(spark, sf_dir):
     m = F.array(F.lit(0.5), F.lit(2.0), F.lit(-1.0))

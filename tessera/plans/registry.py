@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collections, documents, epochs, recordings, relations, streams  # noqa: F401
+from . import collections, documents, epochs, recordings, relations, stored, streams  # noqa: F401
 from .inputs import REGISTRY, SQL
 
 QUERIES: dict = REGISTRY

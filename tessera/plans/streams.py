@@ -1,10 +1,9 @@
-"""Queries over streams and sources."""
+"""Queries over streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.sources.files import RecordingSource
 from tessera.streaming import events
 
 from .inputs import PAIRS, query, seconds
@@ -27,10 +26,3 @@ def stream_edges(spark, sf_dir):
     stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("channel"), F.timestamp_micros((seconds("ts") * 1e6).cast("long")).alias("t"), "value")
     found = events.run_available(events.streaming_edges(stream, 50.0), "append")
     return found.select("channel", F.unix_millis("t").alias("t"), "event")
-
-
-@query("SELECT 'e' || e AS epoch_id, i AS sample_idx, round(sin(2 * pi() * 10 * i / 1000.0), 9) + 0.0 AS value FROM range(3) a(e), range(500) b(i)")
-def source_recording(spark, sf_dir):
-    spark.dataSource.register(RecordingSource)
-    rows = spark.read.format("recording").option("epochs", 3).option("samples", 500).load()
-    return rows.select("epoch_id", "sample_idx", (F.round("value", 9) + 0.0).alias("value"))

@@ -1,7 +1,8 @@
-"""File sources: groups of files, series, binary grids, tab-separated tables, presentation times, and a data source."""
+"""File sources: groups of files, series, binary grids, tab-separated tables, presentation times."""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -10,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Names of stored number types and numpy's little-endian types.
 GRID_TYPES = {
@@ -27,6 +27,12 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), name.alias("name"), "length", "modified").where(~name.startswith("."))
 
 
+def contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path, content`` of all files below a folder; hidden ones are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.where(~F.col("path").rlike(r"/[._][^/]*$")).select("path", "content")
+
+
 def glob_regex(pattern: str) -> str:
     """A file pattern as a regular expression: ``#`` and ``*`` stand for any text, ``?`` for one character."""
     return "^" + "".join({"#": ".*", "*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() else c) for c in pattern) + "$"
@@ -50,7 +56,7 @@ def file_groups(files: DataFrame, patterns: list[str]) -> DataFrame:
 
 def folder_epochs(files: DataFrame, base: str, patterns: list[str]) -> DataFrame:
     """File groups whose epoch is named by the first folder below ``base``."""
-    rest = F.regexp_extract("path", f"^.*?{base.strip('/')}/([^/]+)/", 1)
+    rest = F.regexp_extract("path", f"^.*?{re.escape(base.strip('/'))}/([^/]+)/", 1)
     return file_groups(files.withColumn("folder", rest).where("folder <> ''"), patterns).withColumnRenamed("folder", "epoch_id")
 
 
@@ -110,38 +116,53 @@ def grid_bytes(values: list, kind: str) -> bytes:
     return np.asarray(values).astype(GRID_TYPES[kind]).tobytes()
 
 
-HEADER_BYTES = 512
+# Fixed values of the presentation-time format: the first line, and the bytes of the header.
+HEADER_LINE, HEADER_BYTES = b"presentation_time structure\n", 512
 
 
 def presentation_bytes(records: list[dict]) -> bytes:
-    """A presentation-time file: a header of 512 bytes with the number of records, then for each a clock name, four
-    times, and its events (time and code)."""
-    out = [struct.pack("<Q", len(records)).ljust(HEADER_BYTES, b"\0")]
+    """A presentation-time file: the header line and the number of records in 512 bytes, then for each its clock and a line
+    end, four times (open, onset, offset, close), the number of its events, and their times and then their codes."""
+    out = [(HEADER_LINE + struct.pack("<Q", len(records))).ljust(HEADER_BYTES, b"\0")]
     for r in records:
-        clock = r["clock"].encode()
-        out += [struct.pack("<I", len(clock)), clock, struct.pack("<4d", *r["times"]), struct.pack("<I", len(r["events"]))]
-        out += [struct.pack("<2d", t, c) for t, c in r["events"]]
+        events = np.asarray(r["events"], dtype="<f8").reshape(-1, 2)
+        out += [r["clock"].encode() + b"\n", struct.pack("<4dI", *r["times"], len(events)), events.T.tobytes()]
     return b"".join(out)
 
 
+def presentation_records(raw: bytes, first: int = 1, last: int | None = None) -> list[tuple]:
+    """``number, clock, times, events`` of the records ``first`` to ``last`` of a file."""
+    if not raw.startswith(HEADER_LINE):
+        raise ValueError("not a presentation-time file")
+    (n,), at, rows = struct.unpack_from("<Q", raw, len(HEADER_LINE)), HEADER_BYTES, []
+    for number in range(1, min(n, last or n) + 1):
+        end = raw.index(b"\n", at)
+        *times, events = struct.unpack_from("<4dI", raw, end + 1)
+        if number >= first:
+            flat = np.frombuffer(raw, "<f8", 2 * events, end + 37).reshape(2, events).T
+            rows.append((number, raw[at:end].decode(), times, flat.tolist()))
+        at = end + 37 + 16 * events
+    return rows
+
+
+def presentation_files(rows: DataFrame) -> DataFrame:
+    """``path, content`` of rows ``path, records``, an array of structs ``clock, times, events``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            content = [presentation_bytes([{"clock": r["clock"], "times": r["times"], "events": [list(e) for e in r["events"]]} for r in each]) for each in b["records"]]
+            yield pd.DataFrame({"path": b["path"], "content": content})
+
+    return rows.select("path", "records").mapInPandas(run, "path string, content binary")
+
+
 def read_presentation(files: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
     """``path, number, clock, times, events`` of the records ``first`` to ``last``, counted from 1; the end is clamped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, raw in zip(b["path"], b["content"]):
-                (n,), at, rows = struct.unpack_from("<Q", raw), HEADER_BYTES, []
-                for number in range(1, n + 1):
-                    (size,) = struct.unpack_from("<I", raw, at)
-                    clock = raw[at + 4 : at + 4 + size].decode()
-                    at += 4 + size
-                    times = list(struct.unpack_from("<4d", raw, at))
-                    (events,) = struct.unpack_from("<I", raw, at + 32)
-                    flat = np.frombuffer(raw, "<f8", 2 * events, at + 36).reshape(-1, 2)
-                    at += 36 + 16 * events
-                    if first <= number <= (last or n):
-                        rows.append((path, number, clock, times, flat.tolist()))
-                yield pd.DataFrame(rows, columns=["path", "number", "clock", "times", "events"])
+            rows = [(path, *r) for path, raw in zip(b["path"], b["content"]) for r in presentation_records(raw, first, last)]
+            yield pd.DataFrame(rows, columns=["path", "number", "clock", "times", "events"])
 
     return files.select("path", "content").mapInPandas(run, "path string, number int, clock string, times array<double>, events array<array<double>>")
 
@@ -151,6 +172,15 @@ def read_tab_table(spark: SparkSession, path: str, schema: str | None = None) ->
     return spark.read.csv(path, sep="\t", header=True, schema=schema, inferSchema=schema is None)
 
 
+#: Columns of a probe map.
+PROBE_MAP = "name string, reference long, type string, devicestring string, subjectstring string"
+
+
+def read_probe_map(spark: SparkSession, path: str) -> DataFrame:
+    """The probes of an epoch: name, reference, type, device string and subject."""
+    return read_tab_table(spark, path, PROBE_MAP)
+
+
 def write_tab_table(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True)
 
@@ -168,38 +198,3 @@ def ingest_plan(documents: DataFrame) -> DataFrame:
     each = info.select("id", "i.name", F.explode("i.locations").alias("l"))
     actions = F.array_compact(F.array(F.when(F.col("l.ingest"), "copy"), F.when(F.col("l.delete_original"), "delete")))
     return each.select("id", "name", "l.uid", "l.location", F.explode(actions).alias("action"))
-
-
-class _Epoch(InputPartition):
-    def __init__(self, epoch: int):
-        self.epoch = epoch
-
-
-class _SineReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.epochs, self.samples = int(options.get("epochs", 4)), int(options.get("samples", 1000))
-        self.rate = float(options.get("rate", 1000.0))
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Epoch(e) for e in range(self.epochs)]
-
-    def read(self, partition: _Epoch) -> Iterator[tuple]:
-        for i in range(self.samples):
-            yield f"e{partition.epoch}", "ai1", i, float(np.sin(2 * np.pi * 10 * i / self.rate))
-
-
-class RecordingSource(DataSource):
-    """The seam for vendor formats: a source whose partitions are epochs. This one makes a test signal.
-
-    ``spark.dataSource.register(RecordingSource)``, then ``spark.read.format("recording")``.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "recording"
-
-    def schema(self) -> str:
-        return "epoch_id string, channel string, sample_idx long, value double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SineReader(self.options)
