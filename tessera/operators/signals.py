@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .segments import grouped_median, laid_out, placed, with_neighbour
+
 KEYS = ["epoch_id", "channel"]
 # Abbreviations of channel types and their full names.
 CHANNEL_TYPES = {
@@ -68,8 +70,8 @@ def in_range(events: DataFrame, t0: float, t1: float, t: str = "t") -> DataFrame
 
 
 def with_previous(samples: DataFrame, keys: list[str] = KEYS, order: str = "sample_idx", value: str = "value") -> DataFrame:
-    over = W.partitionBy(*keys).orderBy(order)
-    return samples.withColumn("__prev", F.lag(value).over(over)).withColumn("__at", F.lag(order).over(over))
+    """Samples with the value and place of the one before; windows run within segments (see :mod:`.segments`)."""
+    return with_neighbour(samples, keys, order, value).withColumnRenamed("__near", "__prev")
 
 
 def digital_edges(samples: DataFrame, rising: bool = True, at: str = "after", keys: list[str] = KEYS) -> DataFrame:
@@ -133,8 +135,12 @@ def by_channel_order(events: DataFrame, keys: list[str]) -> DataFrame:
     return pair_by_place(on.select(*keys, "t"), off, keys).join(stim, [*keys, "place"], "left")
 
 
-def intervals(events: DataFrame, keys: list[str], order: list[str], t: str = "t") -> DataFrame:
-    """Each event's distance from the one before it, null for the first."""
+def intervals(events: DataFrame, keys: list[str], order: list[str], t: str = "t", counted: bool = False) -> DataFrame:
+    """Each event's distance from the one before it, null for the first; ``counted`` says that ``order`` is one column that
+    counts, so that windows run within segments."""
+    if counted:
+        near = with_neighbour(events, keys, order[0], t)
+        return near.withColumn("interval", F.col(t) - F.col("__near")).drop("__near", "__at")
     return events.withColumn("interval", F.col(t) - F.lag(t).over(W.partitionBy(*keys).orderBy(*order)))
 
 
@@ -143,8 +149,7 @@ def decimate(samples: DataFrame, step: int, keys: list[str] = KEYS, order: str =
     shuffle."""
     if gapless:
         return samples.where(F.col(order) % step == 0)
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    return samples.withColumn("__n", n - 1).where(F.col("__n") % step == 0).drop("__n")
+    return placed(samples, keys, order).where(F.col("__n") % step == 0).drop("__n")
 
 
 def standard_type(kind: Column) -> Column:
@@ -252,56 +257,63 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
 def downsample(samples: DataFrame, limit: float, keys: list[str], t: str = "t", value: str = "value", resample: bool = False) -> DataFrame:
     """``keys, t, value``: low-pass filtered without phase shift and decimated (or interpolated on an even grid).
 
-    A channel's rate follows from its first and last time and its number of samples; one whose rate is at most twice
-    ``limit``, or whose times are all equal, stays as it is. Rows without a time or a value are left out. A channel is
-    filtered in blocks of ``BLOCK`` samples that overlap by what the filter takes to settle, so no channel gathers in
-    one task, and blocks agree with the whole to rounding.
+    A channel's rate is the reciprocal of the median distance of its samples, so a pause does not change it; the filter runs
+    over the samples in order, across pauses. A channel whose rate is at most twice ``limit``, one with a median of 0, and one
+    with a single sample stay as they are. Every ``int(rate / (2 * limit))``-th sample is kept; a quotient that lies within
+    a millionth below a whole number counts as that number, as times are rounded. Rows without a time or a value are left
+    out; null keys are a channel. A channel is filtered in blocks of ``BLOCK`` samples that overlap by what the filter takes
+    to settle, so no channel gathers in one task, and blocks agree with the whole to rounding.
     """
     if limit <= 0:
         raise ValueError("the limit must be above 0")
     rows = samples.select(*keys, F.col(t).cast("double").alias("__t"), F.col(value).cast("double").alias("__v")).where("__t is not null and __v is not null")
-    span = rows.groupBy(*keys).agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"), F.count("*").alias("__n"))
-    rate = F.try_divide(F.col("__n") - 1, F.col("__last") - F.col("__first"))
-    rated = rows.join(span.select(*keys, "__first", F.when(rate > 2 * limit, rate).alias("__rate")), keys)
-    plain = rated.where("__rate is null").select(*keys, F.col("__t").alias(t), F.col("__v").alias(value))
-    fast = rated.where("__rate is not null").withColumn("__i", F.rint((F.col("__t") - F.col("__first")) * F.col("__rate")).cast("long"))
+    laid = laid_out(rows, keys, "__t", "__v")
+    middle = grouped_median(laid, "__k", "__dt")
+    ends = laid.groupBy("__k").agg(F.min("__t").alias("__first"), F.count("*").alias("__n"))
+    rate = F.when(F.col("median") > 0, 1 / F.col("median"))
+    rates = ends.join(middle, "__k", "left").select("__k", "__first", "__n", F.when(rate > 2 * limit, rate).alias("__rate"))
+    rated = laid.join(rates, "__k")
+    plain = rated.where("__rate is null").select("__k.*", F.col("__t").alias(t), F.col("__v").alias(value))
     # The filter settles within a number of samples that grows with the rate over the limit; 400 of these are ample.
     reach = (F.lit(400) * F.ceil(F.col("__rate") / (2 * limit))).cast("long")
     size = F.greatest(F.lit(BLOCK).cast("long"), 4 * reach)
-    lo, hi = F.floor((F.col("__i") - reach) / size), F.floor((F.col("__i") + reach) / size)
-    fast = fast.withColumn("__size", size).withColumn("__block", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)))
+    last = F.floor((F.col("__n") - 1) / size)
+    lo, hi = F.floor((F.col("__index") - reach) / size), F.floor((F.col("__index") + reach) / size)
+    spread = F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, last))
+    fast = rated.where("__rate is not null").withColumn("__size", size).withColumn("__block", F.explode(spread))
     schema = StructType([*[samples.schema[k] for k in keys], StructField(t, DoubleType()), StructField(value, DoubleType())])
+    flat = fast.select(*[F.col(f"__k.{k}").alias(f"__k{i}") for i, k in enumerate(keys)], "__t", "__v", "__index", "__first", "__n", "__rate", "__size", "__block")
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("__t", "ascending"), ("__i", "ascending")])
-        x, y, i = (part.column(c).to_numpy() for c in ("__t", "__v", "__i"))
+        part = part.sort_by("__index")
+        x, y, i = (part.column(c).to_numpy() for c in ("__t", "__v", "__index"))
         head = part.slice(0, 1).to_pylist()[0]
         begin = head["__block"] * head["__size"]
         end = begin + head["__size"]
         y = zero_phase(*chebyshev(4, 0.8, 2 * limit / head["__rate"]), y)
         if resample:
-            # Grid points between this block's first time and the next block's.
+            # Grid points from this block's first time on, up to the next block's; the last block has those up to the end.
             step, first = 1 / (2 * limit), head["__first"]
-            a, b = first + begin / head["__rate"], min(first + end / head["__rate"], x[-1] + step * 1e-9)
-            k = np.arange(math.ceil((a - first) / step - 1e-9), math.ceil((b - first) / step - 1e-9) + 1)
+            a = x[np.searchsorted(i, begin)]
+            b = x[-1] + 1e-12 if end >= head["__n"] else x[np.searchsorted(i, end)]
+            k = np.arange(math.ceil((a - first) / step) - 1, math.ceil((b - first) / step) + 2)
             grid = first + k * step
-            grid = grid[(grid >= a - step * 1e-9) & ((grid < b - step * 1e-9) | (end > i[-1]) & (grid <= x[-1] + step * 1e-9))]
+            grid = grid[(k >= 0) & (grid >= a) & (grid < b)]
             x, y = grid, np.interp(grid, x, y)
         else:
-            step = max(1, int(head["__rate"] / (2 * limit)))
+            step = max(1, int(head["__rate"] / (2 * limit) * (1 + 1e-6)))
             mine = (i >= begin) & (i < end) & (i % step == 0)
             x, y = x[mine], y[mine]
-        named = {k: part.column(k).take(pa.array(np.zeros(len(x), np.int64))) for k in keys}
+        named = {k: part.column(f"__k{n}").take(pa.array(np.zeros(len(x), np.int64))) for n, k in enumerate(keys)}
         return pa.table({**named, t: pa.array(x), value: pa.array(y)}).combine_chunks()
 
-    return plain.unionByName(fast.groupBy(*keys, "__block").applyInArrow(run, schema))
+    return plain.unionByName(flat.groupBy(*[f"__k{i}" for i in range(len(keys))], "__block").applyInArrow(run, schema))
 
 
 def interpolate_to(samples: DataFrame, factor: int, keys: list[str], order: str = "sample_idx", value: str = "value") -> DataFrame:
     """A channel of a lower rate on the main channel's samples: ``factor`` times as many, linear between its own."""
-    over = W.partitionBy(*keys).orderBy(order)
-    nxt = F.coalesce(F.lead(value).over(over), F.col(value))
-    each = samples.withColumn("__next", nxt).withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+    near = with_neighbour(samples, keys, order, value, ahead=True).withColumn("__next", F.coalesce("__near", value))
+    each = near.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
     made = F.col(value) + (F.col("__next") - F.col(value)) * F.col("__j") / factor
     return each.select(*keys, (F.col(order) * factor + F.col("__j")).alias(order), made.alias(value))
 

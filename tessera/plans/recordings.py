@@ -90,13 +90,13 @@ def marker_decode(spark, sf_dir):
 
 @query(f"WITH {SAMPLES} SELECT epoch_id, sample_idx, round(t - lag(t) OVER (PARTITION BY epoch_id ORDER BY sample_idx), 4) AS interval FROM samples")
 def ipi_diff(spark, sf_dir):
-    out = signals.intervals(samples(spark, sf_dir), _C, ["sample_idx"])
+    out = signals.intervals(samples(spark, sf_dir), _C, ["sample_idx"], counted=True)
     return out.select("epoch_id", "sample_idx", F.round("interval", 4).alias("interval"))
 
 
 @query(f"WITH {SAMPLES} SELECT epoch_id, sample_idx, value FROM samples WHERE sample_idx % 4 = 0")
 def decimate(spark, sf_dir):
-    return signals.decimate(samples(spark, sf_dir), 4, gapless=True).select("epoch_id", "sample_idx", "value")
+    return signals.decimate(samples(spark, sf_dir), 4).select("epoch_id", "sample_idx", "value")
 
 
 @query("SELECT DISTINCT event_type, CASE event_type WHEN 'click' THEN 'analog_in' WHEN 'view' THEN 'marker' ELSE event_type END AS full_name FROM events")

@@ -235,9 +235,10 @@ class _Ranges(DataSourceReader):
                 self.wanted[name] = self.wanted.get(name, set(f.value)) & set(f.value)
             elif name == "sample_idx" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.least = max(self.least, int(f.value))
+                    self.least = max(self.least, int(f.value) + isinstance(f, GreaterThan))
                 if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.most = int(f.value) if self.most is None else min(self.most, int(f.value))
+                    most = int(f.value) - isinstance(f, LessThan)
+                    self.most = most if self.most is None else min(self.most, most)
             yield f
 
     def entries(self) -> list[dict]:

@@ -138,6 +138,108 @@ def test_fits(spark):
     assert exact.n == 30 and math.isclose(exact.mapping[0], 3, rel_tol=1e-9)
 
 
+def correlated(t1, t2):
+    """The lag of the largest correlation of normalised intervals, over all lags."""
+    z1, z2 = (((g := np.diff(t)) - g.mean()) / (g.std() + 1e-15) for t in (t1, t2))
+    return len(z2) - 1 - int(np.argmax(np.correlate(z1, z2, mode="full")))
+
+
+def test_pulse_fit_equals_the_full_correlation_at_any_lag(spark):
+    rng = np.random.default_rng(5)
+    free, few = np.cumsum(rng.uniform(0.5, 2.0, 7000)), np.cumsum(rng.choice([1.0, 1.5, 2.0], 3000))
+    jitter = free[:2000] + rng.normal(0, 0.005, 2000)
+    cases = {
+        "late": (free, 1.5 * free[5000:] + 3), "early": (free[5200:], 2 * free - 8), "few": (few, few[700:] * 3 + 1), "same": (free[:50], free[:50]),
+        "jitter": (free[:2000], 1.1 * jitter[300:] + 2), "other": (free[:400], np.cumsum(rng.uniform(0.5, 2.0, 400))), "even": (np.arange(40.0), np.arange(40.0)),
+    }
+    side = lambda i: spark.createDataFrame([(k, float(x)) for k, v in cases.items() for x in v[i]], "k string, t double")
+    got = {r.k: r for r in clocks.pulse_fit(side(0), side(1), ["k"]).collect()}
+    assert set(got) == {"late", "early", "few", "same", "jitter"}
+    for k, r in got.items():
+        a, b = cases[k]
+        assert r.lag == correlated(a, b)
+        n = min(len(a), len(b) - r.lag) - max(0, -r.lag)
+        x, y = a[max(0, -r.lag) :][:n], b[max(0, r.lag) :][:n]
+        assert r.n == n and np.allclose(r.mapping, np.polyfit(x, y, 1), rtol=1e-6)
+
+
+def test_segments_give_what_one_window_gives_and_bound_it(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    place = np.sort(rng.choice(9000, 5000, replace=False))
+    rows = [("e", "c", int(i), float(v)) for i, v in zip(place, rng.integers(0, 2, 5000))] + [(None, "c", i, float(i % 3 == 0)) for i in range(40)]
+    rows += [("one", "c", 7, 1.0)]
+    one = spark.createDataFrame(rows, "epoch_id string, channel string, sample_idx int, value double")
+    monkeypatch.setattr("tessera.operators.segments.SEGMENT", 100)
+    over = "OVER (PARTITION BY epoch_id, channel ORDER BY sample_idx)"
+    plain = one.selectExpr("*", f"lag(value) {over} AS prev", f"lag(sample_idx) {over} AS at", f"row_number() {over} - 1 AS n", f"lead(value) {over} AS nxt")
+    was = sorted(map(tuple, plain.select("epoch_id", "sample_idx", "value", "prev", "at").collect()), key=str)
+    got = signals.with_previous(one)
+    assert sorted(map(tuple, got.select("epoch_id", "sample_idx", "value", "__prev", "__at").collect()), key=str) == was
+    want = sorted(map(tuple, plain.where("n % 7 = 0").select("epoch_id", "sample_idx", "value").collect()), key=str)
+    assert sorted(map(tuple, signals.decimate(one, 7).select("epoch_id", "sample_idx", "value").collect()), key=str) == want
+    made = plain.selectExpr("epoch_id", "explode(sequence(0, 2)) j", "sample_idx * 3 + j AS s", "value + (coalesce(nxt, value) - value) * j / 3 AS v").select("epoch_id", "s", "v")
+    fine = signals.interpolate_to(one, 3, signals.KEYS).select("epoch_id", "sample_idx", "value")
+    assert sorted(map(tuple, fine.collect()), key=str) == sorted(map(tuple, made.collect()), key=str)
+    dist = signals.intervals(one.withColumn("t", F.col("sample_idx") * 2.0), signals.KEYS, ["sample_idx"], counted=True).select("epoch_id", "sample_idx", "interval")
+    assert sorted(map(tuple, dist.collect()), key=str) == sorted(map(tuple, plain.selectExpr("epoch_id", "sample_idx", "2.0D * (sample_idx - at)").collect()), key=str)
+    # The window is dealt by segment, so a task has the rows of one segment and one more at most.
+    from tessera.operators.segments import carried
+
+    sizes = carried(one, signals.KEYS, "sample_idx", "value").groupBy("epoch_id", "channel", "__seg").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 101
+    text = signals.digital_edges(one)._jdf.queryExecution().toString()
+    assert "Window" in text and "__seg" in text
+
+
+def test_medians(spark):
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=101), "b": rng.normal(size=100), "c": np.array([0.1, 0.1, 0.1, 0.1 + 1e-12]), "d": np.array([5.0]), "e": rng.integers(0, 3, 50) * 1.0}
+    values["f"] = 1 + rng.uniform(size=400) * 1e-9  # all within a few single-precision numbers
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("none", None)], "k string, v double")
+    from tessera.operators.segments import grouped_median
+
+    assert {r.k: r["median"] for r in grouped_median(rows, "k", "v").collect()} == {k: float(np.median(v)) for k, v in values.items()}
+
+
+def plainly_downsampled(t, x, limit):
+    """As one array: the rate by the median distance, the filter over all samples, every step-th one."""
+    if len(t) < 2 or (dt := np.median(np.diff(t))) <= 0 or 1 / dt <= 2 * limit:
+        return t, x
+    y = signals.zero_phase(*signals.chebyshev(4, 0.8, 2 * limit * dt), x)
+    step = max(1, int(1 / dt / (2 * limit) * (1 + 1e-6)))
+    return t[::step], y[::step]
+
+
+def test_downsampling_by_the_median_distance(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(signals, "BLOCK", 1000)
+    whole = np.arange(4000)
+    paused = np.where(whole < 2500, whole / 1024, whole / 1024 + 8)
+    channels = {"paused": paused, "jitter": np.sort(whole / 1024 + rng.normal(0, 1e-5, 4000)), "slow": whole[:300] / 100, "one": np.array([3.0]), "same": np.array([1.0, 1.0, 1.0])}
+    channels |= {f"kHz{n}": np.arange(n) / 1000 for n in (22, 399, 2000)}
+    data = {k: (t, np.cumsum(rng.normal(size=len(t)))) for k, t in channels.items()}
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (t, x) in data.items() for a, b in zip(t, x)], "e string, t double, value double")
+    for limit in (128.0, 100.0):
+        got = {}
+        for r in signals.downsample(rows, limit, ["e"]).collect():
+            got.setdefault(r.e, []).append((r.t, r.value))
+        for k, (t, x) in data.items():
+            a, b = plainly_downsampled(t, x, limit)
+            out = sorted(got[k])
+            assert [p for p, _ in out] == a.tolist(), k
+            assert k == "same" or np.allclose([v for _, v in out], b, atol=1e-6), k
+    assert sum(r.e == "paused" for r in signals.downsample(rows, 128.0, ["e"]).collect()) == 1000
+    assert [sum(r.e == f"kHz{n}" for r in signals.downsample(rows, 100.0, ["e"]).collect()) for n in (22, 399, 2000)] == [5, 80, 400]
+    # On an even grid, across the pause.
+    t, x = data["paused"]
+    y = signals.zero_phase(*signals.chebyshev(4, 0.8, 2 * 128 / 1024), x)
+    grid = t[0] + np.arange(int((t[-1] - t[0] + 1e-12) * 256) + 1) / 256
+    out = sorted((r.t, r.value) for r in signals.downsample(rows.where("e = 'paused'"), 128.0, ["e"], resample=True).collect())
+    assert np.allclose([p for p, _ in out], grid) and np.allclose([v for _, v in out], np.interp(grid, t, y), atol=1e-6)
+    null = spark.createDataFrame([(None, i / 1024, 1.0) for i in range(100)], "e string, t double, value double")
+    assert signals.downsample(null, 128.0, ["e"]).count() == 25
+
+
 def test_files(spark, tmp_path):
     for name in ("x/rec_1.rhd", "x/rec_2.rhd", "x/rec_1.epoch", "y/rec_3.rhd", "x/.hidden.rhd"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
