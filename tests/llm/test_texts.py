@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import lm_scoring, perplexity
-from tessera.llm.elias_fano import Sequence, build_trie, dequantise, dequantise_weight, mapped_trie, pack_sequence, quantise
+from tessera.llm.elias_fano import Sequence, build_trie, dequantise, dequantise_weight, mapped_trie, pack_sequence
 from tessera.llm.licenses import license_matches, oracle_sql
 from tessera.llm.lm_scoring import lm_scores, smoothed
 from tessera.llm.perplexity import fit_models, kneser_ney, opened, quality_rules
@@ -131,10 +131,10 @@ def test_trees_and_calibration():
     assert calibrate([(0.1, 50, 10)], 0.98) is None
 
 
-@pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs"])
-def test_language_model(request, which):
-    docs = request.getfixturevalue(which)
-    rows = docs.collect()
+@pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs", "more"])
+def test_language_model(request, spark, which):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet") if which == "more" else request.getfixturevalue(which)
+    rows = docs.select("doc_id", "text").collect()
     tokens = [WORD.findall(lower(r.text)) + ["</s>\x00"] for r in rows]
     held = [zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
     counts = Counter(t for x, h in zip(tokens, held) if not h for t in x)
@@ -194,8 +194,9 @@ def test_split_contexts_score_alike(spark, docs, monkeypatch):
 
 
 def test_counts_are_64_bits_wide():
-    keys = [np.array([1 << 21], np.uint64)] * 2
-    row = lambda n: {"shard": 0, "chunk": n, **{k: lm_scoring.pack_keys(keys[n]) for k in ("words", "keys2", "keys3")}, **{k: lm_scoring.pack_small(np.array([5_000_000_000]), "<u8") for k in ("word_counts", "counts2", "counts3")}}
+    keys, count = lm_scoring.pack_keys(np.array([1 << 21], np.uint64)), lm_scoring.pack_small(np.array([5_000_000_000]), "<u8")
+    none = lm_scoring.pack_keys(np.zeros(1, np.uint64))
+    row = lambda n: {"shard": 0, "chunk": n, "words": keys, "roots": keys, "vocabulary": keys, "keys2": none, "keys3": none, "word_counts": count, "counts2": count, "counts3": count}
     out = lm_scoring.shard_answers(pa.Table.from_pylist([row(0), row(1)]), lm_scoring.NO_HEAVY)
     assert lm_scoring.unpack_small(out.column("counts")[1].as_py(), "<u8").tolist() == [10_000_000_000] and out.column("tokens")[0].as_py() == 10_000_000_000
 
@@ -207,20 +208,41 @@ def test_elias_fano():
         s = Sequence({k: v for k, v in pack_sequence(values, top).items()})
         if n:
             assert (s.get(np.arange(n)) == values).all()
-    for context_bits, word_bits in ((31, 32), (42, 21)):
-        context, word = (rng.integers(0, 2**b, 200).astype(np.uint64) for b in (context_bits, word_bits))
-        keys = np.unique((context[rng.integers(0, 200, 3000)] << np.uint64(word_bits)) | word[rng.integers(0, 200, 3000)])
-        first, of = lm_scoring.contexts_of(keys, 2 if word_bits == 32 else 3)
-        p = rng.uniform(1e-6, 1, len(keys))
-        trie = mapped_trie(build_trie(keys, quantise(p), np.arange(1, len(first) + 1), context_bits, word_bits))
-        value, weight = trie.look_up(keys)
-        kept = dequantise(value)
-        assert ((kept <= p) & (kept > p * 10 ** (-1.01 / 32))).all() and (weight == of + 1).all()
-        missing = keys ^ np.uint64(1)
-        missing = missing[~np.isin(missing, keys)]
-        value, weight = trie.look_up(missing)
-        assert (value == 0).all() and (weight > 0).all()
-    assert mapped_trie(build_trie(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 31, 32)).look_up(keys[:3])[0].tolist() == [0, 0, 0]
+
+
+def test_trie_equals_a_dictionary():
+    rng = np.random.default_rng(7)
+    roots, words = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (50, 300))
+    seen = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 50, 900), rng.integers(0, 300, 900))} | {(r, 7) for r in range(50)})
+    pairs = tuple(np.array(x) for x in zip(*seen))
+    deep = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, len(seen), 2000), rng.integers(0, 300, 2000))})
+    triples = tuple(np.array(x) for x in zip(*deep))
+    v2, w2, v3, w3 = (rng.integers(1, most, n) for most, n in ((256, len(seen)), (60_000, 50), (256, len(deep)), (60_000, len(seen))))
+    trie = mapped_trie(build_trie(roots, words, pairs, v2, w2, triples, v3, w3))
+    # Asked about more roots, words, pairs and triples than it holds, by places among these.
+    all_roots, all_words = (np.unique(np.append(x, rng.integers(0, 2**63, 40).astype(np.uint64))) for x in (roots, words))
+    ask2 = (rng.integers(0, len(all_roots), 4000), rng.integers(0, len(all_words), 4000))
+    ask2 = tuple(np.append(a, np.searchsorted(of, table[p])) for a, of, table, p in zip(ask2, (all_roots, all_words), (roots, words), pairs))
+    ask3 = (rng.integers(0, len(ask2[0]), 4000), rng.integers(0, len(all_words), 4000))
+    ask3 = (np.append(ask3[0], 4000 + triples[0]), np.append(ask3[1], np.searchsorted(all_words, words[triples[1]])))
+    got = trie.look_up(all_roots, all_words, ask2, ask3)
+    root_of, word_of = ({int(h): i for i, h in enumerate(x)} for x in (roots, words))
+    at2, at3 = {p: i for i, p in enumerate(seen)}, {t: i for i, t in enumerate(deep)}
+    place = [at2.get((root_of.get(int(all_roots[a]), -1), word_of.get(int(all_words[b]), -1))) for a, b in zip(*ask2)]
+    third = [at3.get((-1 if place[a] is None else place[a], word_of.get(int(all_words[b]), -1))) for a, b in zip(*ask3)]
+    of = lambda table, at: [0 if i is None else int(table[i]) for i in at]
+    assert [x.tolist() for x in got] == [of(w2, [root_of.get(int(h)) for h in all_roots]), of(v2, place), of(w3, place), of(v3, third)]
+    none = np.zeros(0, np.int64)
+    empty = mapped_trie(build_trie(none.astype(np.uint64), none.astype(np.uint64), (none, none), none, none, (none, none), none, none))
+    assert [x.tolist() for x in empty.look_up(roots[:2], words[:2], (np.array([0]), np.array([1])), (np.array([0]), np.array([0])))] == [[0, 0], [0], [0], [0]]
+
+
+def test_words_never_seen_score_alike_after_a_busy_context(spark):
+    """Every text ends in a word of its own behind the same two words."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("user id n"), "id").alias("text"))
+    for shard_bytes in (1 << 23, 1 << 16):
+        scores = [r.score for r in lm_scores(docs, shard_bytes).where("held_out").select("score").collect()]
+        assert len(scores) > 2500 and max(scores) - min(scores) < 1e-9
 
 
 @pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs"])
