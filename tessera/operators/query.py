@@ -7,6 +7,7 @@ negation true.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -180,23 +181,48 @@ class Query:
 
         return cls("", tuple(term(d) for d in ([search] if isinstance(search, dict) else search)))
 
-    def column(self) -> Column:
-        """The predicate over a document table."""
-        return reduce(lambda a, b: a & b, [predicate(t) for t in self.resolved()])
+    def column(self, columns: Iterable[str] = ()) -> Column:
+        """The predicate over a document table; ``columns`` are the table's, of which those of indexed paths are used."""
+        known = frozenset(columns)
+        return reduce(lambda a, b: a & b, [predicate(t, known) for t in self.resolved()])
 
+    def paths(self) -> set[tuple[str, str]]:
+        """The body paths that the query compares, and the kinds it compares them as."""
 
-def path_value(path: str, kind: str) -> Column:
-    """The value at a path as ``kind`` (a SQL type), or null."""
+        def of(terms: tuple[Term, ...]) -> Iterator[tuple[str, str]]:
+            for t in terms:
+                name = t.operation.removeprefix("~")
+                if name == "or":
+                    yield from of(t.param1 + t.param2)
+                elif t.path and t.path not in TYPED and name in KINDS:
+                    yield t.path, KINDS[name]
+
+        return set(of(self.resolved()))
+
+
+#: The kind as which each operation compares a value.
+KINDS = dict.fromkeys(("exact_string", "exact_string_anycase", "contains_string", "regexp"), "string") | dict.fromkeys(("exact_number", *COMPARISONS), "double")
+
+
+def index_column(path: str, kind: str) -> str:
+    """The name of the column that a store keeps for a body path."""
+    return "body/" + path.replace(".", "/") + ":" + kind
+
+
+def path_value(path: str, kind: str, columns: frozenset[str] = frozenset()) -> Column:
+    """The value at a path as ``kind`` (a SQL type), or null; from the path's own column where ``columns`` has it."""
     if path in TYPED:
         return F.col(TYPED[path]) if kind == "string" else F.col(TYPED[path]).try_cast(kind)
+    if index_column(path, kind) in columns:
+        return F.col(f"`{index_column(path, kind)}`")
     quoted = "$" + "".join(f"['{p}']" if not p.isidentifier() else f".{p}" for p in path.split("."))
     return F.try_variant_get(F.col("body"), quoted, kind)
 
 
-def predicate(t: Term) -> Column:
+def predicate(t: Term, columns: frozenset[str] = frozenset()) -> Column:
     """One term as a column. Null stands for false, so that the engine can push a plain comparison to the scan."""
     name = t.operation.removeprefix("~")
-    text = lambda: path_value(t.path, "string")
+    text = lambda: path_value(t.path, "string", columns)
     if name == "exact_string":
         out = text() == F.lit(str(t.param1))
     elif name == "exact_string_anycase":
@@ -206,9 +232,9 @@ def predicate(t: Term) -> Column:
     elif name == "regexp":
         out = text().rlike(str(t.param1))
     elif name == "exact_number":
-        out = path_value(t.path, "double") == F.lit(float(t.param1))
+        out = path_value(t.path, "double", columns) == F.lit(float(t.param1))
     elif name in COMPARISONS:
-        out = getattr(path_value(t.path, "double"), COMPARISONS[name])(F.lit(float(t.param1)))
+        out = getattr(path_value(t.path, "double", columns), COMPARISONS[name])(F.lit(float(t.param1)))
     elif name == "hasfield":
         out = (F.col(TYPED[t.path]) if t.path in TYPED else path_value(t.path, "string")).isNotNull()
         if t.path not in TYPED:
@@ -221,7 +247,7 @@ def predicate(t: Term) -> Column:
         any_name = t.param1 in ("", "*", None)
         out = F.exists("depends_on", lambda d: (d["value"] == t.param2) & (F.lit(True) if any_name else d["name"] == t.param1))
     elif name == "or":
-        sides = [reduce(lambda a, b: a & b, [predicate(s) for s in side]) for side in (t.param1, t.param2)]
+        sides = [reduce(lambda a, b: a & b, [predicate(s, columns) for s in side]) for side in (t.param1, t.param2)]
         out = sides[0] | sides[1]
     else:
         raise ValueError(f"unknown operation: {t.operation}")
@@ -231,4 +257,5 @@ def predicate(t: Term) -> Column:
 def search(documents: DataFrame, query: Query | None = None, session_id: str | None = None) -> DataFrame:
     """The documents that a query selects (all without one), of one session if given."""
     out = documents if session_id is None else documents.where(F.col("session_id") == session_id)
-    return out if query is None else out.where(query.column())
+    found = out if query is None else out.where(query.column(documents.columns))
+    return found.drop(*[c for c in documents.columns if c.startswith("body/")])

@@ -6,12 +6,14 @@ new content of the store, or only the rows to append; saving is a Parquet write
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import descendants, edges_of
-from .query import Query, search
+from .query import Query, index_column, path_value, search
 
 ENVELOPE = ("id", "session_id", "name", "datestamp", "class_name", "superclasses", "depends_on")
 EDGES = "array<struct<name:string,value:string>>"
@@ -77,6 +79,51 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("class")
 
 
+def hot_paths(queries: list[Query], least: int = 1) -> list[tuple[str, str]]:
+    """The body paths, with the kinds, that at least so many of the queries compare."""
+    seen = Counter(p for q in queries for p in q.paths())
+    return sorted(p for p, n in seen.items() if n >= least)
+
+
+def with_index(documents: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
+    """The documents with a typed column for each body path and kind; the schema is the catalogue that searches consult."""
+    return documents.withColumns({index_column(p, k): path_value(p, k) for p, k in paths})
+
+
+def save_indexed(documents: DataFrame, path: str, paths: list[tuple[str, str]], mode: str = "append", cluster: tuple[str, str] | None = None) -> None:
+    """Write documents with typed columns for hot body paths, so that comparisons on these reach the scan.
+
+    ``cluster`` is the path by whose values files and their row groups are laid out, so that its statistics skip them.
+    A store keeps the paths it was begun with: they stand in its catalogue, and appending under other ones is an error.
+    """
+    spark, paths = documents.sparkSession, sorted(set(paths))
+    known = indexed_paths(spark, path) if mode == "append" else None
+    if known is not None and known != paths:
+        raise ValueError(f"the store is indexed by {known}")
+    rows = with_index(documents, paths)
+    if cluster is not None:
+        by = f"`{index_column(*cluster)}`"
+        rows = rows.repartitionByRange("class_name", by).sortWithinPartitions("class_name", by)
+    save(rows, path, mode)
+    if known is None:
+        spark.createDataFrame([tuple(x) for x in paths], "path string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")
+
+
+def indexed_paths(spark: SparkSession, path: str) -> list[tuple[str, str]] | None:
+    """The catalogue of a store: its indexed paths and kinds, or nothing if it has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_index")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return sorted(tuple(r) for r in spark.read.schema("path string, kind string").parquet(f"{path}/_index").collect())
+
+
+def load_indexed(spark: SparkSession, path: str) -> DataFrame:
+    """An indexed store with its index columns, for :func:`tessera.operators.query.search`."""
+    if indexed_paths(spark, path) is None:
+        raise ValueError(f"{path} has no index")
+    return spark.read.parquet(path).drop("class")
+
+
 def read_one(documents: DataFrame, ident: str, isa: str | None = None) -> DataFrame:
     """The document with this id, if there is one and it is of the class."""
     out = documents.where(F.col("id") == ident)

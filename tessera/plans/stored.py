@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import store
 from tessera.operators.graph import shared_folder, written
+from tessera.operators.query import Query, search
 from tessera.sources import files, stored
 
-from .inputs import SAMPLES, entity_documents, prefixed, query, samples, seconds, table
+from .inputs import SAMPLES, entity_documents, event_documents, prefixed, query, samples, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -27,6 +26,28 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
+_K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
+
+
+def _searched(spark, sf_dir, q: Query) -> DataFrame:
+    """The ids that a query selects in a saved store that is indexed by the query's own paths."""
+    folder = f"{_folder(spark)}/store"
+    store.save_indexed(event_documents(spark, sf_dir), folder, store.hot_paths([q]), cluster=("event.value", "double"))
+    return search(store.load_indexed(spark, folder), q).select("id")
+
+
+@query(f"SELECT 'e' || event_id AS id FROM events WHERE {_K} > 20 AND {_K} <= 60 AND value >= 10 AND value < 90")
+def q_index_range(spark, sf_dir):
+    k, v = Query("event.props.k"), Query("event.value")
+    return _searched(spark, sf_dir, (k > 20) & (k <= 60) & (v >= 10) & (v < 90))
+
+
+@query(f"SELECT 'e' || event_id AS id FROM events WHERE (CAST({_K} AS INTEGER) = 7 OR contains(json_extract_string(props, '$.k'), '4') OR value < 5) AND NOT coalesce({_K} < 5, false)")
+def q_index_text(spark, sf_dir):
+    k, v = Query("event.props.k"), Query("event.value")
+    return _searched(spark, sf_dir, ((k == 7) | (k.contains("4") | (v < 5))) & ~(k < 5))
+
+
 def _two_channels(spark, sf_dir) -> DataFrame:
     s = samples(spark, sf_dir).select("epoch_id", "channel", "sample_idx", "value")
     return s.unionByName(s.withColumn("channel", F.lit("ai2")).withColumn("value", F.col("value") * -2))

@@ -144,3 +144,34 @@ def test_summaries(spark, three):
     assert {(r.name, r.variable, r.term) for r in summaries.variable_names(rows, "o").collect()} == {("a", "va", "1"), ("b", "vb", "2"), ("c", "vc", "3")}
     ids_ = spark.createDataFrame([("2", "x"), ("1", "x"), ("3", "")], "id string, k string")
     assert summaries.duplicates(ids_, F.col("k")).collect() == [("2", "1")]
+
+
+def test_indexed_paths_reach_the_scan(spark, tmp_path):
+    from tessera.operators.query import index_column
+
+    rows = spark.createDataFrame([(i, float(i % 50), None if i % 7 == 0 else {"k": i % 11}) for i in range(400)], "i int, value double, props map<string,int>")
+    docs = store.make_documents(rows, F.concat(F.lit("d"), "i"), "event", ["base"], section={"value": F.col("value"), "props": F.to_json("props"), "text": F.col("i").cast("string")})
+    v, text = Query("event.value"), Query("event.text")
+    queries = [(v > 10) & (v <= 12), text == "33", ~(v < 40), (text.contains("99") | (v == 3)) & ~(text == "3"), ~(Query("event.none") > 1), text.equals_any_case("33"), text.match("^3.$")]
+    paths = store.hot_paths(queries)
+    assert ("event.value", "double") in paths and ("event.text", "string") in paths and len(paths) == 3
+    assert store.hot_paths(queries, 3) == [("event.text", "string"), ("event.value", "double")]
+    folder = str(tmp_path / "store")
+    store.save_indexed(docs, folder, paths, cluster=("event.value", "double"))
+    kept = store.load_indexed(spark, folder)
+    ids = lambda df: sorted(r.id for r in df.select("id").collect())
+    for q in queries:
+        found = search(kept, q)
+        assert ids(found) == ids(search(docs, q)) and found.columns == docs.columns
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = search(kept, queries[0])._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    name = index_column("event.value", "double")
+    assert "PushedFilters" in plan and f"GreaterThan({name},10.0)" in plan.replace("`", "") and f"LessThanOrEqual({name},12.0)" in plan.replace("`", "")
+    store.save_indexed(docs.limit(3).withColumn("id", F.concat(F.lit("x"), "id")), folder, paths)
+    assert store.load_indexed(spark, folder).count() == 403 and store.indexed_paths(spark, folder) == paths
+    with pytest.raises(ValueError, match="indexed by"):
+        store.save_indexed(docs, folder, paths[:1])
+    store.save(docs, str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="no index"):
+        store.load_indexed(spark, str(tmp_path / "plain"))
