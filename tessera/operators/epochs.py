@@ -226,11 +226,11 @@ def ingested_entry(ingested: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(ingested.select("daq", "epoch_id", "clocks"), ["daq", "epoch_id"], "left")
 
 
-def valid_events(events: DataFrame, intervals: DataFrame, keys: list[str], width: float) -> DataFrame:
+def valid_events(events: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Events inside any valid interval (``t_on <= t < t_off``) of their owner; an owner without intervals is all valid."""
     from .signals import in_windows
 
-    inside = in_windows(events.withColumn("__id", F.monotonically_increasing_id()), intervals, keys, width)
+    inside = in_windows(events.withColumn("__id", F.monotonically_increasing_id()), intervals, keys)
     bounded = intervals.select(*keys).distinct()
     free = events.join(bounded, keys, "left_anti")
     return inside.dropDuplicates(["__id"]).select(*events.columns).unionByName(free)

@@ -327,9 +327,26 @@ def as_of(events: DataFrame, marks: DataFrame, keys: list[str], t: str = "t", ca
     return both.where("__side = 1").select("__e.*", carry)
 
 
-def in_windows(events: DataFrame, windows: DataFrame, keys: list[str], width: float, t: str = "t") -> DataFrame:
-    """Events inside windows ``t_on <= t < t_off``: both sides are cut into buckets of ``width`` and joined by bucket."""
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    spread = windows.withColumn("__b", F.explode(F.sequence(bucket("t_on"), bucket("t_off"))))
-    met = events.withColumn("__b", bucket(t)).join(spread, [*keys, "__b"])
-    return met.where((F.col(t) >= F.col("t_on")) & (F.col(t) < F.col("t_off"))).drop("__b")
+#: The level of windows without an end: one bucket for all times.
+ENDLESS = 2000
+
+
+def in_windows(events: DataFrame, windows: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """Events inside windows ``t_on <= t < t_off``; ends may be infinite, and a window that is not before its end holds none.
+
+    A window belongs to a level whose buckets are a power of two wide, once to four times its length, so it lies in two of
+    them at most; an event is in one bucket of each level that some window has. Both sides meet by level and
+    bucket, so long and short windows may stand in one table.
+    """
+    length = F.col("t_off") - F.col("t_on")
+    endless = F.abs(length) == float("inf")
+    spans = windows.where(F.col("t_on") < F.col("t_off")).withColumn("__level", F.when(endless, ENDLESS).otherwise(F.ceil(F.log2(length)) + 1).cast("int"))
+    levels = [r[0] for r in spans.select("__level").distinct().collect()]  # as many as there are powers of two between the lengths
+
+    def bucket(c: str) -> Column:
+        return F.when(F.col("__level") == ENDLESS, 0).otherwise(F.floor(F.col(c) / F.pow(F.lit(2.0), "__level"))).cast("long")
+
+    spread = spans.withColumn("__b", F.explode(F.array_distinct(F.array(bucket("t_on"), bucket("t_off")))))
+    each = events.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>"))).withColumn("__b", bucket(t))
+    met = each.join(spread, [*keys, "__level", "__b"])
+    return met.where((F.col(t) >= F.col("t_on")) & (F.col(t) < F.col("t_off"))).drop("__b", "__level")

@@ -179,11 +179,48 @@ def text_filter(df: DataFrame, column: str, value: str, how: str = "contains") -
     return df.where(tests[how](F.lower(column), F.lit(value.lower())))
 
 
+#: Lengths of the pieces by which needles are looked up; a needle is looked up by the longest that it has.
+PIECES = (1, 2, 3, 6, 12)
+
+
+def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, fold: bool = False) -> DataFrame:
+    """All columns of ``texts`` with the needles that ``text`` contains, a row for each pair; ``fold`` ignores case.
+
+    A needle is looked up by one piece of itself, the one that the fewest texts have, and texts by all their pieces of the
+    needles' lengths; where these are equal the needle is compared. So both sides meet by a key, however many there are.
+    Equal needles count each, an empty needle is in every text, null texts and needles match nothing.
+    """
+    low = lambda c: F.lower(c) if fold else c
+    listed = needles.select(F.col(needle).alias("__needle")).where("__needle is not null").groupBy("__needle").agg(F.count("*").alias("__copies"))
+    listed = listed.withColumn("__low", low(F.col("__needle"))).withColumn("__size", sum((F.length("__low") >= n).cast("int") for n in PIECES))
+    sizes = sorted(r[0] for r in listed.select("__size").distinct().collect())  # at most one for each length and 0
+
+    def pieces(of: Column, n: int) -> Column:
+        starts = F.when(F.length(of) >= n, F.sequence(F.lit(1), F.length(of) - n + 1))
+        return F.coalesce(F.array_distinct(F.transform(starts, lambda i: F.substring(of, i, F.lit(n)))), F.array().cast("array<string>"))
+
+    rows = texts.where(F.col(text).isNotNull()).withColumn("__text", low(F.col(text)))
+    out = rows.where(F.lit(False)).withColumn("__needle", F.lit("")).withColumn("__copies", F.lit(0).cast("long"))
+    for size in sizes:
+        if size == 0:
+            copies = listed.where("__size = 0").first()["__copies"]
+            met = rows.withColumn("__needle", F.lit("")).withColumn("__copies", F.lit(copies))
+        else:
+            n = PIECES[size - 1]
+            each = rows.withColumn("__piece", F.explode(pieces(F.col("__text"), n)))
+            often = each.groupBy("__piece").agg(F.count("*").alias("__n"))
+            mine = listed.where(F.col("__size") == size)
+            asked = mine.withColumn("__piece", F.explode(pieces(F.col("__low"), n))).join(often, "__piece")
+            rarest = asked.groupBy("__needle", "__low", "__copies").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
+            met = each.join(rarest, "__piece").where(F.contains("__text", "__low"))
+        out = out.unionByName(met.select(*out.columns))
+    repeated = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return repeated.select(*texts.columns, F.col("__needle").alias(needle))
+
+
 def search_ids(df: DataFrame, needles: DataFrame, column: str = "id") -> DataFrame:
-    """``needle, <column>``: a row for each id that contains a needle, in any case; needles are a short list, which
-    Spark broadcasts if its size allows."""
-    hit = F.contains(F.lower(df[column]), F.lower(needles["needle"]))
-    return df.join(needles, hit).select("needle", column)
+    """``needle, <column>``: a row for each id that contains a needle, in any case."""
+    return containing(df.select(column), needles, column, "needle", fold=True).select("needle", column)
 
 
 def combinations(inputs: list[DataFrame]) -> DataFrame:

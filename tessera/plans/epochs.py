@@ -198,7 +198,7 @@ def valid_intervals(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select("event_id", "user_id", seconds("ts").alias("t"), "event_type")
     spans = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("t_on"), (F.col("t") + 86400).alias("t_off"))
-    return ep.valid_events(e.select("event_id", "user_id", "t"), spans, ["user_id"], 43200.0).select("event_id")
+    return ep.valid_events(e.select("event_id", "user_id", "t"), spans, ["user_id"]).select("event_id")
 
 
 @query(f"WITH {_ORDERED} SELECT epoch_id, path, path LIKE 'epochid://%' AS ingested FROM (SELECT epoch_id, unnest(['/data/' || epoch_id || '.bin', 'epochid://' || epoch_id]) AS path FROM n WHERE epoch_number = 2)")

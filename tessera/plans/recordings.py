@@ -130,7 +130,18 @@ def event_asof_marker(spark, sf_dir):
 def event_in_window(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", seconds("ts").alias("t"), "event_type")
     w = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("window_id"), F.col("t").alias("t_on"), (F.col("t") + 86400).alias("t_off"))
-    return signals.in_windows(e.select("event_id", "user_id", "t"), w, ["user_id"], 43200.0).select("event_id", "window_id")
+    return signals.in_windows(e.select("event_id", "user_id", "t"), w, ["user_id"]).select("event_id", "window_id")
+
+
+_LONG = "CASE w.event_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 31536000 ELSE 0.0 END"
+
+
+@query(f"SELECT a.event_id, w.event_id AS window_id FROM events a JOIN events w ON w.event_type = 'signup' AND a.user_id = w.user_id AND a.ts >= w.ts AND epoch_us(a.ts) < epoch_us(w.ts) + {_LONG} * 1000000")
+def event_in_mixed_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", seconds("ts").alias("t"), "event_type")
+    length = F.element_at(F.array(F.lit(60.0), F.lit(3600.0), F.lit(31536000.0), F.lit(0.0)), (F.col("event_id") % 4 + 1).cast("int"))
+    w = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("window_id"), F.col("t").alias("t_on"), (F.col("t") + length).alias("t_off"))
+    return signals.in_windows(e.select("event_id", "user_id", "t"), w, ["user_id"]).select("event_id", "window_id")
 
 
 @query()

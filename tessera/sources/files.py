@@ -88,9 +88,11 @@ def reconcile(ingested: DataFrame, on_disk: DataFrame) -> DataFrame:
 
 
 def files_of_name(names: DataFrame, epochs: DataFrame) -> DataFrame:
-    """``filename, epoch_id`` where a name is part of one of the epoch's paths; the names are a short list."""
+    """``filename, epoch_id`` where a name is part of one of the epoch's paths."""
+    from tessera.operators.tables import containing
+
     each = epochs.select("epoch_id", F.explode("files").alias("path"))
-    return each.join(names, F.contains("path", F.col("filename"))).select("filename", "epoch_id").distinct()
+    return containing(each, names, "path", "filename").select("filename", "epoch_id").distinct()
 
 
 def read_grid(files: DataFrame, kind: str, shape: list[int]) -> DataFrame:

@@ -240,6 +240,18 @@ def test_downsampling_by_the_median_distance(spark, monkeypatch):
     assert signals.downsample(null, 128.0, ["e"]).count() == 25
 
 
+def test_windows_of_any_length_in_one_table(spark):
+    rng = np.random.default_rng(8)
+    events = [(int(k), float(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 600), rng.uniform(-50, 1000, 600)))] + [(1, float(2**k), 700 + k) for k in range(-3, 10)]
+    windows = [(int(k), float(a), float(a + n)) for k, a, n in zip(rng.integers(0, 4, 200), rng.uniform(-50, 1000, 200), 10 ** rng.uniform(-6, 4, 200))]
+    windows += [(1, float(2**k), float(2 ** (k + 1))) for k in range(-3, 9)] + [(0, 5.0, 5.0), (0, 6.0, 1.0), (2, float("-inf"), 100.0), (3, 900.0, float("inf")), (9, 0.0, 1.0)]
+    e = spark.createDataFrame(events, "k int, t double, i int")
+    w = spark.createDataFrame([(*x, n) for n, x in enumerate(windows)], "k int, t_on double, t_off double, n int")
+    want = sorted((i, n) for k, t, i in events for n, (k2, a, b) in enumerate(windows) if k == k2 and a <= t < b)
+    assert pairs(signals.in_windows(e, w, ["k"]), "i", "n") == want
+    assert signals.in_windows(e, w.limit(0), ["k"]).count() == 0
+
+
 def test_files(spark, tmp_path):
     for name in ("x/rec_1.rhd", "x/rec_2.rhd", "x/rec_1.epoch", "y/rec_3.rhd", "x/.hidden.rhd"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

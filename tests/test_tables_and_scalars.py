@@ -87,3 +87,23 @@ def test_calculators(spark):
     edges = spark.createDataFrame([("t", "stimulus_tuningcurve_id", "u"), ("u", "stimulus_response_scalar_id", "r")], "src string, name string, dst string")
     kinds = spark.createDataFrame([("r", "mean")], "id string, response_type string")
     assert calc.response_type(edges, kinds, spark.createDataFrame([("t",)], "id string"), 3).first().response_type == "mean"
+
+
+def test_needles_meet_texts_by_a_key(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abAB_1") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 30))) for i in range(300)] + [(300, None), (301, "same"), (301, "same"), (302, "\u00c4x\U0001f600y")]
+    needles = [word(rng.randint(1, 14)) for _ in range(2000)] + [t[3:11] for _, t in texts[:80]] + ["", "", "same", "\U0001f600", None]
+    t, n = spark.createDataFrame(texts, "id int, name string"), spark.createDataFrame([(x,) for x in needles], "needle string")
+    for fold in (False, True):
+        low = (lambda x: x.lower()) if fold else (lambda x: x)
+        want = sorted((i, x, y) for i, x in texts if x is not None for y in needles if y is not None and low(y) in low(x))
+        assert sorted(map(tuple, tables.containing(t, n, "name", "needle", fold).collect())) == want
+    assert tables.containing(t, n.limit(0), "name", "needle").count() == 0 == tables.containing(t.limit(0), n, "name", "needle").count()
+    many = spark.range(10_000).select(F.concat(F.lit("x"), "id").alias("needle"))
+    found = tables.search_ids(spark.range(500).select(F.concat(F.lit("AX"), F.col("id") * 7, F.lit("b")).alias("id")), many)
+    text = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    assert found.count() == sum(f"ax{7 * i}b".startswith(f"ax{str(7 * i)[:k]}") for i in range(500) for k in range(1, len(str(7 * i)) + 1) if str(7 * i)[:k] == str(int(str(7 * i)[:k])))
