@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import store
+from tessera.operators import schemas, store
 from tessera.operators.graph import shared_folder, written
 from tessera.operators.query import Query, search
 from tessera.sources import files, stored
@@ -48,6 +49,39 @@ def q_index_text(spark, sf_dir):
     return _searched(spark, sf_dir, ((k == 7) | (k.contains("4") | (v < 5))) & ~(k < 5))
 
 
+_SCHEMAS = {
+    "supplier": {
+        "classname": "supplier", "superclasses": ["entity", "ghost"],
+        "depends_on": [{"name": "nation_id", "mustbenotempty": 1}, {"name": "region_id", "mustbenotempty": 1}, {"name": "other_id", "mustbenotempty": 0}],
+        "supplier": [
+            {"name": "s_suppkey", "type": "integer", "parameters": [0, 50, 1]}, {"name": "s_name", "type": "string", "parameters": ""},
+            {"name": "s_acctbal", "type": "integer", "parameters": [-1000000, 1000000, 1]}, {"name": "s_note", "type": "string", "parameters": ""},
+        ],
+    },
+    "entity": {"classname": "entity", "superclasses": ["base"], "depends_on": [], "entity": [{"name": "label", "type": "string"}]},
+    "base": {"classname": "base", "superclasses": [], "depends_on": [], "base": [{"name": "id", "type": "did_uid", "parameters": 3}, {"name": "datestamp", "type": "timestamp"}]},
+}
+
+
+@query("""WITH s AS (SELECT 's' || s_suppkey AS id, * FROM supplier)
+SELECT id, 'this' AS part, 'supplier.s_suppkey' AS path, 'range' AS error FROM s WHERE s_suppkey > 50
+UNION ALL SELECT id, 'this', 'supplier.s_acctbal', 'type' FROM s WHERE s_acctbal <> floor(s_acctbal)
+UNION ALL SELECT id, 'this', 'supplier.s_note', 'missing property' FROM s
+UNION ALL SELECT id, 'entity', 'entity', 'missing section' FROM s
+UNION ALL SELECT id, 'ghost', 'ghost', 'no schema' FROM s
+UNION ALL SELECT id, 'base', 'base.id', 'length' FROM s WHERE length(id) <> 3
+UNION ALL SELECT id, 'depends_on', 'region_id', 'missing' FROM s
+UNION ALL SELECT id, 'depends_on', 'nation_id', 'dangling' FROM s WHERE s_nationkey >= 12""")
+def schema_validation(spark, sf_dir):
+    names = table(spark, sf_dir, "supplier").limit(1).select(F.explode(F.array(*[F.struct(F.lit(f"{k}_schema.json").alias("path"), F.lit(json.dumps(v)).cast("binary").alias("content")) for k, v in _SCHEMAS.items()])).alias("f")).select("f.*")
+    folder = _folder(spark)
+    stored.write_files(names, folder)
+    rules = schemas.compile_rules(schemas.read_schemas(spark, folder))
+    known = table(spark, sf_dir, "nation").where("n_nationkey < 12").select(prefixed("n", "n_nationkey").alias("id"))
+    docs = entity_documents(spark, sf_dir, "supplier").withColumn("datestamp", F.lit(""))
+    return schemas.validate_by_class(docs, rules, known)
+
+
 def _two_channels(spark, sf_dir) -> DataFrame:
     s = samples(spark, sf_dir).select("epoch_id", "channel", "sample_idx", "value")
     return s.unionByName(s.withColumn("channel", F.lit("ai2")).withColumn("value", F.col("value") * -2))
