@@ -58,3 +58,38 @@ def streaming_edges(stream: DataFrame, threshold: float = 0.5) -> DataFrame:
         yield pd.DataFrame({"channel": key[0], "t": changed["t"].to_numpy(), "event": [1 if h else -1 for h in high[high != was]]})
 
     return stream.select("channel", "t", "value").groupBy("channel").applyInPandasWithState(run, EDGES, "high boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+HELD = "high boolean, at array<timestamp>, held array<double>"
+
+
+def ordered_edges(stream: DataFrame, threshold: float = 0.5, late: str = "1 hour") -> DataFrame:
+    """``channel, t, event`` of threshold crossings, whatever the order in which a channel's rows arrive.
+
+    Rows wait in the channel's state until the watermark, ``late`` behind the newest row, has passed them; then they are taken
+    in order of time (of equal times, by value) after the last value taken. A row that comes later than that is left out. A
+    channel wakes up by its timer, so its rows are taken even if none of its own arrives any more.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        high, at, held = state.get if state.exists else (None, [], [])
+        new = [pd.DataFrame({"t": pd.Series(list(at), dtype="datetime64[ns]"), "value": pd.Series(list(held), dtype=float)})]
+        if not state.hasTimedOut:
+            new += [p[["t", "value"]] for p in parts]
+        rows = pd.concat([p for p in new if len(p)] or new).sort_values(["t", "value"])
+        passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        done, waits = rows[rows["t"] <= passed], rows[rows["t"] > passed]
+        now = (done["value"] >= threshold).to_numpy()
+        was = now[:1].tolist() if high is None else [high]
+        was = [*was, *now[:-1].tolist()][: len(now)]
+        if len(now):
+            high = bool(now[-1])
+        state.update((high, [t.to_pydatetime() for t in waits["t"]], waits["value"].tolist()))
+        if len(waits):
+            # The timer's time has to be ahead of the watermark; the first row that waits is.
+            state.setTimeoutTimestamp(max(int(waits["t"].iloc[0].timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        changed = now != was
+        yield pd.DataFrame({"channel": key[0], "t": done["t"][changed].to_numpy(), "event": [1 if h else -1 for h in now[changed]]})
+
+    rows = stream.select("channel", "t", "value").where("t is not null").withWatermark("t", late)
+    return rows.groupBy("channel").applyInPandasWithState(run, EDGES, HELD, "append", GroupStateTimeout.EventTimeTimeout)
