@@ -40,37 +40,66 @@ def edges_of(documents: DataFrame) -> DataFrame:
     ).where("dst is not null and dst <> ''")
 
 
-def closure(edges: DataFrame, start: DataFrame, towards: str, max_depth: int = 1000) -> DataFrame:
+#: Rounds that follow single steps before jumps are doubled, as a power of two of steps: 8 = 2 ** 3.
+SINGLE_ROUNDS = 3
+
+
+def closure(edges: DataFrame, start: DataFrame, towards: str, max_depth: int | None = None) -> DataFrame:
     """``root, id, depth``: what each start document reaches, and the least number of steps.
 
-    A frontier of pairs is joined to the edges level by level; pairs that are known are left out, so a cycle ends. The
-    distinct edges and every level are written, so lineage stays short and a lost executor costs one level. Paths of
-    more than ``max_depth`` steps raise ``RuntimeError``.
+    The first steps follow single edges from a frontier. What is deeper than these is found by doubling: a table of jumps is
+    joined with itself, so jumps are twice as long in each round, and all that is found so far takes one jump more. So a path of
+    ``n`` steps takes about ``log2(n)`` rounds, and a cycle ends when a round finds nothing new. Edges, levels and jumps are
+    written, so lineage stays short and a lost executor costs one round. Paths of more than ``max_depth`` steps raise
+    ``RuntimeError``, where it is given.
     """
     near, far = ("dst", "src") if towards == "src" else ("src", "dst")
     steps = written(edges.select(F.col(near).alias("__at"), F.col(far).alias("id")).distinct())
     frontier = start.select(F.col("id").alias("root"), "id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
-    out = None
-    for depth in range(1, max_depth + 1):
+    rounds = 1 << SINGLE_ROUNDS
+    for depth in range(1, rounds + 1):
         found = frontier.withColumnRenamed("id", "__at").join(steps, "__at").select("root", "id").distinct()
         frontier = written(found.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        level = frontier.withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(level)
-        out = level if out is None else out.unionByName(level)
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"paths of more than {max_depth} steps")
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
     else:
-        raise RuntimeError(f"paths of more than {max_depth} steps")
-    return out if out is not None else seen.where("depth > 0")
-
-
-def ancestors(edges: DataFrame, start: DataFrame, max_depth: int = 1000) -> DataFrame:
+        seen = _doubled(seen, steps, rounds, max_depth)
+    return seen.where("depth > 0")
+
+
+def _doubled(seen: DataFrame, steps: DataFrame, length: int, max_depth: int | None) -> DataFrame:
+    """``seen``, which has all pairs up to ``length`` steps (a power of two), with all others."""
+    jumps = steps
+    for _ in range(length.bit_length() - 1):
+        jumps = _twice(jumps)
+    n = None
+    while True:
+        further = seen.select("root", F.col("id").alias("__at"), "depth").join(jumps, "__at").select("root", "id", (F.col("depth") + length).alias("depth"))
+        seen = written(seen.unionByName(further).groupBy("root", "id").agg(F.min("depth").alias("depth")))
+        before, (n, deepest) = n, seen.agg(F.count("*"), F.max("depth")).first()
+        if max_depth is not None and deepest > max_depth:
+            raise RuntimeError(f"paths of more than {max_depth} steps")
+        if n == before or deepest < 2 * length - 1:
+            return seen
+        jumps, length = _twice(jumps), 2 * length
+
+
+def _twice(jumps: DataFrame) -> DataFrame:
+    """Pairs that two jumps connect."""
+    then = jumps.select(F.col("__at").alias("__mid"), F.col("id").alias("__to"))
+    return written(jumps.select("__at", F.col("id").alias("__mid")).join(then, "__mid").select("__at", F.col("__to").alias("id")).distinct())
+
+
+def ancestors(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Everything that the start documents depend on, each once for its root."""
     return closure(edges, start, "dst", max_depth)
 
 
-def descendants(edges: DataFrame, start: DataFrame, max_depth: int = 1000) -> DataFrame:
+def descendants(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Everything that depends on the start documents, each once for its root."""
     return closure(edges, start, "src", max_depth)
 

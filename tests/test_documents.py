@@ -107,6 +107,33 @@ def test_closures_survive_cycles(spark):
     assert down == {"a", "b", "c"}
 
 
+def test_deep_closures_take_few_rounds(spark, monkeypatch):
+    """A chain of 4,000 documents, a long cycle, and shortcuts that shorten paths found earlier."""
+    rounds = []
+    plain = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(1) or plain(df))
+    n = 4000
+    rows = [(f"c{i}", "e", f"c{i + 1}") for i in range(n)] + [(f"r{i}", "e", f"r{(i + 1) % 37}") for i in range(37)] + [("c5", "e", "c905"), ("c20", "e", "r3")]
+    edges = spark.createDataFrame(rows, "src string, name string, dst string")
+    start = spark.createDataFrame([("c0",), ("r0",), ("c3990",)], "id string")
+    got = {(r.root, r.id): r.depth for r in graph.ancestors(edges, start).collect()}
+    out = {}
+    for s, _, d in rows:
+        out.setdefault(s, []).append(d)
+    want = {}
+    for root in ("c0", "r0", "c3990"):
+        level, depth, seen = [root], 0, set()
+        while level:
+            depth += 1
+            level = sorted({d for x in level for d in out.get(x, []) if d not in seen and not seen.add(d)})
+            want |= {(root, d): depth for d in level if d != root}
+    assert got == want
+    # Eight single steps, then jumps of 8 to 4,096 steps: two tables a round.
+    assert len(rounds) <= 9 + 3 + 2 * 10
+    with pytest.raises(RuntimeError):
+        graph.ancestors(edges, start, 1000)
+
+
 def test_graph_parts(spark, three):
     assert ids(graph.dangling(three)) == ["c"]
     assert ids(graph.dangling(three, "parent_doc")) == []
