@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .summaries import row_digests
+
 METHODS = ("none", "difference", "abs_difference", "percent_difference", "abs_percent_difference", "character_exact", "p_value_consistent")
 
 
@@ -101,3 +103,52 @@ def dataset_diff(left: DataFrame, right: DataFrame, ignore: tuple[str, ...] = ()
     out = session_diff(pair(left), pair(right), ignore)
     ids = F.from_json("id", "session_id string, id string")
     return out.select(ids["session_id"].alias("session_id"), ids["id"].alias("id"), "status")
+
+
+# --- Stored sessions with a tree of hashes, so that only what differs is read ---
+
+#: Hex digits of an id's MD5 that name its folder, and its leaf in the tree.
+FOLDER_DIGITS, LEAF_DIGITS = 2, 4
+
+
+def save_hashed(documents: DataFrame, path: str, ignore: tuple[str, ...] = ("session_id",)) -> None:
+    """Write documents by ranges of their ids' hashes, and the digests of each range's content.
+
+    ``_hashes`` has a row a leaf: its folder, and digests that do not depend on the order of documents. A parent's digest
+    is the sum of its children's.
+    """
+    rows = documents.withColumn("__leaf", F.substring(F.md5("id"), 1, LEAF_DIGITS)).withColumn("__folder", F.substring("__leaf", 1, FOLDER_DIGITS))
+    rows.repartition("__folder").sortWithinPartitions("__folder", "__leaf").write.mode("overwrite").partitionBy("__folder").parquet(path)
+    stored = documents.sparkSession.read.parquet(path).withColumn("__folder", F.col("__folder").cast("string"))
+    content = comparable(stored.drop("__folder"), ignore + ("__leaf",))
+    leaf = F.substring(F.md5("id"), 1, LEAF_DIGITS)
+    digests = content.groupBy(leaf.alias("leaf")).agg(*row_digests(F.concat_ws("\n", "id", "content")))
+    digests.withColumn("folder", F.substring("leaf", 1, FOLDER_DIGITS)).coalesce(1).write.mode("overwrite").parquet(f"{path}/_hashes")
+    stored.limit(0).write.mode("overwrite").parquet(f"{path}/_schema")
+
+
+def unequal_ranges(spark: SparkSession, left: str, right: str) -> tuple[list[str], DataFrame]:
+    """The folders in which two stored sessions differ (none if their roots agree), and the leaves that do, from the hashes alone."""
+    a, b = (spark.read.parquet(f"{p}/_hashes") for p in (left, right))
+
+    def differing(level: str, *within: Column) -> DataFrame:
+        up = lambda h, s: h.where(F.lit(True) if not within else within[0]).groupBy(level).agg(*[F.sum(c).alias(f"{c}_{s}") for c in ("n", "hi", "lo")])
+        met = up(a, "a").join(up(b, "b"), level, "full")
+        equal = [F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in ("n", "hi", "lo")]
+        return met.where(~(equal[0] & equal[1] & equal[2])).select(level)
+
+    folders = sorted(r[0] for r in differing("folder").collect())  # at most 16 ** FOLDER_DIGITS
+    return folders, differing("leaf", F.col("folder").isin(folders))
+
+
+def stored_session_diff(spark: SparkSession, left: str, right: str, ignore: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """:func:`session_diff` of two sessions that :func:`save_hashed` wrote; folders and leaves that agree are not read or joined."""
+    folders, leaves = unequal_ranges(spark, left, right)
+
+    def some(path: str) -> DataFrame:
+        # With the schema given, no other file is opened for it, and a folder's name is text even if it looks like a number.
+        rows = spark.read.schema(spark.read.parquet(f"{path}/_schema").schema).parquet(path)
+        mine = rows.where(F.col("__folder").isin(folders))
+        return mine.join(leaves.withColumnRenamed("leaf", "__leaf"), "__leaf", "left_semi").drop("__leaf", "__folder")
+
+    return session_diff(some(left), some(right), ignore)

@@ -75,6 +75,18 @@ def table_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("hash"))
 
 
+def row_digests(line: Column) -> list[Column]:
+    """Aggregates ``n, hi, lo``: the number of rows, and two sums of 60 bits of each row's MD5. They do not depend on the order of
+    rows, and sums of parts add up, so no group is ever held as a list."""
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(line), at, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return [F.count("*").alias("n"), part(1).alias("hi"), part(16).alias("lo")]
+
+
+def group_digests(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, hi, lo`` of each group's rows in any order: equal groups, and as good as only they, have equal digests."""
+    return rows.groupBy(*keys).agg(*row_digests(F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in keys]))))
+
+
 def location_uids(documents: DataFrame) -> DataFrame:
     """Distinct uids of all file locations."""
     info = F.explode(F.try_variant_get("body", "$.files.file_info", "array<struct<name:string,locations:array<struct<uid:string>>>>"))

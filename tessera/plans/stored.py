@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import schemas, store
+from tessera.operators import diffs, schemas, store, summaries
 from tessera.operators.graph import shared_folder, written
 from tessera.operators.query import Query, search
 from tessera.sources import files, stored
@@ -82,6 +82,23 @@ def schema_validation(spark, sf_dir):
     return schemas.validate_by_class(docs, rules, known)
 
 
+@query("SELECT 'c' || c_custkey AS id, CASE WHEN c_acctbal < -900 THEN 'only_left' WHEN c_acctbal > 9900 THEN 'only_right' ELSE 'different' END AS status FROM customer WHERE c_acctbal < -900 OR c_acctbal > 9900 OR c_acctbal BETWEEN 0 AND 100")
+def session_diff_stored(spark, sf_dir):
+    docs = entity_documents(spark, sf_dir, "customer").withColumn("bal", F.try_variant_get("body", "$.customer.c_acctbal", "double"))
+    left, right = f"{_folder(spark)}/s", f"{_folder(spark)}/s"
+    diffs.save_hashed(docs.where("bal <= 9900").drop("bal"), left)
+    changed = F.when(F.col("bal").between(0, 100), "other").otherwise(F.col("name"))
+    diffs.save_hashed(docs.where("bal >= -900").withColumn("name", changed).withColumn("session_id", F.lit("copy")).drop("bal"), right)
+    return diffs.stored_session_diff(spark, left, right)
+
+
+@query("""SELECT n_regionkey, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR AS hi, sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS lo
+FROM (SELECT n_regionkey, md5('{"n_name":"' || n_name || '"}') AS h FROM nation) GROUP BY n_regionkey""")
+def group_digests(spark, sf_dir):
+    found = summaries.group_digests(table(spark, sf_dir, "nation").select("n_regionkey", "n_name"), ["n_regionkey"])
+    return found.select("n_regionkey", "n", F.col("hi").cast("string").alias("hi"), F.col("lo").cast("string").alias("lo"))
+
+
 def _two_channels(spark, sf_dir) -> DataFrame:
     s = samples(spark, sf_dir).select("epoch_id", "channel", "sample_idx", "value")
     return s.unionByName(s.withColumn("channel", F.lit("ai2")).withColumn("value", F.col("value") * -2))

@@ -202,3 +202,26 @@ def test_indexed_paths_reach_the_scan(spark, tmp_path):
     store.save(docs, str(tmp_path / "plain"))
     with pytest.raises(ValueError, match="no index"):
         store.load_indexed(spark, str(tmp_path / "plain"))
+
+
+def test_stored_sessions_are_compared_by_their_hashes(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("k"), (F.col("id") % 13).alias("v"))
+    docs = store.make_documents(rows, F.col("k"), "thing", ["base"], store.edge_list(store.edge("a", F.lit("x")), store.edge("b", F.col("v"))))
+    other = docs.where("id <> 'd7'").withColumn("name", F.when(F.col("id") == "d1234", "new").otherwise(F.col("name")))
+    other = other.unionByName(docs.where("id = 'd7'").withColumn("id", F.lit("e7"))).withColumn("depends_on", F.reverse("depends_on")).withColumn("session_id", F.lit("s2"))
+    a, b, c = (str(tmp_path / n) for n in "abc")
+    for df, path in ((docs, a), (other, b), (docs.repartition(7), c)):
+        diffs.save_hashed(df, path)
+    folders, leaves = diffs.unequal_ranges(spark, a, b)
+    assert 1 <= len(folders) <= 3 and leaves.count() == 3 and diffs.unequal_ranges(spark, a, c)[0] == []
+    found = diffs.stored_session_diff(spark, a, b)
+    assert sorted(map(tuple, found.collect())) == [("d1234", "different"), ("d7", "only_left"), ("e7", "only_right")] == sorted(map(tuple, diffs.session_diff(docs, other).collect()))
+    assert found.inputFiles() and "PartitionFilters: [" in found._jdf.queryExecution().toString()
+    assert diffs.stored_session_diff(spark, a, c).count() == 0
+    # Files of folders that agree are not opened.
+    for path in (a, b):
+        for folder in (tmp_path / path).glob("__folder=*"):
+            if folder.name.removeprefix("__folder=") not in folders:
+                for file in folder.glob("part-*"):
+                    file.write_bytes(b"spoilt")
+    assert diffs.stored_session_diff(spark, a, b).count() == 3
