@@ -18,11 +18,12 @@ ACTIONS = ("ERROR", "NO_ACTION", "REPLACE", "REPLACE_IF_DIFFERENT")
 def run_policy(inputs: DataFrame, existing: DataFrame, keys: list[str], action: str = "NO_ACTION", parameters: str = "parameters") -> DataFrame:
     """``inputs`` with ``todo``: ``compute``, ``keep`` or ``replace``, from the results that exist for the keys.
 
-    ``ERROR`` makes the plan fail where a result exists. Parameters are compared as canonical text.
+    ``ERROR`` makes the plan fail where a result exists. Parameters are compared as canonical text; of several results of a
+    key, the one with the smallest parameters counts.
     """
     if action not in ACTIONS:
         raise ValueError(f"unknown action: {action}")
-    had = existing.select(*keys, F.col(parameters).alias("__had")).dropDuplicates(keys)
+    had = existing.groupBy(*keys).agg(F.min(parameters).alias("__had"))
     both = inputs.join(had.withColumn("__known", F.lit(True)), keys, "left")
     known = F.col("__known").isNotNull()
     todo = {

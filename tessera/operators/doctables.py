@@ -128,12 +128,14 @@ def find_uid(documents: DataFrame, uid: str) -> DataFrame:
 def add_file(files: Column, name: Column, location: Column, uid: Column, ingest: bool = True, delete_original: bool = False) -> Column:
     """A file list with one more location: of the file if it is listed, else of a new one behind it.
 
-    A name that ends in ``#`` stands for a numbered series: the file gets the next number.
+    A name that ends in ``#`` stands for a numbered series: the file gets the number after the largest that is listed, so a
+    number that was removed before it does not make two files one.
     """
     where = F.struct(uid.alias("uid"), location.alias("location"), F.lit(ingest).alias("ingest"), F.lit(delete_original).alias("delete_original"))
     stem = F.regexp_replace(name, "#$", "")
-    count = F.size(F.filter(files, lambda f: F.startswith(f["name"], stem) & F.regexp_replace(F.substring(f["name"], F.length(stem) + 1, F.lit(20)), "[0-9]+", "").eqNullSafe("")))
-    full = F.when(F.endswith(name, F.lit("#")), F.concat(stem, (count + 1).cast("string"))).otherwise(name)
+    number = lambda f: F.when(F.startswith(f["name"], stem), F.when(F.substring(f["name"], F.length(stem) + 1, F.lit(20)).rlike("^[0-9]+$"), F.substring(f["name"], F.length(stem) + 1, F.lit(20)).try_cast("int")))
+    largest = F.coalesce(F.array_max(F.transform(files, number)), F.lit(0))
+    full = F.when(F.endswith(name, F.lit("#")), F.concat(stem, (largest + 1).cast("string"))).otherwise(name)
     more = F.transform(files, lambda f: F.struct(f["name"].alias("name"), F.when(f["name"] == full, F.concat(f["locations"], F.array(where))).otherwise(f["locations"]).alias("locations")))
     new = F.concat(files, F.array(F.struct(full.alias("name"), F.array(where).alias("locations"))))
     return F.when(F.exists(files, lambda f: f["name"] == full), more).otherwise(new)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 
+from .tables import top_rows
+
 from .query import Query, search
 from .signals import time_sample
 
@@ -39,9 +41,12 @@ def probe_entries(epochs: DataFrame) -> DataFrame:
 
 
 def probe_epochs(epochs: DataFrame) -> DataFrame:
-    """Each probe's epochs, numbered: those whose map names it on the recorder itself, whatever the case of its name."""
+    """Each probe's epochs, numbered: those whose map names it on the recorder itself, whatever the case of its name.
+
+    Of several entries of a map for one probe, the first by its device counts.
+    """
     mine = probe_entries(epochs).where(F.lower(scalars.device_name(F.col("device"))) == F.lower("daq"))
-    return numbered_epochs(mine.dropDuplicates([*PROBE, "daq", "epoch_id"]), PROBE)
+    return numbered_epochs(top_rows(mine, [*PROBE, "daq", "epoch_id"], ["device"]), PROBE)
 
 
 def entry_matches(entry: Column, name: str | None = None, reference: int | None = None, kind: str | None = None) -> Column:

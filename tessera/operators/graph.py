@@ -163,8 +163,8 @@ def set_dependency(name: str, value: Column) -> Column:
 
 
 def numbered_dependencies(edges: DataFrame, name: str) -> DataFrame:
-    """``src, number, dst`` of ``name_1, name_2, ...`` up to the first gap of each document."""
+    """``src, number, dst`` of ``name_1, name_2, ...`` up to the first gap of each document; of equal numbers the smallest ``dst``."""
     number = F.regexp_extract("name", rf"(?i)^{name}_([0-9]+)$", 1).try_cast("int")
-    listed = edges.select("src", number.alias("number"), "dst").where("number >= 1").dropDuplicates(["src", "number"])
+    listed = edges.select("src", number.alias("number"), "dst").where("number >= 1").groupBy("src", "number").agg(F.min("dst").alias("dst"))
     place = F.row_number().over(W.partitionBy("src").orderBy("number"))
     return listed.withColumn("__place", place).where("__place = number").drop("__place")

@@ -141,10 +141,9 @@ def add(store: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def first_of_each(new: DataFrame, order: str | None = None) -> DataFrame:
-    """One row for each id: the first by ``order``, or any."""
-    if order is None:
-        return new.dropDuplicates(["id"])
-    return new.withColumn("__n", F.row_number().over(W.partitionBy("id").orderBy(order))).where("__n = 1").drop("__n")
+    """One row for each id: the first by ``order``, or by its content, so that a rerun keeps the same."""
+    by = F.col(order) if order is not None else F.to_json(F.struct(*[c for c in new.columns if c != "id"]))
+    return new.withColumn("__n", F.row_number().over(W.partitionBy("id").orderBy(by))).where("__n = 1").drop("__n")
 
 
 def bulk_add(store: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import calc, clocks, diffs, doctables, graph, store, summaries
+from tessera.operators import calc, clocks, diffs, doctables, graph, store, summaries, tables
 from tessera.operators.query import Query, search
 
 from .inputs import entity_documents, event_documents, prefixed, query, seconds, table
@@ -260,16 +260,22 @@ def validate_documents(spark, sf_dir):
     return doctables.validate_documents(entity_documents(spark, sf_dir, "customer"), rules, known.select("id"))
 
 
+_LINES = """l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_returnflag, l_linestatus) AS k FROM lineitem),
+r AS (SELECT 'l' || l_orderkey || '_' || l_linenumber AS id, CASE l_returnflag WHEN 'R' THEN 'mean' WHEN 'A' THEN 'F1' ELSE 'F2' END AS response_type, l_partkey FROM l WHERE k = 1)"""
+
+
 def _responses(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", "mean").when(F.col("l_returnflag") == "A", "F1").otherwise("F2").alias("response_type"), F.col("l_linestatus").alias("log")).dropDuplicates(["l_orderkey", "l_linenumber"])
-    return store.make_documents(li, prefixed("l", "l_orderkey", "l_linenumber"), "stimulus_response_scalar", ["base"], store.edge_list(store.edge("element_id", prefixed("p", "l_partkey"))), section={"response_type": F.col("response_type"), "log": F.col("log")})
+    """A response of each order line; where a line comes twice, of its first row in a stated order."""
+    kind = F.when(F.col("l_returnflag") == "R", "mean").when(F.col("l_returnflag") == "A", "F1").otherwise("F2")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    li = tables.top_rows(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_returnflag", "l_linestatus"]).withColumn("response_type", kind)
+    return store.make_documents(li, prefixed("l", "l_orderkey", "l_linenumber"), "stimulus_response_scalar", ["base"], store.edge_list(store.edge("element_id", prefixed("p", "l_partkey"))), section={"response_type": F.col("response_type"), "log": F.col("l_linestatus")})
 
 
-@query("SELECT response_type, count(DISTINCT id) > 0 AS some FROM (SELECT 'l' || l_orderkey || '_' || l_linenumber AS id, CASE l_returnflag WHEN 'R' THEN 'mean' ELSE 'F1' END AS response_type FROM lineitem WHERE l_returnflag IN ('R', 'A')) GROUP BY 1")
+@query(f"WITH {_LINES} SELECT id, response_type FROM r WHERE response_type IN ('mean', 'F1')")
 def default_parameters(spark, sf_dir):
     found = search(_responses(spark, sf_dir), calc.default_parameters_query())
-    kind = F.try_variant_get("body", "$.stimulus_response_scalar.response_type", "string")
-    return found.groupBy(kind.alias("response_type")).agg((F.count("*") > 0).alias("some"))
+    return found.select("id", F.try_variant_get("body", "$.stimulus_response_scalar.response_type", "string").alias("response_type"))
 
 
 @query("SELECT 'n' || n_nationkey AS depends_on_id, md5('simple/n' || n_nationkey) AS id, 5.0::DOUBLE AS answer FROM nation")
@@ -286,11 +292,9 @@ def tuning_curve_log(spark, sf_dir):
     return calc.tuning_curve_log(r, t)
 
 
-@query("SELECT 'l' || l_orderkey || '_' || l_linenumber AS id FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING bool_and(l_partkey = 7)")
+@query(f"WITH {_LINES} SELECT id FROM r WHERE l_partkey = 7")
 def tuning_curves_of(spark, sf_dir):
-    docs = _responses(spark, sf_dir)
-    many = table(spark, sf_dir, "lineitem").groupBy(prefixed("l", "l_orderkey", "l_linenumber").alias("id")).agg(F.countDistinct("l_partkey").alias("k"))
-    return calc.tuning_curves_of(docs.join(many.where("k = 1"), "id", "left_semi"), "p7").select("id")
+    return calc.tuning_curves_of(_responses(spark, sf_dir), "p7").select("id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN 'same' WHEN o_orderstatus = 'F' THEN 'new' ELSE 'new' END AS origin FROM orders")

@@ -180,7 +180,15 @@ def _nodes(spark, sf_dir):
 
 @query(f"WITH {_NODES} SELECT a.id AS src, b.id AS dst, 100.0::DOUBLE AS cost FROM n a JOIN n b ON a.owner <> b.owner AND a.clock = 'utc' AND b.clock IN ('utc', 'approx_utc')")
 def clock_edges(spark, sf_dir):
-    return clocks.clock_edges(_nodes(spark, sf_dir)).select("src", "dst", "cost")
+    return clocks.clock_edges(_nodes(spark, sf_dir), []).select("src", "dst", "cost")
+
+
+@query("WITH n AS (SELECT c_custkey AS id, c_nationkey AS session, c_mktsegment AS owner, CASE c_custkey % 3 WHEN 0 THEN 'utc' WHEN 1 THEN 'approx_utc' ELSE 'dev_local_time' END AS clock FROM customer) SELECT a.id AS src, b.id AS dst FROM n a JOIN n b USING (session) WHERE a.owner <> b.owner AND a.clock = 'utc' AND b.clock IN ('utc', 'approx_utc')")
+def clock_edges_in_session(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    clock = F.when(k == 0, "utc").when(k == 1, "approx_utc").otherwise("dev_local_time").alias("clock")
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("session"), F.col("c_mktsegment").alias("objectname"), clock)
+    return clocks.clock_edges(nodes, ["session"]).select("src", "dst")
 
 
 @query("WITH f AS (SELECT DISTINCT c_nationkey AS id, c_mktsegment AS path FROM customer UNION SELECT DISTINCT s_nationkey, CAST(s_suppkey AS VARCHAR) FROM supplier) SELECT a.id AS src, b.id AS dst, 1.0::DOUBLE AS cost FROM f a JOIN f b USING (path) WHERE a.id <> b.id GROUP BY a.id, b.id HAVING count(*) >= 2")

@@ -225,3 +225,26 @@ def test_stored_sessions_are_compared_by_their_hashes(spark, tmp_path):
                 for file in folder.glob("part-*"):
                     file.write_bytes(b"spoilt")
     assert diffs.stored_session_diff(spark, a, b).count() == 3
+
+
+def test_file_numbers_follow_the_largest(spark):
+    from tessera.operators import doctables
+
+    df = spark.range(1).select(F.array().cast(doctables.FILES).alias("f"))
+    for name in ("b#", "b#", "b#", "bx", "other#", "-b1", "-b2", "b#", "b3"):
+        changed = doctables.remove_file(F.col("f"), F.lit(name[1:])) if name[0] == "-" else doctables.add_file(F.col("f"), F.lit(name), F.lit("/x"), F.lit("u"))
+        df = graph.written(df.select(changed.alias("f")))
+    got = df.first().f
+    assert [(f.name, len(f.locations)) for f in got] == [("b3", 2), ("bx", 1), ("other1", 1), ("b4", 1)]
+
+
+def test_of_equal_keys_the_same_row_stays(spark):
+    from tessera.operators import calc
+
+    rows = [("a", "s", "n2", "t", "c"), ("a", "s", "n1", "t", "c")]
+    base = spark.createDataFrame([(*r, [], [], None) for r in rows], "id string, session_id string, name string, datestamp string, class_name string, superclasses array<string>, depends_on array<struct<name:string,value:string>>, body string")
+    new = base.withColumn("body", F.parse_json("body"))
+    for order in (new, new.orderBy("name"), new.orderBy(F.desc("name"))):
+        assert [r.name for r in store.first_of_each(order.repartition(2)).collect()] == ["n1"]
+    had = spark.createDataFrame([("k", "p2"), ("k", "p1")], "k string, parameters string")
+    assert [r.todo for r in calc.run_policy(spark.createDataFrame([("k", "p1")], had.schema), had, ["k"], "REPLACE_IF_DIFFERENT").collect()] == ["keep"]

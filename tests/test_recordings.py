@@ -112,7 +112,7 @@ def test_mappings(spark):
 
 def test_rules_and_paths(spark):
     nodes = spark.createDataFrame([(1, "a", "utc"), (2, "b", "approx_utc"), (3, "b", "no_time"), (4, "a", "utc")], "node_id int, objectname string, clock string")
-    assert pairs(clocks.clock_edges(nodes), "src", "dst", "cost") == [(1, 2, 100.0), (4, 2, 100.0)]
+    assert pairs(clocks.clock_edges(nodes, []), "src", "dst", "cost") == [(1, 2, 100.0), (4, 2, 100.0)]
     shared = spark.createDataFrame([(1, "a", "f1"), (1, "a", "f2"), (1, "a", "f3"), (2, "b", "f1"), (2, "b", "f2"), (3, "b", "f1")], "node_id int, objectname string, path string")
     assert pairs(clocks.shared_file_edges(shared), "src", "dst") == [(1, 2), (2, 1)]
     e = spark.createDataFrame([("a", "b", 100.0, [1.0, 1.0]), ("b", "c", 1.0, [2.0, 3.0]), ("a", "c", 500.0, [9.0, 9.0]), ("c", "a", 1.0, [1.0, 0.0])], "src string, dst string, cost double, mapping array<double>")
