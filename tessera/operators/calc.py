@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .diffs import agrees
 from .graph import ancestors, edges_of
 from .query import Query, search
+from .tables import combinations
 
 ACTIONS = ("ERROR", "NO_ACTION", "REPLACE", "REPLACE_IF_DIFFERENT")
 
@@ -162,3 +163,18 @@ def compare_results(made: DataFrame, expected: DataFrame, key: str, tolerances:
     both = made.select(key, *[F.col(c).cast("double").alias(f"__a_{c}") for c in tolerances]).join(expected.select(key, *[F.col(c).cast("double").alias(f"__b_{c}") for c in tolerances]), key, "full")
     each = [F.struct(F.lit(c).alias("column"), agrees(F.col(f"__a_{c}"), F.col(f"__b_{c}"), "abs_difference", tol).alias("ok")) for c, tol in tolerances.items()]
     return both.select(key, F.explode(F.array(*each)).alias("s")).select(key, "s.column", "s.ok")
+
+
+def input_sets(documents: DataFrame, fixed: dict[str, str], queries: dict[str, Query], valid: dict[str, Query] | None = None) -> DataFrame:
+    """One column a dependency: the fixed ones, and every combination of the documents that the queries select.
+
+    ``valid`` narrows a dependency to documents that a second query selects too; a dependency without an entry takes all. A
+    query that selects nothing leaves no combination. Without queries there is one row, of the fixed dependencies.
+    """
+    valid = valid or {}
+    unknown = set(valid) - set(queries)
+    if unknown:
+        raise ValueError(f"no query for {sorted(unknown)}")
+    one = documents.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in fixed.items()])
+    lists = [search(documents, q & valid[name] if name in valid else q).select(F.col("id").alias(name)) for name, q in queries.items()]
+    return combinations([one, *lists]).select(*fixed, *queries)

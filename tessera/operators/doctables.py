@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .query import Query, search
+from .query import TYPED, Query, search
 from .tables import section_keys
 
 PATHS = "id string, path string, key string, text string"
@@ -26,6 +26,28 @@ def set_properties(documents: DataFrame, section: str, values: dict[str, Column]
     return documents.withColumn("body", F.call_function("to_variant_object", whole))
 
 
+def set_paths(documents: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``documents`` with many dotted paths set at once, in any sections and at any depth, in the order given.
+
+    Identity paths (``base.id``, ``base.name`` and so on) are set in their columns. An object that is missing on the way, or a
+    value that is none, becomes an object; everything beside a path stays.
+    """
+    empty = F.create_map().cast("map<string,variant>")
+
+    def put(held: Column, parts: list[str], value: Column) -> Column:
+        fields = F.coalesce(F.try_variant_get(held, "$", "map<string,variant>"), empty)
+        new = value.cast("variant") if len(parts) == 1 else put(F.try_element_at(fields, F.lit(parts[0])), parts[1:], value)
+        rest = F.map_filter(fields, lambda k, _: k != parts[0])
+        return F.call_function("to_variant_object", F.map_concat(rest, F.create_map(F.lit(parts[0]), new)))
+
+    out = documents
+    for path, value in values.items():
+        if not all(path.split(".")):
+            raise ValueError(f"not a path: {path!r}")
+        out = out.withColumn(TYPED[path], value.cast("string")) if path in TYPED else out.withColumn("body", put(F.col("body"), path.split("."), value))
+    return out
+
+
 def documents_table(documents: DataFrame, limit: int = 2000) -> DataFrame:
     """``id`` and a text column ``section_key`` for each key of each section of the body; at most ``limit`` sections and keys."""
     names = documents.select(F.explode(F.map_keys(F.try_variant_get("body", "$", "map<string,variant>"))).alias("s")).distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,6 +49,18 @@ def probe_epochs(epochs: DataFrame) -> DataFrame:
     return numbered_epochs(top_rows(mine, [*PROBE, "daq", "epoch_id"], ["device"]), PROBE)
 
 
+def read_type_map(spark: SparkSession, path: str) -> DataFrame:
+    """``type, classname`` of a JSON list of objects: which class handles which type of probe."""
+    return spark.read.option("multiLine", "true").schema("type string, classname string").json(path).where("type is not null")
+
+
+def probe_classes(probes: DataFrame, types: DataFrame) -> DataFrame:
+    """The probes with the ``classname`` of their type, null for a type that the map does not have; of several entries of a type
+    the last by its class name counts."""
+    one = types.groupBy("type").agg(F.max("classname").alias("classname"))
+    return probes.join(one, "type", "left").select(*probes.columns, "classname")
+
+
 def entry_matches(entry: Column, name: str | None = None, reference: int | None = None, kind: str | None = None) -> Column:
     """Whether a probe-map entry has the given name, reference and type; what is not given matches anything."""
     wanted = {"name": name, "reference": reference, "type": kind}

@@ -46,6 +46,35 @@ def time_sample(t: Column, rate: Column, t0: Column | None = None, t1: Column |
     return at.when(rate > 0, F.rint((t - start) * rate)).cast("long")
 
 
+def channel_facts(wanted: DataFrame, inventory: DataFrame, keys: list[str] = ["epoch_id"]) -> DataFrame:
+    """``wanted`` (``keys, type, number``) with the ``rate, offset, scale`` of its channels, by type in any spelling and number.
+
+    ``inventory`` has a row for each channel of an epoch. A channel that is not there is an error when the plan runs, which
+    names those of the epoch.
+    """
+    known = inventory.select(*keys, standard_type(F.col("type")).alias("__type"), "number", "rate", "offset", "scale", F.concat("type", F.col("number").cast("string")).alias("__name"))
+    names = known.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("__name")), ", ").alias("__names"))
+    met = wanted.withColumn("__type", standard_type(F.col("type"))).join(known.drop("__name").withColumn("__there", F.lit(True)), [*keys, "__type", "number"], "left").join(names, keys, "left")
+    said = F.concat(F.lit("no channel "), "type", F.col("number").cast("string"), F.lit("; there are: "), F.coalesce("__names", F.lit("none")))
+    checked = F.when(F.col("__there"), F.col("type")).otherwise(F.raise_error(said).cast("string"))
+    return met.withColumn("type", checked).select(*wanted.columns, "rate", "offset", "scale")
+
+
+def probe_samples(times: DataFrame, inventory: DataFrame, keys: list[str] = ["epoch_id"], t: str = "t") -> DataFrame:
+    """Each time of a channel as ``sample``: the nearest one (half to even) at the channel's own rate in that epoch, counted from
+    time 0 whenever the epoch begins; NaN where the rate is not above 0."""
+    met = channel_facts(times, inventory, keys)
+    sample = F.when(F.col("rate") > 0, F.rint(F.col(t) * F.col("rate"))).otherwise(F.lit(float("nan")))
+    return met.select(*times.columns, sample.alias("sample"))
+
+
+def probe_times(samples: DataFrame, inventory: DataFrame, keys: list[str] = ["epoch_id"], sample: str = "sample") -> DataFrame:
+    """The reverse of :func:`probe_samples`: ``t``, NaN where the rate is not above 0."""
+    met = channel_facts(samples, inventory, keys)
+    t = F.when(F.col("rate") > 0, F.col(sample) / F.col("rate")).otherwise(F.lit(float("nan")))
+    return met.select(*samples.columns, t.alias("t"))
+
+
 def read_samples(samples: DataFrame, first: int, last: int, channels: list | None = None, segment: int | None = None) -> DataFrame:
     """Samples ``first`` to ``last``, both included; ``segment``, the samples in a stored segment, prunes partitions."""
     out = samples.where(F.col("sample_idx").between(first, last))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import epochs as ep
-from tessera.operators import signals, store
+from tessera.operators import calc, doctables, signals, store
+from tessera.operators.query import Query
 
-from .inputs import prefixed, query, samples, table
+from .inputs import entity_documents, prefixed, query, samples, table
 
 _CLOCKS = "array<struct<clock:string,t0:double,t1:double>>"
 
@@ -220,3 +221,58 @@ def channel_storage(spark, sf_dir):
     each = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(x) for x in ("ai", "AO", "di", "do", "ax", "aux", "t", "e", "mk", "tx", "odd")])).alias("short"))
     kept = each.withColumn("full_name", signals.standard_type(F.col("short"))).withColumn("s", signals.storage_type(F.col("full_name")))
     return kept.select("r_regionkey", "short", "full_name", "s.kind", "s.bits")
+
+
+_INVENTORY = """w AS (SELECT user_id, event_id, value, user_id % 3 + 1 AS number, (CASE WHEN user_id % 4 = 0 THEN 0.0 ELSE (user_id % 4) * 12.5 END)::DOUBLE AS rate FROM events)"""
+
+
+def _inventory(spark, sf_dir):
+    u = F.col("user_id")
+    e = table(spark, sf_dir, "events")
+    each = e.select("user_id").distinct().withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    rate = F.when(u % 4 == 0, 0.0).otherwise((u % 4) * 12.5)
+    known = each.select(u.alias("epoch_id"), F.lit("analog_in").alias("type"), "number", rate.alias("rate"), F.lit(1.5).alias("offset"), (F.col("number") * 0.5).alias("scale"))
+    wanted = e.select(u.alias("epoch_id"), "event_id", F.lit("ai").alias("type"), (u % 3 + 1).cast("int").alias("number"), "value")
+    return known, wanted
+
+
+@query(f"WITH {_INVENTORY} SELECT event_id, rate, 1.5::DOUBLE AS offset, number * 0.5::DOUBLE AS scale FROM w")
+def channel_rates(spark, sf_dir):
+    known, wanted = _inventory(spark, sf_dir)
+    return signals.channel_facts(wanted, known).select("event_id", "rate", "offset", "scale")
+
+
+@query(f"WITH {_INVENTORY} SELECT event_id, CASE WHEN rate > 0 THEN round_even(value * rate, 0) ELSE 'nan'::DOUBLE END AS sample FROM w")
+def probe_times_to_samples(spark, sf_dir):
+    known, wanted = _inventory(spark, sf_dir)
+    return signals.probe_samples(wanted.withColumnRenamed("value", "t"), known).select("event_id", "sample")
+
+
+@query(f"WITH {_INVENTORY} SELECT event_id, CASE WHEN rate > 0 THEN round(event_id / rate, 6) ELSE 'nan'::DOUBLE END AS t FROM w")
+def probe_samples_to_times(spark, sf_dir):
+    known, wanted = _inventory(spark, sf_dir)
+    return signals.probe_times(wanted.withColumn("sample", F.col("event_id")), known).select("event_id", F.round("t", 6).alias("t"))
+
+
+@query("SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'class.one' WHEN 1 THEN 'class.two' END AS classname FROM nation")
+def probe_classes(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    kind = F.concat(F.lit("type"), (F.col("n_nationkey") % 3).cast("string"))
+    types = n.where("n_nationkey < 2").select(F.concat(F.lit("type"), "n_nationkey").alias("type"), F.when(F.col("n_nationkey") == 0, "class.one").otherwise("class.two").alias("classname"))
+    return ep.probe_classes(n.select(F.col("n_nationkey").alias("id"), kind.alias("type")), types).select("id", "classname")
+
+
+@query("SELECT 'x' AS app_id, 'r' || r_regionkey AS region, 'n' || n_nationkey AS nation FROM region, nation WHERE n_name LIKE '%A%' AND n_nationkey < 10")
+def calculator_inputs(spark, sf_dir):
+    docs = entity_documents(spark, sf_dir, "region", "nation")
+    nations = Query().isa("nation") & Query("base.name").contains("A")
+    return calc.input_sets(docs, {"app_id": "x"}, {"region": Query().isa("region"), "nation": nations}, {"nation": Query("nation.n_nationkey") < 10})
+
+
+@query("SELECT 'n' || n_nationkey AS id, 'new' AS name, n_regionkey::VARCHAR AS region, lower(n_name) AS deep, n_name AS kept FROM nation")
+def set_paths(spark, sf_dir):
+    docs = entity_documents(spark, sf_dir, "nation")
+    get = lambda path: F.try_variant_get("body", path, "string")
+    lower, region = F.lower(get("$.nation.n_name")), get("$.nation.n_regionkey")
+    out = doctables.set_paths(docs, {"base.name": F.lit("new"), "other.region": region, "nation.more.name": lower})
+    return out.select("id", "name", get("$.other.region").alias("region"), get("$.nation.more.name").alias("deep"), get("$.nation.n_name").alias("kept"))

@@ -107,3 +107,43 @@ def test_needles_meet_texts_by_a_key(spark):
     text = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert found.count() == sum(f"ax{7 * i}b".startswith(f"ax{str(7 * i)[:k]}") for i in range(500) for k in range(1, len(str(7 * i)) + 1) if str(7 * i)[:k] == str(int(str(7 * i)[:k])))
+
+
+def test_rates_of_channels(spark):
+    from tessera.operators import signals
+
+    known = spark.createDataFrame([("e", "ai", 1, 100.0, 0.5, 2.0), ("e", "digital_in", 2, 0.0, 0.0, 1.0)], "epoch_id string, type string, number int, rate double, offset double, scale double")
+    ask = lambda rows: spark.createDataFrame(rows, "epoch_id string, type string, number int, t double")
+    got = {r.type: r for r in signals.probe_samples(ask([("e", "analog_in", 1, 0.125), ("e", "DI", 2, 1.0)]), known).collect()}
+    assert got["analog_in"].sample == 12 and math.isnan(got["DI"].sample)
+    back = signals.probe_times(spark.createDataFrame([("e", "ai", 1, 12.0)], "epoch_id string, type string, number int, sample double"), known)
+    assert back.first().t == 0.12
+    for missing, names in ((("e", "ai", 3, 0.0), "ai1, digital_in2"), (("f", "ai", 1, 0.0), "none")):
+        with pytest.raises(Exception, match=f"no channel ai{missing[2]}; there are: {names}"):
+            signals.probe_samples(ask([missing]), known).collect()
+
+
+def test_paths_types_and_inputs(spark, tmp_path):
+    from tessera.operators import doctables, epochs, store
+    from tessera.operators.query import Query
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string")
+    docs = store.make_documents(rows, F.concat(F.lit("d"), "i"), "thing", ["base"])
+    get = lambda p: F.try_variant_get("body", p, "string")
+    out = doctables.set_paths(docs, {"thing.s": F.lit("new"), "thing.x.y.z": F.col("id"), "thing.x.w": F.lit(1), "base.session_id": F.lit("s9"), "thing.s.deep": F.lit("q")})
+    r = out.where("id = 'd2'").select("session_id", get("$.thing.i"), get("$.thing.x.y.z"), get("$.thing.x.w"), get("$.thing.s.deep")).first()
+    assert tuple(r) == ("s9", "2", "d2", "1", "q")
+    none = doctables.set_paths(docs.withColumn("body", F.lit(None).cast("variant")), {"a.b": F.lit("v")})
+    assert none.select(get("$.a.b")).first()[0] == "v"
+    with pytest.raises(ValueError):
+        doctables.set_paths(docs, {"a..b": F.lit(1)})
+    (tmp_path / "map.json").write_text('[{"type":"n","classname":"c.two"},{"type":"n","classname":"c.one"},{"type":null}]')
+    types = epochs.read_type_map(spark, str(tmp_path / "map.json"))
+    probes = spark.createDataFrame([("p", "n"), ("q", "m"), ("r", None)], "name string, type string")
+    assert {tuple(x) for x in epochs.probe_classes(probes, types).select("name", "classname").collect()} == {("p", "c.two"), ("q", None), ("r", None)}
+    things = Query().isa("thing")
+    sets = calc.input_sets(docs, {"app": "x"}, {"a": things, "b": things}, {"b": Query("thing.i") > 1})
+    assert sorted(map(tuple, sets.collect())) == [("x", "d1", "d2"), ("x", "d2", "d2")]
+    assert calc.input_sets(docs, {"app": "x"}, {}).collect()[0].app == "x" and calc.input_sets(docs, {}, {"a": Query.none()}).count() == 0
+    with pytest.raises(ValueError):
+        calc.input_sets(docs, {}, {}, {"a": things})
