@@ -195,16 +195,25 @@ def query_all_none(spark, sf_dir):
 _SUM = "SELECT c_mktsegment AS session_id, count(*) AS n_documents FROM customer GROUP BY 1"
 
 
-@query("SELECT c_mktsegment AS session_id, count(*) AS n_documents, 'customer' AS classes, list(c_name ORDER BY c_name) AS probes FROM (SELECT c_mktsegment, c_name FROM customer) GROUP BY 1")
+_MIXED = "d AS (SELECT o_orderpriority AS session_id, 'o' || o_orderkey AS name, CASE o_orderkey % 4 WHEN 0 THEN 'probe' WHEN 1 THEN 'daqsystem' ELSE 'orders' END AS kind FROM orders)"
+
+
+def _mixed(spark, sf_dir):
+    """Sessions with recorders, probes and other documents, which have a file each."""
+    k = F.substring("id", 2, 20).cast("long") % 4
+    kind = F.when(k == 0, "probe").when(k == 1, "daqsystem").otherwise("orders")
+    return _with_files(spark, sf_dir).withColumn("class_name", kind).withColumn("name", F.col("id"))
+
+
+@query(f"""WITH {_MIXED} SELECT session_id, count(*) AS n_documents, list(DISTINCT kind ORDER BY kind) AS classes, list(name ORDER BY name) FILTER (kind = 'daqsystem') AS daqs,
+list(name ORDER BY name) FILTER (kind = 'probe') AS probes, count(*) AS files FROM d GROUP BY session_id""")
 def session_summary(spark, sf_dir):
-    docs = entity_documents(spark, sf_dir, "customer").withColumn("class_name", F.lit("probe"))
-    out = summaries.session_summary(docs)
-    return out.select("session_id", "n_documents", F.lit("customer").alias("classes"), "probes")
+    return summaries.session_summary(_mixed(spark, sf_dir))
 
 
-@query("SELECT count(DISTINCT c_mktsegment) AS n_sessions, count(*)::BIGINT AS n_documents, ['customer'] AS classes FROM customer")
+@query(f"WITH {_MIXED} SELECT count(DISTINCT session_id) AS n_sessions, count(*)::BIGINT AS n_documents, list(DISTINCT kind ORDER BY kind) AS classes FROM d")
 def dataset_summary(spark, sf_dir):
-    return summaries.dataset_summary(summaries.session_summary(entity_documents(spark, sf_dir, "customer")))
+    return summaries.dataset_summary(summaries.session_summary(_mixed(spark, sf_dir)))
 
 
 @query("SELECT c_mktsegment AS session_id, 'probes' AS field, 'different' AS status FROM customer WHERE c_acctbal < 0 GROUP BY 1 UNION ALL SELECT c_mktsegment, 'n_documents', 'different' FROM customer WHERE c_acctbal < 0 GROUP BY 1")
