@@ -195,12 +195,24 @@ def test_split_contexts_score_alike(spark, docs, monkeypatch):
 
 def test_counts_are_64_bits_wide():
     keys, count = lm_scoring.pack_keys(np.array([1 << 21], np.uint64)), lm_scoring.pack_small(np.array([5_000_000_000]), "<u8")
-    none = lm_scoring.pack_keys(np.zeros(1, np.uint64))
-    row = lambda n: {"shard": 0, "chunk": n, "words": keys, "roots": keys, "vocabulary": keys, "keys2": none, "keys3": none, "word_counts": count, "counts2": count, "counts3": count}
+    none, small = lm_scoring.pack_keys(np.zeros(1, np.uint64)), lambda x: lm_scoring.pack_small(np.array([x]), "<u4")
+    row = lambda n: {"shard": 0, "chunk": n, "words": keys, "roots": keys, "vocabulary": keys, "keys2": none, "fan3": small(1), "keys3": small(0), "word_counts": count, "counts2": count, "counts3": count}
     out = lm_scoring.shard_answers(pa.Table.from_pylist([row(0), row(1)]), lm_scoring.NO_HEAVY)
     assert lm_scoring.unpack_small(out.column("counts")[1].as_py(), "<u8").tolist() == [10_000_000_000] and out.column("tokens")[0].as_py() == 10_000_000_000
 
 
+def test_packed_numbers():
+    from tessera.llm.number_planes import pack_keys, pack_small, unpack_keys, unpack_small
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 511, 512, 5000):
+        keys = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert (unpack_keys(pack_keys(keys)) == keys).all() and len(unpack_keys(pack_keys(keys))) == n
+        for kind, most in (("u1", 256), ("<u2", 2**16), ("<u4", 2**32), ("<u8", 2**63)):
+            values = rng.integers(0, most, n)
+            assert (unpack_small(pack_small(values, kind), kind) == values).all()
+
+
 def test_elias_fano():
     rng = np.random.default_rng(6)
     for n, top in ((0, 10), (1, 5), (1000, 900), (5000, 2**40)):
