@@ -298,6 +298,15 @@ def test_every_language_has_a_model(spark, monkeypatch):
     assert {r.doc_id: r for r in quality_rules(docs).collect()} == one
 
 
+def test_a_language_may_be_named_as_the_pooled_model(spark):
+    rng = np.random.default_rng(12)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(i, "*" if i % 2 else "=", text("abcdefgh" if i % 2 else "pqrstuvw", 400)) for i in range(24)] + [(24, "tiny", text("abcxyz", 60))]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    bands = {(r.model, r.band_low) for r in got.values()}
+    assert {m for m, _ in bands} == {"*", "="} and len(bands) == 3 and got[24].band_low != got[1].band_low
+
+
 def test_bands_are_percentiles(spark):
     rng = np.random.default_rng(10)
     values = rng.normal(1.0, 0.1, 500)
