@@ -105,20 +105,33 @@ def treatment_table(documents: DataFrame, fields: list[str], dependency: str = "
 
 
 def path_table(documents: DataFrame, max_depth: int = 12) -> DataFrame:
-    """``id, path, key, text``: every key of every object in the bodies, with its value as text; lists are not entered.
+    """``id, path, key, text, is_text``: every key of every object in the bodies, with its value as text; lists are not entered.
 
-    An object deeper than ``max_depth`` is an error when the plan runs. Levels are narrow steps: nothing is shuffled.
+    Bodies are walked level by level within their row, so documents are read once and nothing is shuffled. An object deeper
+    than ``max_depth`` is an error when the plan runs.
     """
-    level = documents.select("id", F.lit("").alias("__at"), F.col("body").alias("__v"))
-    parts = []
-    for depth in range(max_depth + 1):
-        held = F.try_variant_get("__v", "$", "map<string,variant>")
-        deep = F.when(held.isNotNull(), F.raise_error(F.lit(f"objects deeper than {max_depth}")).cast("map<string,variant>"))
-        each = level.select("id", "__at", F.explode(held if depth < max_depth else deep).alias("key", "__v"))
-        each = each.withColumn("path", F.concat("__at", F.when(F.col("__at") != "", ".").otherwise(""), "key"))
-        parts.append(each.select("id", "path", "key", F.try_variant_get("__v", "$", "string").alias("text"), F.startswith(F.call_function("schema_of_variant", "__v"), F.lit("STRING")).alias("is_text")))
-        level = each.select("id", F.col("path").alias("__at"), "__v").where(F.startswith(F.call_function("schema_of_variant", "__v"), F.lit("OBJECT")))
-    return reduce(DataFrame.unionByName, parts)
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+
+    def entries(held: Column) -> Column:
+        """The fields of the objects of a level."""
+
+        def of(x: Column) -> Column:
+            path = lambda key: F.when(x["path"] == "", key).otherwise(F.concat(x["path"], F.lit("."), key))
+            return F.transform(F.map_entries(x["m"]), lambda e: F.struct(path(e["key"]).alias("path"), e["key"].alias("key"), e["value"].alias("v")))
+
+        opened = F.transform(held, lambda x: F.struct(x["path"].alias("path"), fields(x["v"]).alias("m")))
+        return F.flatten(F.transform(F.filter(opened, lambda x: x["m"].isNotNull()), of))
+
+    level = F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("key"), F.col("body").alias("v")))
+    rows = documents.where(F.col("body").isNotNull()).select("id", level.alias("__l0"))
+    for depth in range(1, max_depth + 1):
+        rows = rows.withColumn(f"__l{depth}", entries(F.col(f"__l{depth - 1}")))
+    last = F.col(f"__l{max_depth}")
+    deep = F.when(F.exists(last, lambda x: fields(x["v"]).isNotNull()), F.raise_error(F.lit(f"objects deeper than {max_depth}"))).otherwise(last)
+    every = F.concat(*[F.col(f"__l{depth}") for depth in range(1, max_depth)], deep)
+    each = rows.select("id", every.alias("__all")).select("id", F.explode("__all").alias("x"))
+    text, kind = F.try_variant_get("x.v", "$", "string"), F.schema_of_variant("x.v")
+    return each.select("id", "x.path", "x.key", text.alias("text"), F.startswith(kind, F.lit("STRING")).alias("is_text"))
 
 
 def content_search(documents: DataFrame, key: str, text: str) -> DataFrame:
