@@ -18,6 +18,7 @@ from tessera.functions import scalars
 from .tables import top_rows
 
 from .query import Query, search
+from .segments import sums_before
 from .signals import time_sample
 
 PROBE = ["name", "reference", "type"]
@@ -267,4 +268,5 @@ def navigator_epochs(groups: DataFrame, sidecars: DataFrame, folder: str) -> Dat
     told = sidecars.select("group", F.trim("text").alias("__id"))
     made = F.concat(F.lit(f"{folder}_"), F.md5(F.array_join(F.array_sort("files"), "\n")))
     met = groups.join(told, "group", "left").withColumn("epoch_id", F.coalesce(F.nullif("__id", F.lit("")), made)).drop("__id")
-    return numbered_epochs(met.withColumn("folder", F.lit(folder)), ["folder"])
+    placed = sums_before(met.withColumn("folder", F.lit(folder)), [F.col("epoch_id").asc()], F.lit(1).cast("long"), "__n")
+    return placed.withColumn("epoch_number", (F.col("__n") + 1).cast("int")).drop("__n")

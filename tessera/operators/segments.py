@@ -80,6 +80,21 @@ def laid_out(rows: DataFrame, keys: list[str], t: str, tie: str) -> DataFrame:
     return near.select("__k", t, tie, (F.col("__id") + F.col("__shift")).alias("__index"), (F.col(t) - F.coalesce("__was", "__carry")).alias("__dt"))
 
 
+def sums_before(rows: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
+    """The rows with the sum of ``amount`` over all rows before them in a total order; no task takes all rows.
+
+    The rows are written in ranges of the order; a range's own sums follow from it, and one row a range gives what comes before.
+    """
+    spread = rows.withColumn(name, amount).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    laid = written(spread).withColumn("__part", F.shiftright("__id", 33))
+    totals = laid.groupBy("__part").agg(F.sum(name).alias("__sum"))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("__part", F.coalesce(F.sum("__sum").over(earlier(W.orderBy("__part"))), F.lit(0)).alias("__of_ranges"))
+    inside = F.coalesce(F.sum(name).over(earlier(W.partitionBy("__part").orderBy("__id"))), F.lit(0))
+    out = laid.withColumn(name, inside).join(before, "__part").withColumn(name, F.col(name) + F.col("__of_ranges"))
+    return out.select(*rows.columns, name)
+
+
 def grouped_median(rows: DataFrame, key: str, value: str) -> DataFrame:
     """``key, median``: the exact median of each key's values that are not null, the mean of the middle two of an even number.
 

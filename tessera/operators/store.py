@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .graph import descendants, edges_of
 from .query import Query, index_column, path_value, search
+from .segments import sums_before
 
 ENVELOPE = ("id", "session_id", "name", "datestamp", "class_name", "superclasses", "depends_on")
 EDGES = "array<struct<name:string,value:string>>"
@@ -285,10 +286,13 @@ def evictions(items: DataFrame, needed: int, capacity: int, order: str = "fifo",
     or the newest (``lifo``); ``error`` raises when the plan runs if any has to leave. ``items``: ``key, priority, t, bytes``."""
     if order not in ("fifo", "lifo", "error"):
         raise ValueError(f"unknown order: {order}")
-    own = [F.col(k) for k in keys] or [F.lit(1)]
-    held = F.sum("bytes").over(W.partitionBy(*own))
     t = F.desc("t") if order == "lifo" else F.asc("t")
-    before = F.coalesce(F.sum("bytes").over(W.partitionBy(*own).orderBy("priority", t, "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    short = held + needed - capacity
-    out = items.withColumn("__short", short).withColumn("__before", before).where((F.col("__short") > 0) & (F.col("__before") < F.col("__short"))).drop("__short", "__before")
+    if keys:
+        held = F.sum("bytes").over(W.partitionBy(*keys))
+        before = F.coalesce(F.sum("bytes").over(W.partitionBy(*keys).orderBy("priority", t, "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        marked = items.withColumn("__short", held + needed - capacity).withColumn("__before", before)
+    else:  # one cache: what it holds is one number, and its order is laid out in ranges
+        held = items.agg(F.sum("bytes")).first()[0] or 0
+        marked = sums_before(items, [F.col("priority").asc(), t, F.col("key").asc()], F.col("bytes"), "__before").withColumn("__short", F.lit(held + needed - capacity))
+    out = marked.where((F.col("__short") > 0) & (F.col("__before") < F.col("__short"))).drop("__short", "__before")
     return out.withColumn("key", F.raise_error(F.lit("the cache is full")).cast(items.schema["key"].dataType)) if order == "error" else out

@@ -248,3 +248,26 @@ def test_of_equal_keys_the_same_row_stays(spark):
         assert [r.name for r in store.first_of_each(order.repartition(2)).collect()] == ["n1"]
     had = spark.createDataFrame([("k", "p2"), ("k", "p1")], "k string, parameters string")
     assert [r.todo for r in calc.run_policy(spark.createDataFrame([("k", "p1")], had.schema), had, ["k"], "REPLACE_IF_DIFFERENT").collect()] == ["keep"]
+
+
+def test_sums_over_a_total_order_are_not_one_task(spark):
+    import random
+
+    from tessera.operators.segments import sums_before
+
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 3), i, rng.randint(1, 9), f"k{i}") for i in range(500)]
+    items = spark.createDataFrame(rows, "priority int, t int, bytes int, key string")
+    got = {r.key: r.n for r in sums_before(items, [F.col("priority").asc(), F.col("t").desc()], F.col("bytes"), "n").collect()}
+    total, want = 0, {}
+    for p, _, n, k in sorted(rows, key=lambda r: (r[0], -r[1])):
+        want[k], total = total, total + n
+    assert got == want and sums_before(items.limit(0), [F.col("t").asc()], F.col("bytes"), "n").count() == 0
+    for order, way in (("fifo", 1), ("lifo", -1)):
+        gone, short = [], total + 50 - (total - 100)
+        for p, x, n, k in sorted(rows, key=lambda r: (r[0], way * r[1])):
+            if short > 0:
+                gone.append(k)
+                short -= n
+        assert sorted(r.key for r in store.evictions(items, 50, total - 100, order).collect()) == sorted(gone)
+    assert store.evictions(items, 1, total + 1).count() == 0
