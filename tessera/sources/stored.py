@@ -2,7 +2,7 @@
 
 Tasks write files under hidden names and rename each one when it is complete, so no file is ever seen half written. What a
 job wrote is listed in ``_manifest``, one hidden part a task; the commit makes the parts visible, an abort removes the files
-they list. Readers go by the manifest, so they see a job's files all together or not at all, and a rerun replaces them.
+they list. A task that ends after the abort may leave files; no reader sees them, and :func:`sweep` deletes them. Readers go by the manifest, so they see a job's files all together or not at all, and a rerun replaces them.
 Readers make one partition for each byte range of each file, and skip files by their manifest entries.
 """
 
@@ -94,6 +94,8 @@ class _Job:
         self.root, self.overwrite, self.job = root, overwrite, uuid.uuid4().hex
 
     def note(self, entries: list[dict]) -> Written:
+        if not entries:
+            return Written(None)
         store, root = opened(self.root)
         task = TaskContext.get()
         store.create_dir(f"{root}/{MANIFEST}", recursive=True)
@@ -105,7 +107,7 @@ class _Job:
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.root)
         store.create_dir(f"{root}/{MANIFEST}", recursive=True)
-        parts = [m.part for m in messages if m is not None]
+        parts = [m.part for m in messages if m is not None and m.part]
         if self.overwrite:
             mine = {e["path"] for p in parts for e in _lines(store, p)}
             for old in _parts(store, root):
@@ -120,7 +122,7 @@ class _Job:
     def abort(self, messages: list[Written | None]) -> None:
         store, root = opened(self.root)
         for m in messages:
-            if m is not None and store.get_file_info(m.part).type == fs.FileType.File:
+            if m is not None and m.part and store.get_file_info(m.part).type == fs.FileType.File:
                 for e in _lines(store, m.part):
                     if not e.get("replaced"):
                         drop_file(store, f"{root}/{e['path']}")
@@ -137,6 +139,19 @@ def _lines(store: fs.FileSystem, path: str) -> list[dict]:
         return [json.loads(x) for x in f.read().splitlines()]
 
 
+def sweep(root: str) -> int:
+    """Delete what a failed job's tasks left that ended after its abort: hidden files, and files of hidden manifest parts that no
+    other part lists. Not to be called while a job writes to the folder. Returns the number of files deleted."""
+    store, at = opened(root)
+    known, gone = set(manifest(root)), 0
+    for f in store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)):
+        if f.type == fs.FileType.File and f.base_name.startswith("."):
+            if f.path.rpartition("/")[0].endswith(f"/{MANIFEST}"):
+                gone += sum(drop_file(store, f"{at}/{e['path']}") for e in _lines(store, f.path) if e["path"] not in known)
+            gone += drop_file(store, f.path)
+    return gone
+
+
 def manifest(root: str) -> dict[str, dict]:
     """The entries of a folder by path; of several jobs that wrote a path, any one's entry."""
     store, at = opened(root)

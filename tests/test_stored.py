@@ -80,6 +80,18 @@ def test_whole_files_are_complete_or_absent(spark, tmp_path):
     assert tree(out) == before
 
 
+def test_what_a_late_task_left_is_swept(spark, tmp_path):
+    make = lambda r: spark.createDataFrame(r, "path string, content binary")
+    stored.write_files(make([("a", b"1"), ("d/b", b"2")]), str(tmp_path))
+    for name, content in ((".c.123", b"half"), ("late", b"3"), ("a", b"1"), ("_manifest/.job-0-1", b'{"path": "late", "size": 1}\n{"path": "a", "size": 1}\n')):
+        (tmp_path / name).write_bytes(content)
+    assert {r.path for r in stored.stored_files(spark, str(tmp_path)).collect()} == {"a", "d/b"}
+    assert stored.sweep(str(tmp_path)) == 3 and data_files(tmp_path) == ["a", "d/b"] and stored.sweep(str(tmp_path)) == 0
+    assert stored.sweep(str(tmp_path / "none")) == 0
+    stored.write_files(make([]), str(tmp_path))
+    assert tree(tmp_path) == []
+
+
 def test_grids_of_many_shapes(spark, tmp_path):
     rows = [("g/a", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], "int16", [2, 3]), ("g/b", [0.5], "double", [1, 1, 1]), ("g/c", [], "single", [0, 4]), ("g/d", [1.0, 0.0], "logical", [2])]
     grids = spark.createDataFrame(rows, "path string, data array<double>, data_type string, data_dim array<int>")
