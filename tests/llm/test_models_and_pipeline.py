@@ -151,4 +151,4 @@ def test_stages_take_odd_and_empty_tables(spark, small, odd_docs, no_docs, numbe
 
 
 def test_registered_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
