@@ -181,19 +181,23 @@ def text_filter(df: DataFrame, column: str, value: str, how: str = "contains") -
 
 #: Lengths of the pieces by which needles are looked up; a needle is looked up by the longest that it has.
 PIECES = (1, 2, 3, 6, 12)
+#: Bytes of needles, or of their pieces, that every task may hold; more of them meet the texts by a shuffle.
+HELD_BYTES = 16 << 20
 
 
 def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, fold: bool = False) -> DataFrame:
     """All columns of ``texts`` with the needles that ``text`` contains, a row for each pair; ``fold`` ignores case.
 
     A needle is looked up by one piece of itself, the one that the fewest texts have, and texts by all their pieces of the
-    needles' lengths; where these are equal the needle is compared. So both sides meet by a key, however many there are.
-    Equal needles count each, an empty needle is in every text, null texts and needles match nothing.
+    needles' lengths; where these are equal the needle is compared. So both sides meet by a key, however many there are. A text
+    has a piece for each of its characters, so texts stay where they are and only needles are broadcast, while they are at most
+    ``HELD_BYTES``. Equal needles count each, an empty needle is in every text, null texts and needles match nothing.
     """
     low = lambda c: F.lower(c) if fold else c
     listed = needles.select(F.col(needle).alias("__needle")).where("__needle is not null").groupBy("__needle").agg(F.count("*").alias("__copies"))
     listed = listed.withColumn("__low", low(F.col("__needle"))).withColumn("__size", sum((F.length("__low") >= n).cast("int") for n in PIECES))
-    sizes = sorted(r[0] for r in listed.select("__size").distinct().collect())  # at most one for each length and 0
+    facts = listed.groupBy("__size").agg(F.count("*").alias("n"), F.sum(F.octet_length("__needle") + F.octet_length("__low")).alias("b"), F.sum(F.length("__low")).alias("p"))
+    sizes = {r["__size"]: r for r in facts.collect()}  # at most one for each length and 0
 
     def pieces(of: Column, n: int) -> Column:
         starts = F.when(F.length(of) >= n, F.sequence(F.lit(1), F.length(of) - n + 1))
@@ -201,18 +205,22 @@ def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, fol
 
     rows = texts.where(F.col(text).isNotNull()).withColumn("__text", low(F.col(text)))
     out = rows.where(F.lit(False)).withColumn("__needle", F.lit("")).withColumn("__copies", F.lit(0).cast("long"))
-    for size in sizes:
+    for size in sorted(sizes):
         if size == 0:
             copies = listed.where("__size = 0").first()["__copies"]
             met = rows.withColumn("__needle", F.lit("")).withColumn("__copies", F.lit(copies))
         else:
-            n = PIECES[size - 1]
+            n, fact = PIECES[size - 1], sizes[size]
+            # Whatever the texts' files take, their pieces are many times as much: the planner's guess is not asked.
+            held = lambda df, size_of: F.broadcast(df) if size_of <= HELD_BYTES else df.hint("merge")
             each = rows.withColumn("__piece", F.explode(pieces(F.col("__text"), n)))
-            often = each.groupBy("__piece").agg(F.count("*").alias("__n"))
             mine = listed.where(F.col("__size") == size)
-            asked = mine.withColumn("__piece", F.explode(pieces(F.col("__low"), n))).join(often, "__piece")
-            rarest = asked.groupBy("__needle", "__low", "__copies").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
-            met = each.join(rarest, "__piece").where(F.contains("__text", "__low"))
+            asked = mine.withColumn("__piece", F.explode(pieces(F.col("__low"), n)))
+            few = fact["p"] * (64 + 4 * n)
+            counted = each.join(F.broadcast(asked.select("__piece").distinct()), "__piece", "left_semi") if few <= HELD_BYTES else each
+            often = counted.groupBy("__piece").agg(F.count("*").alias("__n"))
+            rarest = asked.join(held(often, few), "__piece").groupBy("__needle", "__low", "__copies").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
+            met = each.join(held(rarest, fact["b"] + fact["n"] * (64 + 4 * n)), "__piece").where(F.contains("__text", "__low"))
         out = out.unionByName(met.select(*out.columns))
     repeated = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return repeated.select(*texts.columns, F.col("__needle").alias(needle))

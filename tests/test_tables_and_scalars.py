@@ -147,3 +147,15 @@ def test_paths_types_and_inputs(spark, tmp_path):
     assert calc.input_sets(docs, {"app": "x"}, {}).collect()[0].app == "x" and calc.input_sets(docs, {}, {"a": Query.none()}).count() == 0
     with pytest.raises(ValueError):
         calc.input_sets(docs, {}, {}, {"a": things})
+
+
+@pytest.mark.parametrize("held", [16 << 20, 0])
+def test_only_needles_are_broadcast(spark, monkeypatch, held):
+    monkeypatch.setattr(tables, "HELD_BYTES", held, raising=False)
+    names = [f"Name#{i:05d}" for i in range(300)]
+    asked = ["#00012", "E#0001", "299", "9", "#00012", "me#00", "no such text"]
+    texts = spark.range(300).select(F.format_string("Name#%05d", "id").alias("t"))
+    met = tables.containing(texts, spark.createDataFrame([(n,) for n in asked], "n string"), "t", "n", fold=True)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (held > 0)
+    assert sorted(map(tuple, met.collect())) == sorted((t, n) for t in names for n in asked if n.lower() in t.lower())
