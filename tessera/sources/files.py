@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,19 +21,74 @@ GRID_TYPES = {
     "int32": "<i4", "uint32": "<u4", "int64": "<i8", "uint64": "<u8", "logical": "<u1", "ubit1": "<u1",
 }
 
+#: Entries of a batch of a listing; bytes of a task that reads whole files, and of its batches.
+LISTED_ROWS, TASK_BYTES, BATCH_BYTES = 10_000, 64 << 20, 8 << 20
+
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, folder, name, length, modified`` of all files below a folder, without their content; hidden ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    rows = files.select("path", "length", F.col("modificationTime").alias("modified"))
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    return rows.select("path", F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), name.alias("name"), "length", "modified").where(~name.startswith("."))
+    """``path, folder, name, length, modified`` of all files below a folder, without their content; hidden ones are left out.
+
+    Tasks list the folders, level by level, and write what they find to the shared folder, so no list of files passes
+    through the driver. One task lists one folder.
+    """
+    from tessera.operators.graph import written
+
+    tasks = spark.sparkContext.defaultParallelism
+    level, found = spark.createDataFrame([(path.rstrip("/"),)], "at string"), []
+    while True:
+        entries = written(level.repartition(tasks).mapInArrow(_entries, "path string, folder string, name string, length long, modified timestamp, below boolean"))
+        found.append(entries.where("NOT below").drop("below"))
+        level = entries.where("below").select(F.col("path").alias("at"))
+        if level.isEmpty():
+            break
+    named = spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(pattern).pattern()
+    return reduce(lambda a, b: a.unionByName(b), found).where(F.col("name").rlike(f"^(?:{named})$"))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The visible files and folders of folders."""
+    from .stored import opened
+
+    schema = pa.schema([("path", pa.string()), ("folder", pa.string()), ("name", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("below", pa.bool_())])
+    for batch in batches:
+        for root in batch.column("at").to_pylist():
+            store, at = opened(root)
+            before = "file:" if at.startswith("/") else root[: len(root) - len(at)]
+            # As Spark's readers do: names that begin with a point, or with a line that no "=" follows, are hidden.
+            seen = [f for f in store.get_file_info(fs.FileSelector(at)) if not (f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name)]
+            for i in range(0, len(seen), LISTED_ROWS):
+                rows = [
+                    {"path": before + f.path, "folder": before + f.path.rpartition("/")[0], "name": f.base_name, "length": f.size, "modified": f.mtime, "below": f.type == fs.FileType.Directory}
+                    for f in seen[i : i + LISTED_ROWS]
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, content`` of all files below a folder; hidden ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.where(~F.col("path").rlike(r"/[._][^/]*$")).select("path", "content")
+    """``path, content`` of all files below a folder; hidden ones are left out. A file is read by one task, as one value."""
+    files = listing(spark, path, pattern).select("path", "length")
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, size // TASK_BYTES + 1)
+    return files.repartition(tasks).mapInArrow(_read, "path string, content binary")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files' bytes, in batches of some ``BATCH_BYTES``."""
+    from .stored import opened
+
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    for batch in batches:
+        rows, size = [], 0
+        for path in batch.column("path").to_pylist():
+            store, at = opened(path)
+            with store.open_input_stream(at) as f:
+                rows.append({"path": path, "content": f.read()})
+            size += len(rows[-1]["content"])
+            if size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def glob_regex(pattern: str) -> str:

@@ -109,8 +109,9 @@ class _Job:
         store.create_dir(f"{root}/{MANIFEST}", recursive=True)
         parts = [m.part for m in messages if m is not None and m.part]
         if self.overwrite:
-            mine = {e["path"] for p in parts for e in _lines(store, p)}
-            for old in _parts(store, root):
+            before = _parts(store, root)
+            mine = {e["path"] for p in parts for e in _lines(store, p)} if before else set()
+            for old in before:
                 for e in _lines(store, old):
                     if e["path"] not in mine:
                         drop_file(store, f"{root}/{e['path']}")

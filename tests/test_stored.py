@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators.graph import written
 from tessera.sources import files, stored
@@ -165,3 +166,17 @@ def test_copies_have_the_same_bytes(tmp_path):
     assert stored.copy_file(f"file:{tmp_path}/a", f"file://{tmp_path}/deep/b") == 3 << 20
     assert hashlib.md5((tmp_path / "a").read_bytes()).digest() == hashlib.md5((tmp_path / "deep/b").read_bytes()).digest()
     assert tree(tmp_path) == ["a", "deep/b"]
+
+
+def test_folders_are_listed_and_read_by_tasks(spark, tmp_path):
+    for name in ("a/b c/1.rhd", "a/2.rhd", "a/n.txt", ".h/3.rhd", "_manifest/4.rhd", "a/.5.rhd", "_k=1/6.rhd"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "empty").mkdir()
+    found, read = files.listing(spark, str(tmp_path)), files.contents(spark, f"file:{tmp_path}/", "*.{rhd,bin}")
+    assert not any("binaryFile" in d._jdf.queryExecution().toString() for d in (found, read))
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length", F.col("modificationTime").alias("modified"))
+    assert sorted(map(tuple, found.select("path", "length", F.date_trunc("second", "modified")).collect())) == sorted(map(tuple, want.withColumn("modified", F.date_trunc("second", "modified")).collect()))
+    assert {(r.folder, r.name) for r in found.collect()} == {(f"file:{tmp_path}/{d}", n) for d, n in (("a/b c", "1.rhd"), ("a", "2.rhd"), ("a", "n.txt"), ("_k=1", "6.rhd"))}
+    assert sorted((r.path, bytes(r.content)) for r in read.collect()) == sorted((f"file:{tmp_path}/{n}", n.encode()) for n in ("a/b c/1.rhd", "a/2.rhd", "_k=1/6.rhd"))
+    assert files.listing(spark, str(tmp_path / "empty")).count() == 0
