@@ -3,7 +3,8 @@
 Tasks write files under hidden names and rename each one when it is complete, so no file is ever seen half written. What a
 job wrote is listed in ``_manifest``, one hidden part a task; the commit makes the parts visible, an abort removes the files
 they list. A task that ends after the abort may leave files; no reader sees them, and :func:`sweep` deletes them. Readers go by the manifest, so they see a job's files all together or not at all, and a rerun replaces them.
-Readers make one partition for each byte range of each file, and skip files by their manifest entries.
+Readers make one partition for each byte range of a large file and one for many small files, and skip files by their manifest
+entries.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import prod
@@ -32,6 +34,8 @@ from .files import GRID_TYPES
 MANIFEST = "_manifest"
 #: Bytes of a file that one partition reads, and values of an Arrow batch.
 SPLIT_BYTES, BATCH_VALUES = 64 << 20, 1 << 17
+#: What a file counts for beside its bytes where many small ones make a partition, and the values of a batch of small files.
+OPEN_BYTES, SMALL_BATCH = 64 << 10, 1 << 14
 COPY_BYTES = 8 << 20
 
 
@@ -140,6 +144,15 @@ def _lines(store: fs.FileSystem, path: str) -> list[dict]:
         return [json.loads(x) for x in f.read().splitlines()]
 
 
+def _placed(store: fs.FileSystem, path: str) -> Iterator[tuple[int, int, dict]]:
+    """The entries of a manifest part with the bytes that each one's line takes."""
+    at = 0
+    with store.open_input_stream(path) as f:
+        for line in f.read().splitlines(keepends=True):
+            yield at, at + len(line), json.loads(line)
+            at += len(line)
+
+
 def sweep(root: str) -> int:
     """Delete what a failed job's tasks left that ended after its abort: hidden files, and files of hidden manifest parts that no
     other part lists. Not to be called while a job writes to the folder. Returns the number of files deleted."""
@@ -217,6 +230,15 @@ class ByteRange(InputPartition):
     last: int
 
 
+@dataclass
+class Lines(InputPartition):
+    """Bytes ``first`` to ``last`` of a part of the manifest: small files that one task reads whole."""
+
+    part: str
+    first: int
+    last: int
+
+
 def _kind(entry: dict) -> np.dtype:
     if entry.get("data_type") not in GRID_TYPES:
         raise ValueError(f"{entry['path']}: unknown type {entry.get('data_type')!r}")
@@ -234,10 +256,12 @@ def _read_values(root: str, part: ByteRange) -> Iterator[tuple[int, np.ndarray]]
 
 
 class _Ranges(DataSourceReader):
-    """Partitions are byte ranges; filters on columns that the manifest knows skip files and are checked by Spark again."""
+    """Partitions are byte ranges of large files, and lines of the manifest that list small ones, which tasks look up there; so the
+    driver holds eight bytes a file, and few partitions. Filters on columns that the manifest knows skip files and are checked
+    by Spark again."""
 
     def __init__(self, options: dict):
-        self.root, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
+        self.root, self.split, self.tasks = options["path"], int(options.get("split_bytes", SPLIT_BYTES)), int(options.get("tasks", 1))
         self.wanted: dict[str, set] = {}
         self.least, self.most = 0, None
         self.named = "path"
@@ -257,22 +281,68 @@ class _Ranges(DataSourceReader):
                     self.most = most if self.most is None else min(self.most, most)
             yield f
 
-    def entries(self) -> list[dict]:
-        found = manifest(self.root).values()
-        return [e for e in found if self.named not in self.wanted or e[self.named] in self.wanted[self.named]]
-
+    def asked(self, entry: dict) -> bool:
+        return self.named not in self.wanted or entry[self.named] in self.wanted[self.named]
 
-class _GridReader(_Ranges):
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for e in self.entries():
-            n, each = prod(e["data_dim"]), max(1, self.split // _kind(e).itemsize)
-            if n * _kind(e).itemsize != e["size"]:
-                raise ValueError(f"{e['path']}: {e['size']} bytes, not {n} values of {e['data_type']}")
-            out += [ByteRange(e, i, min(i + each, n)) for i in range(0, n, each)]
+        store, at = opened(self.root)
+        parts, hashes, total = _parts(store, at), array("q"), 0
+        for part in parts:
+            for _, _, e in _placed(store, part):
+                hashes.append(hash(e["path"]))
+                if self.asked(e):
+                    total += OPEN_BYTES + sum(last - first for first, last in self.ranges(e)) * _kind(e).itemsize
+        most = min(self.split, max(OPEN_BYTES, total // self.tasks))
+        known = np.sort(np.frombuffer(hashes, np.int64))
+        twice = set(known[1:][known[1:] == known[:-1]].tolist())
+        # Of entries with one path, that of the last counts.
+        last_of = {e["path"]: (part, first) for part in parts for first, _, e in _placed(store, part) if hash(e["path"]) in twice} if twice else {}
+        out: list[InputPartition] = []
+        for part in parts:
+            group, cost = None, 0
+            for first, last, e in _placed(store, part):
+                ranges = self.ranges(e) if self.asked(e) else []
+                if last_of.get(e["path"], (part, first)) != (part, first):
+                    group = None
+                elif len(ranges) > 1:
+                    group = None
+                    out += [ByteRange(e, a, b) for a, b in ranges]
+                elif ranges:
+                    mine = OPEN_BYTES + (ranges[0][1] - ranges[0][0]) * _kind(e).itemsize
+                    if group is None or cost + mine > most:
+                        group, cost = Lines(part, first, last), 0
+                        out.append(group)
+                    group.last, cost = last, cost + mine
         return out
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, ByteRange):
+            yield from self.values(partition)
+            return
+        store, _ = opened(self.root)
+        with store.open_input_file(partition.part) as f:
+            lines = f.read_at(partition.last - partition.first, partition.first).splitlines()
+        held, n = [], 0
+        for e in filter(self.asked, map(json.loads, lines)):
+            for first, last in self.ranges(e):
+                for batch in self.values(ByteRange(e, first, last)):
+                    held.append(batch)
+                    n += batch.num_rows
+                    if n >= SMALL_BATCH:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+class _GridReader(_Ranges):
+    def ranges(self, e: dict) -> list[tuple[int, int]]:
+        n, each = prod(e["data_dim"]), max(1, self.split // _kind(e).itemsize)
+        if n * _kind(e).itemsize != e["size"]:
+            raise ValueError(f"{e['path']}: {e['size']} bytes, not {n} values of {e['data_type']}")
+        return [(i, min(i + each, n)) for i in range(0, n, each)]
+
+    def values(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         for at, values in _read_values(self.root, partition):
             columns = [pa.array([partition.entry["path"]] * len(values)), pa.array(np.arange(at, at + len(values))), pa.array(values)]
             yield pa.RecordBatch.from_arrays(columns, names=["path", "position", "value"])
@@ -297,17 +367,14 @@ class _RecordingReader(_Ranges):
         super().__init__(options)
         self.named = "epoch_id"
 
-    def partitions(self) -> list[InputPartition]:
-        out = []
-        for e in self.entries():
-            wide = len(e["channels"])
-            first, last = max(self.least, e["first"]), e["first"] + e["n"] - 1
-            last = last if self.most is None else min(last, self.most)
-            each = max(1, self.split // (wide * _kind(e).itemsize))
-            out += [ByteRange(e, (i - e["first"]) * wide, (min(i + each - 1, last) - e["first"] + 1) * wide) for i in range(first, last + 1, each)]
-        return out
+    def ranges(self, e: dict) -> list[tuple[int, int]]:
+        wide = len(e["channels"])
+        first, last = max(self.least, e["first"]), e["first"] + e["n"] - 1
+        last = last if self.most is None else min(last, self.most)
+        each = max(1, self.split // (wide * _kind(e).itemsize))
+        return [((i - e["first"]) * wide, (min(i + each - 1, last) - e["first"] + 1) * wide) for i in range(first, last + 1, each)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def values(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         e = partition.entry
         wide = len(e["channels"])
         names = np.array(e["channels"], dtype=object)
@@ -460,7 +527,7 @@ def write_grids(grids: DataFrame, folder: str, mode: str = "overwrite") -> None:
 def read_grids(spark: SparkSession, folder: str) -> DataFrame:
     """``path, position, value`` of the grids of a folder, each of its own type and shape, in row-major order."""
     register(spark)
-    return spark.read.format("grid").load(folder)
+    return spark.read.format("grid").option("tasks", spark.sparkContext.defaultParallelism).load(folder)
 
 
 #: Samples of a segment, the file of a recording.
@@ -486,7 +553,7 @@ def write_recording(samples: DataFrame, folder: str, kind: str = "double", multi
 def read_recording(spark: SparkSession, folder: str) -> DataFrame:
     """``epoch_id, channel, sample_idx, value``; filters on epoch, channel and sample skip files and byte ranges."""
     register(spark)
-    return spark.read.format("recording").load(folder)
+    return spark.read.format("recording").option("tasks", spark.sparkContext.defaultParallelism).load(folder)
 
 
 def recording_metadata(spark: SparkSession, folder: str) -> DataFrame:

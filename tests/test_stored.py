@@ -180,3 +180,17 @@ def test_folders_are_listed_and_read_by_tasks(spark, tmp_path):
     assert {(r.folder, r.name) for r in found.collect()} == {(f"file:{tmp_path}/{d}", n) for d, n in (("a/b c", "1.rhd"), ("a", "2.rhd"), ("a", "n.txt"), ("_k=1", "6.rhd"))}
     assert sorted((r.path, bytes(r.content)) for r in read.collect()) == sorted((f"file:{tmp_path}/{n}", n.encode()) for n in ("a/b c/1.rhd", "a/2.rhd", "_k=1/6.rhd"))
     assert files.listing(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_small_files_share_partitions(spark, tmp_path, monkeypatch):
+    rows = spark.range(2000).selectExpr("concat('e', id % 500) epoch_id", "'ai1' channel", "id div 500 sample_idx", "id / 2D value")
+    stored.write_recording(rows, str(tmp_path), segment=2)
+    assert len(data_files(tmp_path)) == 1000
+    back = stored.read_recording(spark, str(tmp_path))
+    assert back.rdd.getNumPartitions() <= 16 and sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    some = back.where("epoch_id IN ('e7', 'e311') AND sample_idx >= 2")
+    assert some.rdd.getNumPartitions() == 2 and {tuple(r) for r in some.collect()} == {(f"e{e}", "ai1", k, (e + 500 * k) / 2) for e in (7, 311) for k in (2, 3)}
+    again = rows.where("epoch_id = 'e7'").withColumn("value", F.col("value") + 1)
+    stored.write_recording(again, str(tmp_path), segment=2, mode="append")  # its files come twice in the manifest
+    want = rows.where("epoch_id <> 'e7'").unionByName(again)
+    assert sorted(map(tuple, back.sparkSession.read.format("recording").load(str(tmp_path)).collect())) == sorted(map(tuple, want.collect()))
