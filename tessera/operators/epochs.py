@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 
-from .tables import top_rows
+from .tables import spread_join, top_rows
 
 from .query import Query, search
 from .segments import sums_before
@@ -167,10 +167,18 @@ def elements_of_epochs(requested: DataFrame, element_epochs: DataFrame, name: st
 
 
 def element_epochs(elements: DataFrame, parents: DataFrame, registered: DataFrame) -> DataFrame:
-    """``element_id, epoch_id, epoch_number``: a direct element has its parent's epochs, any other those registered for it."""
-    direct = elements.where("direct").join(parents.select(F.col("element_id").alias("parent_id"), "epoch_id"), "parent_id").select("element_id", "epoch_id")
-    own = elements.where("not direct").select("element_id").join(registered.select("element_id", "epoch_id"), "element_id")
-    return numbered_epochs(direct.unionByName(own), ["element_id"])
+    """``element_id, epoch_id, epoch_number``: a direct element has its parent's epochs, any other those registered for it.
+
+    Epochs are numbered once for a parent, and its elements take the numbers over. Only elements that are listed more than once
+    are numbered from all their epochs.
+    """
+    listed = elements.select("element_id", "parent_id", "direct", (F.count("*").over(W.partitionBy("element_id")) > 1).alias("__twice"))
+    theirs = numbered_epochs(parents.select(F.col("element_id").alias("parent_id"), "epoch_id"), ["parent_id"])
+    met = lambda e: spread_join(e.where("direct").select("element_id", "parent_id"), theirs, ["parent_id"]).select("element_id", "epoch_id", "epoch_number")
+    own = listed.where("not direct").select("element_id", "__twice").join(registered.select("element_id", "epoch_id"), "element_id")
+    mixed = met(listed.where("__twice")).drop("epoch_number").unionByName(own.where("__twice").drop("__twice"))
+    once = numbered_epochs(own.where("not __twice").drop("__twice").unionByName(mixed), ["element_id"])
+    return met(listed.where("not __twice")).unionByName(once)
 
 
 def read_by_time(samples: DataFrame, requests: DataFrame) -> DataFrame:

@@ -226,6 +226,21 @@ def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, fol
     return repeated.select(*texts.columns, F.col("__needle").alias(needle))
 
 
+#: Parts over which the rows of one key are dealt where two tables share few keys.
+SPREAD = 16
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of tables that share few keys, so that pairs are far more than rows: each key's rows of ``many`` are dealt
+    over ``SPREAD`` parts, each of which meets all of the key's rows of ``few``. No task gets all pairs of a key, and none of
+    the pairs is shuffled."""
+    spark = many.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = many.withColumn("__part", F.pmod(F.xxhash64(*many.columns), F.lit(SPREAD)).cast("int")).repartition(tasks, *on, "__part")
+    right = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return left.join(right.hint("merge"), [*on, "__part"]).drop("__part")
+
+
 def search_ids(df: DataFrame, needles: DataFrame, column: str = "id") -> DataFrame:
     """``needle, <column>``: a row for each id that contains a needle, in any case."""
     return containing(df.select(column), needles, column, "needle", fold=True).select("needle", column)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import clocks, signals
+from tessera.operators import clocks, epochs, signals, tables
 from tessera.sources import files
 
 
@@ -279,3 +279,32 @@ def test_binary_files(spark):
     got = files.read_presentation(p, 2, 9).collect()
     assert [(r.number, r.clock) for r in got] == [(2, "dev_local_time")]
     assert files.read_presentation(p).first().events == [[0.5, 1.0]]
+
+
+def test_pairs_of_one_key_are_dealt_over_tasks(spark):
+    k = F.when(F.col("id") >= 0, "k").alias("k")
+    many, few = spark.range(400).select(k, "id"), spark.range(50).select(k, F.col("id").alias("other"))
+    met = tables.spread_join(many, few, ["k"])
+    assert met.count() == met.distinct().count() == 20_000
+    assert sum(n > 0 for n in met.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
+
+
+def test_epochs_of_elements_are_numbered_once_a_parent(spark):
+    elements = spark.createDataFrame([("a", "p", True), ("b", "p", True), ("c", None, False), ("d", "p", True), ("d", "q", True), ("e", "q", True), ("e", None, False), ("f", "none", True)], "element_id string, parent_id string, direct boolean")
+    parents = spark.createDataFrame([("p", "e3"), ("p", "e1"), ("q", "e2"), ("q", "e1")], "element_id string, epoch_id string")
+    own = spark.createDataFrame([("c", "x2"), ("c", "x1"), ("e", "a9"), ("a", "y")], "element_id string, epoch_id string")
+    found = epochs.element_epochs(elements, parents, own)
+    want = {"a": ["e1", "e3"], "b": ["e1", "e3"], "c": ["x1", "x2"], "d": ["e1", "e1", "e2", "e3"], "e": ["a9", "e1", "e2"]}
+    assert sorted(map(tuple, found.collect())) == sorted((k, e, i + 1) for k, v in want.items() for i, e in enumerate(v))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the pairs of single elements go to no window
+
+
+def test_clock_edges_of_one_scope_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(clocks, "LISTED", 7, raising=False)
+    clock = F.element_at(F.array(F.lit("utc"), F.lit("approx_utc"), F.lit("no_time")), (F.col("id") % 3 + 1).cast("int"))
+    nodes = spark.range(300).select(F.col("id").alias("node_id"), F.when(F.col("id") >= 0, "s").alias("session"), (F.col("id") % 5).alias("objectname"), clock.alias("clock"))
+    found = clocks.clock_edges(nodes, ["session"])
+    want = [(a, b) for a in range(0, 300, 3) for b in range(300) if b % 3 < 2 and a % 5 != b % 5]
+    assert sorted(map(tuple, found.select("src", "dst").collect())) == sorted(want)
+    assert sum(n > 0 for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
