@@ -69,6 +69,22 @@ def duplicates(documents: DataFrame, key: Column, order: str = "id") -> DataFram
     return keyed.withColumn("keep", keep).where("id <> keep").select("id", "keep")
 
 
+def cube_counts(rows: DataFrame, by: list[str], of: str, distinct: str = "distinct") -> DataFrame:
+    """``by, n, distinct``: rows and distinct values of ``of`` (nulls aside) for every grouping set of CUBE (``by``).
+
+    A value counts once a set, so values that occur in the same cells count together: rows are first reduced to cells of a
+    value, values to their lists of cells, and only these lists, of which there are few, are dealt over the grouping sets.
+    """
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__n")).cube(*by).agg(F.grouping_id().alias("__set"), F.sum("__n").alias("__n"))
+    cells = rows.where(F.col(of).isNotNull()).select(F.col(of).alias("__of"), *by).distinct()
+    lists = cells.groupBy("__of").agg(F.sort_array(F.collect_list(F.struct(*by))).alias("__cells")).groupBy("__cells").agg(F.count("*").alias("__values"))
+    sets = [["__cells", *(c for i, c in enumerate(by) if s >> i & 1)] for s in range(2 ** len(by))]
+    # The list's bit of the grouping id is 0 in every set, so the ids are those of the cube.
+    each = lists.select("*", F.inline("__cells")).groupingSets(sets, "__cells", *by).agg(F.grouping_id().alias("__set"), F.first("__values").alias("__values"))
+    both = counts.withColumn("__values", F.lit(0)).unionByName(each.drop("__cells").withColumn("__n", F.lit(0)))
+    return both.groupBy("__set", *by).agg(F.sum("__n").alias("n"), F.sum("__values").alias(distinct)).drop("__set")
+
+
 def table_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
     """MD5 of each group's rows in canonical order, to tell whether what was built from them is still valid."""
     line = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in keys]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import calc, tables
+from tessera.operators import calc, summaries, tables
 from tessera.operators.epochs import matches_given
 
 from .inputs import query, table
@@ -155,7 +155,7 @@ def viewer_search_ids(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_counts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("parts"))
+    return summaries.cube_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey", "parts")
 
 
 _CLEAN = "list_filter(string_split(regexp_replace(regexp_replace({c}, '[:-]', '_', 'g'), '[^A-Za-z0-9_]', ' ', 'g'), ' '), lambda w: w <> '')"

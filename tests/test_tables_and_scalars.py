@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import calc, tables
+from tessera.operators import calc, summaries, tables
+from tessera.plans import relations
 
 
 def one(spark, column):
@@ -159,3 +160,15 @@ def test_only_needles_are_broadcast(spark, monkeypatch, held):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (held > 0)
     assert sorted(map(tuple, met.collect())) == sorted((t, n) for t in names for n in asked if n.lower() in t.lower())
+
+
+def test_cube_reduces_rows_before_its_sets(spark, small):
+    rows = [(a, b, v) for i in range(60) for a, b, v in [("xyz"[i % 3], [1, 2, None][i // 3 % 3], i % 7 or None), (None, i % 2, i % 5), ("x", 1, i)]]
+    t = spark.createDataFrame(rows, "a string, b int, v long")
+    want = t.cube("a", "b").agg(F.count("*").alias("n"), F.countDistinct("v").alias("parts"))
+    got = summaries.cube_counts(t, ["a", "b"], "v", "parts")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Each set of the cube repeats its input, so its input must not be the table's rows.
+    plan = relations.cube_counts(spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    under = [plan[i + 1] for i, line in enumerate(plan) if "Expand" in line]
+    assert under and not any("Relation" in line or "Project" in line and "l_partkey" in line for line in under)
