@@ -23,8 +23,8 @@ def stream_daily_counts(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT CAST(epoch_id AS VARCHAR) AS channel, CAST(epoch_us(to_timestamp(t)) // 1000 AS BIGINT) AS t, (CASE WHEN value >= 50 THEN 1 ELSE -1 END)::INTEGER AS event FROM pairs WHERE (prev >= 50) <> (value >= 50)")
 def stream_edges(spark, sf_dir):
-    stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("channel"), F.timestamp_micros((seconds("ts") * 1e6).cast("long")).alias("t"), "value")
-    found = events.run_available(events.streaming_edges(stream, 50.0), "append")
+    stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("channel"), F.timestamp_micros((seconds("ts") * 1e6).cast("long")).alias("t"), "value", "event_id")
+    found = events.run_available(events.streaming_edges(stream, 50.0, order="event_id"), "append")
     return found.select("channel", F.unix_millis("t").alias("t"), "event")
 
 
@@ -32,8 +32,8 @@ def stream_edges(spark, sf_dir):
 p AS (SELECT *, lag(value) OVER (PARTITION BY epoch_id ORDER BY sample_idx) AS prev FROM told)
 SELECT CAST(epoch_id AS VARCHAR) AS channel, CAST(epoch_us(to_timestamp(t)) // 1000 AS BIGINT) AS t, (CASE WHEN value >= 50 THEN 1 ELSE -1 END)::INTEGER AS event FROM p WHERE (prev >= 50) <> (value >= 50)""")
 def stream_edges_in_order(spark, sf_dir):
-    stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("channel"), F.timestamp_micros((seconds("ts") * 1e6).cast("long")).alias("t"), "value")
-    found = events.run_available(events.ordered_edges(stream, 50.0, late="1 day"), "append")
+    stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("channel"), F.timestamp_micros((seconds("ts") * 1e6).cast("long")).alias("t"), "value", "event_id")
+    found = events.run_available(events.ordered_edges(stream, 50.0, late="1 day", order="event_id"), "append")
     return found.select("channel", F.unix_millis("t").alias("t"), "event")
 
 

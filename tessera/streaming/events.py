@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.operators.graph import shared_folder
 
 EDGES = "channel string, t timestamp, event int"
+HELD = "names array<string>, last binary, counts binary, held binary"
+BUCKETS = 4096
 
 
 def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -41,55 +44,89 @@ def sessions(stream: DataFrame, key: str, t: str = "t", gap: str = "30 minutes",
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def streaming_edges(stream: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``channel, t, event`` of threshold crossings (1 up, -1 down); ``stream`` has ``channel, t, value``.
+def _told_apart(names: list, parts: list[pd.DataFrame]) -> tuple[np.ndarray, list]:
+    """The channel of each row as a place in ``names``, to which new ones are added."""
+    codes, found = pd.factorize(np.concatenate([np.array(names, object), *(p["channel"].to_numpy(object) for p in parts)]), use_na_sentinel=False)
+    return codes[len(names) :], [None if pd.isna(n) else n for n in found]
 
-    The last value of each channel is kept as state, so that a crossing between two micro-batches is found. Rows of a
-    channel must not arrive after later ones in another micro-batch.
-    """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("t")
-        high = (rows["value"] >= threshold).to_numpy()
-        before = state.get[0] if state.exists else bool(high[0])
-        was = pd.Series(high).shift(1, fill_value=before).to_numpy()
-        state.update((bool(high[-1]),))
-        changed = rows[high != was]
-        yield pd.DataFrame({"channel": key[0], "t": changed["t"].to_numpy(), "event": [1 if h else -1 for h in high[high != was]]})
+def _crossed(of: np.ndarray, high: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by channel and time, differ from the one before; ``last`` is each channel's newest (-1: none)."""
+    first = np.ones(len(of), bool)
+    first[1:] = of[1:] != of[:-1]
+    before = np.roll(high, 1)
+    before[first] = np.where(last[of[first]] < 0, high[first], last[of[first]] > 0)
+    end = np.roll(first, -1)
+    last[of[end]] = high[end]
+    return high != before
+
 
-    return stream.select("channel", "t", "value").groupBy("channel").applyInPandasWithState(run, EDGES, "high boolean", "append", GroupStateTimeout.NoTimeout)
+def _edges(names: list, of: np.ndarray, at: np.ndarray, high: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"channel": np.array(names, object)[of], "t": pd.to_datetime(at, unit="us", utc=True), "event": np.where(high, 1, -1)})
 
 
-HELD = "high boolean, at array<timestamp>, held array<double>"
+def _bucketed(stream: DataFrame, order: str | None, buckets: int, *more: str) -> DataFrame:
+    # A call for each channel costs more than its rows, so channels share calls and states.
+    tie = [F.coalesce(F.col(order).cast("long"), F.lit(-(2**63))).alias("tie")] if order else []
+    return stream.select(F.pmod(F.xxhash64("channel"), F.lit(buckets)).cast("int").alias("bucket"), "channel", *more, F.unix_micros("t").alias("at"), *tie, F.col("value").cast("double").alias("value"))
 
 
-def ordered_edges(stream: DataFrame, threshold: float = 0.5, late: str = "1 hour") -> DataFrame:
+def streaming_edges(stream: DataFrame, threshold: float = 0.5, order: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``channel, t, event`` of threshold crossings (1 up, -1 down); ``stream`` has ``channel, t, value``.
+
+    The last value of each channel is kept as state, so that a crossing between two micro-batches is found. Rows of a
+    channel must not arrive after later ones in another micro-batch. Rows of equal times go by the integers of ``order``, if
+    given, then by value. Channels share ``buckets`` states; their number is fixed once a stream has a checkpoint.
+    """
+    keys = ["tie", "at"] if order else ["at"]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = list(parts)
+        names, last = state.get if state.exists else ([], b"")
+        of, names = _told_apart(names, new)
+        last = np.concatenate([np.frombuffer(last, np.int8), np.full(len(names) - len(last), -1, np.int8)])
+        at, value = (np.concatenate([p[c].to_numpy() for p in new]) for c in ("at", "value"))
+        by = np.lexsort((value, *(np.concatenate([p[c].to_numpy() for p in new]) for c in keys), of))
+        high = value[by] >= threshold
+        changed = _crossed(of[by], high, last)
+        state.update((names, last.tobytes()))
+        if changed.any():
+            yield _edges(names, of[by][changed], at[by][changed], high[changed])
+
+    return _bucketed(stream, order, buckets).groupBy("bucket").applyInPandasWithState(run, EDGES, "names array<string>, last binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def ordered_edges(stream: DataFrame, threshold: float = 0.5, late: str = "1 hour", order: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``channel, t, event`` of threshold crossings, whatever the order in which a channel's rows arrive.
 
-    Rows wait in the channel's state until the watermark, ``late`` behind the newest row, has passed them; then they are taken
-    in order of time (of equal times, by value) after the last value taken. A row that comes later than that is left out. A
-    channel wakes up by its timer, so its rows are taken even if none of its own arrives any more.
+    Rows wait in the state until the watermark, ``late`` behind the newest row, has passed them; then they are taken in order
+    of time (of equal times, by the integers of ``order``, if given, then by value) after the last value taken. A row that
+    comes later than that is left out. A state wakes up by its timer, so rows are taken even if none of their channel arrives
+    any more. Channels share ``buckets`` states; their number is fixed once a stream has a checkpoint.
     """
+    # What waits is a matrix of integers: time, order if given, and the value's bits; sorted by channel, with rows counted by channel.
+    fields = ["at", "tie", "value"] if order else ["at", "value"]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high, at, held = state.get if state.exists else (None, [], [])
-        new = [pd.DataFrame({"t": pd.Series(list(at), dtype="datetime64[ns]"), "value": pd.Series(list(held), dtype=float)})]
-        if not state.hasTimedOut:
-            new += [p[["t", "value"]] for p in parts]
-        rows = pd.concat([p for p in new if len(p)] or new).sort_values(["t", "value"])
-        passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        done, waits = rows[rows["t"] <= passed], rows[rows["t"] > passed]
-        now = (done["value"] >= threshold).to_numpy()
-        was = now[:1].tolist() if high is None else [high]
-        was = [*was, *now[:-1].tolist()][: len(now)]
-        if len(now):
-            high = bool(now[-1])
-        state.update((high, [t.to_pydatetime() for t in waits["t"]], waits["value"].tolist()))
+        new = [] if state.hasTimedOut else list(parts)
+        names, last, counts, held = state.get if state.exists else ([], b"", b"", b"")
+        counts = np.frombuffer(counts, np.int32)
+        came, names = _told_apart(names, new)
+        last = np.concatenate([np.frombuffer(last, np.int8), np.full(len(names) - len(last), -1, np.int8)])
+        of = np.concatenate([np.repeat(np.arange(len(counts)), counts), came])
+        rows = np.concatenate([np.frombuffer(held, np.int64).reshape(-1, len(fields)), *(np.column_stack([p[c].to_numpy().view(np.int64) for c in fields]) for p in new)])
+        by = np.lexsort((rows[:, -1].copy().view(float), *rows[:, -2::-1].T, of))
+        of, rows = of[by], rows[by]
+        done = rows[:, 0] <= state.getCurrentWatermarkMs() * 1000
+        high = rows[done, -1].copy().view(float) >= threshold
+        changed = _crossed(of[done], high, last)
+        waits = rows[~done]
+        state.update((names, last.tobytes(), np.bincount(of[~done], minlength=len(names)).astype(np.int32).tobytes(), waits.tobytes()))
         if len(waits):
-            # The timer's time has to be ahead of the watermark; the first row that waits is.
-            state.setTimeoutTimestamp(max(int(waits["t"].iloc[0].timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        changed = now != was
-        yield pd.DataFrame({"channel": key[0], "t": done["t"][changed].to_numpy(), "event": [1 if h else -1 for h in now[changed]]})
+            # A timer goes off when the watermark is past it, and its time has to be ahead of the watermark.
+            state.setTimeoutTimestamp(max(int(waits[:, 0].min()) // 1000 - 1, state.getCurrentWatermarkMs() + 1))
+        if changed.any():
+            yield _edges(names, of[done][changed], rows[done, 0][changed], high[changed])
 
-    rows = stream.select("channel", "t", "value").where("t is not null").withWatermark("t", late)
-    return rows.groupBy("channel").applyInPandasWithState(run, EDGES, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = stream.where("t is not null").withWatermark("t", late)
+    return _bucketed(rows, order, buckets, "t").groupBy("bucket").applyInPandasWithState(run, EDGES, HELD, "append", GroupStateTimeout.EventTimeTimeout)

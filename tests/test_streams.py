@@ -61,6 +61,37 @@ def test_rows_behind_the_watermark_are_left_out(batches):
     assert [tuple(r) for r in got.collect()] == [("a", at(300), 1)]
 
 
+def test_rows_at_the_last_watermark_are_taken(batches):
+    parts = [[("a", at(0), 0.0), ("z", at(31), 0.0)], [("a", at(10), 1.0), ("z", at(40), 0.0)]]
+    got = events.run_available(events.ordered_edges(batches(parts), late="30 minutes"), "append")
+    assert [tuple(r) for r in got.collect()] == [("a", at(10), 1)]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+@pytest.mark.parametrize("find", [events.ordered_edges, events.streaming_edges])
+def test_channels_share_states(batches, find, buckets):
+    """Rows of equal times go by their numbers; channels, null too, are told apart within a state."""
+    channels = ["a", "b", "c", None, "d"]
+    rows = [(channels[i % 5], at(i // 10), (i * 7 % 11) / 10, i) for i in range(600)]
+    parts = [rows[:50], rows[50:300], rows[300:], [("z", at(5000), 0.0, 1000)], [("z", at(5001), 0.0, 1001)]]
+    want, last = [], {}
+    for c, t, v, _ in rows:
+        if c in last and last[c] != (v >= 0.5):
+            want.append((c, t, 1 if v >= 0.5 else -1))
+        last[c] = v >= 0.5
+    stream = batches(parts, "channel string, t timestamp, value double, n long")
+    got = events.run_available(find(stream, order="n", buckets=buckets), "append")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_calls_do_not_grow_with_channels(spark, batches):
+    rows = [(f"c{i % 3000}", at(i // 3000), float(i // 3000 % 2)) for i in range(9000)]
+    stream = batches([rows, [("z", at(5000), 0.0)]])
+    query = events.ordered_edges(stream, buckets=8).writeStream.format("memory").queryName("calls").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8 and spark.table("calls").count() == 6000
+
+
 def test_sessions_with_a_late_row_that_joins_two(batches):
     parts = [[("a", at(0), 1.0), ("a", at(40), 1.0), ("b", at(3), 1.0)], [("a", at(20), 1.0), ("b", at(50), 1.0)], [("z", at(1000), 1.0)], [("z", at(1001), 1.0)]]
     got = events.run_available(events.sessions(batches(parts), "channel", gap="25 minutes", late="2 hours"), "append").where("channel <> 'z'")
