@@ -289,6 +289,28 @@ def test_pairs_of_one_key_are_dealt_over_tasks(spark):
     assert sum(n > 0 for n in met.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
 
 
+def test_pairs_of_chunks_are_those_of_a_join(spark, monkeypatch):
+    monkeypatch.setattr(tables, "CHUNK", 3, raising=False)
+    monkeypatch.setattr(tables, "RUN", 2, raising=False)
+    many = spark.createDataFrame([(k, i % 5 or None, f"m{i % 7}") for i in range(60) for k in ("a", "b", None)] + [("a", 1, "m1")] * 40 + [("x", 1, "m")], "k string, i int, m string")
+    few = spark.createDataFrame([(k, f"f{i % 9}" if i % 9 else None, i % 3) for i in range(30) for k in ("a", "b", None, "y")] + [("b", "f1", 1)] * 20, "k string, f string, j int")
+    key = lambda r: tuple(map(str, r))
+    for a, b in ((many, few), (many, few.limit(0)), (many.limit(0), few)):
+        found = tables.spread_join(a, b, ["k"])
+        assert found.columns == ["k", "i", "m", "f", "j"]
+        assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, a.join(b, "k").collect()), key=key)
+
+
+def test_files_of_pairs_take_a_fraction_of_a_byte_a_pair(spark, tmp_path):
+    """However many rows a key has: pairs come in tiles, and none waits for the others of its chunks."""
+    k = F.when(F.col("id") >= 0, "k").alias("k")
+    table = lambda n, name: spark.range(n).select(k, F.concat(F.lit(name), F.col("id").cast("string")).alias(name))
+    tables.spread_join(table(400, "m"), table(8_000, "f"), ["k"]).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 3_200_000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.5 * 3_200_000
+    assert len(tables.spread_join(table(30_000, "m"), table(30_000, "f"), ["k"]).take(5)) == 5
+
+
 def test_epochs_of_elements_are_numbered_once_a_parent(spark):
     elements = spark.createDataFrame([("a", "p", True), ("b", "p", True), ("c", None, False), ("d", "p", True), ("d", "q", True), ("e", "q", True), ("e", None, False), ("f", "none", True)], "element_id string, parent_id string, direct boolean")
     parents = spark.createDataFrame([("p", "e3"), ("p", "e1"), ("q", "e2"), ("q", "e1")], "element_id string, epoch_id string")
