@@ -330,3 +330,15 @@ def test_clock_edges_of_one_scope_are_dealt_over_tasks(spark, monkeypatch):
     want = [(a, b) for a in range(0, 300, 3) for b in range(300) if b % 3 < 2 and a % 5 != b % 5]
     assert sorted(map(tuple, found.select("src", "dst").collect())) == sorted(want)
     assert sum(n > 0 for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
+
+
+def test_edges_of_clocks_come_in_runs_of_one_owner(spark, tmp_path):
+    """Owners are drawn at random; files of edges stay a fraction of a byte an edge."""
+    owner = (F.xxhash64("id") % 5).alias("objectname")
+    nodes = spark.range(6_000).select(F.col("id").alias("node_id"), F.lit("s").alias("session"), owner, F.when(F.col("id") % 10 == 0, "utc").otherwise("approx_utc").alias("clock"))
+    found = clocks.clock_edges(nodes, ["session"]).select("src", "dst")
+    found.write.parquet(f"{tmp_path}/edges")
+    n = nodes.select("node_id", "objectname", "clock")
+    want = n.where("clock = 'utc'").alias("a").join(n.alias("b"), F.expr("a.objectname <> b.objectname")).count()
+    assert spark.read.parquet(f"{tmp_path}/edges").distinct().count() == want
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.4 * want
