@@ -345,6 +345,24 @@ def test_perplexity_equals_brute_force(spark, docs):
         assert math.isclose(r.log10_perplexity, -total / len(symbols), rel_tol=1e-5) and r.n_chars == len(symbols)
 
 
+def test_every_character_of_a_text_is_a_symbol():
+    """Only what follows a blank and is blank itself is left out, also where blanks take several bytes."""
+    rng = np.random.default_rng(13)
+    letters = [*"ab1#. \t\n", "\x85", "\xa0", "\u2003", "\u3000", "\u0300", "\xe9", "\u03a9", "\u6f22", "\U0001f600"]
+    texts = ["", "\u3000\u3000", "a\xa0", " b", *["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(400)]]
+    encoded = [x.encode() for x in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])])
+    codes, counts = perplexity.symbol_codes(np.frombuffer(b"".join(encoded), np.uint8), offsets)
+    table, want = perplexity._symbols(), []
+    for x in texts:
+        symbols = [int(table[ord(c)]) for c in x]
+        symbols = [s for i, s in enumerate(symbols) if i == 0 or s or symbols[i - 1]]
+        padded = [0, 0, 0, *symbols]
+        want.append([(a << 15) | (b << 10) | (c << 5) | d for a, b, c, d in zip(padded, padded[1:], padded[2:], symbols)])
+    assert counts.tolist() == [len(w) for w in want] and codes.tolist() == [x for w in want for x in w]
+    assert perplexity.symbol_codes(np.frombuffer(b"a\xffb", np.uint8), np.array([0, 3]))[1].tolist() == [3]  # not UTF-8
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(8)
     codes = np.unique(rng.integers(0, 32**4, 4000))
